@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from kindred.llm import packing, token_output
+from kindred.llm import mixing, near_dedup, packing, quality, secret_scan, token_output
 
 
 def queries() -> dict:
     return {
         "op1_token_output": token_output.op1_token_output,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_secret_scans": secret_scan.op4_secret_scans,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op9_simhash_near_dedup": near_dedup.op9_simhash_near_dedup,
     }
 
 
