@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, near_dedup, packing, quality, secret_scan, token_output
+from kindred.llm import fingerprints, mixing, near_dedup, packing, quality, secret_scan, token_output
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_secret_scans": secret_scan.op4_secret_scans,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
         "op9_simhash_near_dedup": near_dedup.op9_simhash_near_dedup,
     }
 
