@@ -2,7 +2,7 @@
 
 The vocabulary's normaliser and splitter never join characters across white space, so the ids of a text are the
 ids of its white-space separated words, one after another. Words repeat far more often than they differ: a batch is
-cut into words and dictionary-encoded by Arrow, new words are encoded by the library, and all others are gathered
+cut into words (ASCII letters in lower case, as the normaliser makes them) and dictionary-encoded by Arrow, new words are encoded by the library, and all others are gathered
 from a pool with NumPy.
 """
 
@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEPARATOR = "\x00"
+TAIL = r"([a-z])([.,!?;:*$%&#]+)(\s|$)"
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -25,7 +26,7 @@ def default_vocabulary() -> str:
 class WordTokenizer:
     """``most_words`` bounds the memory of the pool only; when it is full it starts anew and no result changes."""
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -87,7 +88,11 @@ class WordTokenizer:
         """(ids of all texts, offsets of each text). Null texts have no ids."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's name keeps its case
+            texts = pc.ascii_lower(texts)
+        # letters and the marks after them are split apart by the vocabulary as well; so there are fewer words to learn
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, TAIL, r"\1 \2\3"))
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).dictionary_encode()
         bounds = bounds - bounds[0]
