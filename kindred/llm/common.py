@@ -60,6 +60,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets the context cleaner delete the finished job's shuffle files now
     return spark.read.schema(df.schema).parquet(path)
 
 
