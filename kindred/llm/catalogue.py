@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from kindred.llm import fingerprints, mixing, near_dedup, packing, quality, secret_scan, token_output
+import corpus_pipeline
+from kindred.llm import fingerprints, html_extract, mixing, near_dedup, packing, quality, secret_scan, substring, suffix, token_output
 
 
 def queries() -> dict:
@@ -13,7 +14,11 @@ def queries() -> dict:
         "op4_secret_scans": secret_scan.op4_secret_scans,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+        "op7_substring_dedup": substring.op7_substring_dedup,
+        "op8_html_extraction": html_extract.op8_html_extraction,
         "op9_simhash_near_dedup": near_dedup.op9_simhash_near_dedup,
+        "op10_suffix_array_dedup": suffix.op10_suffix_array_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
