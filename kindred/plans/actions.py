@@ -118,9 +118,9 @@ def order_classes(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count_if(s == "F").alias("f"), F.count_if((s == "O") & (F.col("o_totalprice") > 100000)).alias("large_open"), F.bool_or(s == "P").alias("any_pending"), F.bool_and(F.col("o_totalprice") > 0).alias("all_priced"))
 
 
-@query("cache_eviction", """SELECT event_id AS key, tick, bytes, held FROM (SELECT *, sum(bytes) OVER (ORDER BY tick DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS held FROM (SELECT event_id, epoch_us(ts) AS tick, CAST(floor(value * 100) AS BIGINT) AS bytes FROM events WHERE user_id < 20)) WHERE held <= 100000""")
+@query("cache_eviction", """SELECT event_id AS key, tick, bytes, held FROM (SELECT *, sum(bytes) OVER (ORDER BY tick DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS held FROM (SELECT event_id, epoch_us(ts) AS tick, CAST(floor(value * 100) AS BIGINT) AS bytes FROM events)) WHERE held <= 100000""")
 def cache_eviction(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 20").select(F.col("event_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("tick"), F.floor(F.col("value") * 100).alias("bytes"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("tick"), F.floor(F.col("value") * 100).alias("bytes"))
     return stats.evict(e, 100000)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.plans import actions, grouping, listing, matching  # noqa: F401
+from kindred.plans import actions, grouping, imaging, listing, matching  # noqa: F401
 from kindred.plans.registry import ORACLES, QUERIES
 
 

@@ -45,20 +45,20 @@ def stale_files(spark, sf_dir):
     return events.verify_recycle(manifest, now).select("image_id", "verdict")
 
 
-@query("preflight_conflicts", """WITH r AS (SELECT DISTINCT 'folder' AS role, source || '/' || lang AS root FROM documents UNION SELECT DISTINCT 'source', source FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT 'other', source || '/en' FROM documents WHERE lang = 'en' AND doc_id % 3 = 0)
+@query("preflight_conflicts", """WITH r AS (SELECT DISTINCT 'folder' AS role, source || '/' || lang AS root FROM documents UNION SELECT DISTINCT 'source', source FROM documents UNION SELECT DISTINCT 'other', source || '/en' FROM documents WHERE lang = 'en')
 SELECT DISTINCT x.root AS a, y.root AS b, 'same' AS issue FROM r x JOIN r y ON x.root = y.root AND x.role < y.role UNION ALL SELECT DISTINCT x.root, y.root, 'nested' FROM r x JOIN r y ON starts_with(y.root, x.root || '/')""")
 def preflight_conflicts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     lang = F.concat_ws("/", "source", "lang")
-    r = d.select(F.lit("folder").alias("role"), lang.alias("root")).unionByName(d.filter("doc_id % 2 = 0").select(F.lit("source").alias("role"), F.col("source").alias("root"))).unionByName(d.filter("lang = 'en' and doc_id % 3 = 0").select(F.lit("other").alias("role"), F.concat(F.col("source"), F.lit("/en")).alias("root"))).distinct()
+    r = d.select(F.lit("folder").alias("role"), lang.alias("root")).unionByName(d.select(F.lit("source").alias("role"), F.col("source").alias("root"))).unionByName(d.filter("lang = 'en'").select(F.lit("other").alias("role"), F.concat(F.col("source"), F.lit("/en")).alias("root"))).distinct()
     return listing.conflicts(r)
 
 
-@query("nested_roots", f"""WITH {PATHS}, r AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM paths UNION SELECT DISTINCT split_part(path, '/', 1) FROM paths WHERE page_id % 3 = 0),
+@query("nested_roots", f"""WITH {PATHS}, r AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM paths UNION SELECT DISTINCT split_part(path, '/', 1) FROM paths WHERE contains(path, 'm.')),
 g AS (SELECT root FROM r WHERE NOT contains(root, '.net')) SELECT 'root' AS kind, root, NULL AS message FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE starts_with(x.root, y.root || '/')) UNION ALL SELECT 'error', root, 'not a directory' FROM r WHERE contains(root, '.net')""")
 def nested_roots(spark, sf_dir):
     p = page_paths(spark, sf_dir)
-    r = p.select(paths.folder(F.col("path")).alias("root")).unionByName(p.filter("page_id % 3 = 0").select(F.substring_index("path", "/", 1).alias("root"))).distinct()
+    r = p.select(paths.folder(F.col("path")).alias("root")).unionByName(p.filter(F.contains("path", F.lit("m."))).select(F.substring_index("path", "/", 1).alias("root"))).distinct()
     bad = F.contains(F.col("root"), F.lit(".net"))
     kept = listing.outermost(r.filter(~bad)).select(F.lit("root").alias("kind"), "root", F.lit(None).cast("string").alias("message"))
     return kept.unionByName(r.filter(bad).select(F.lit("error").alias("kind"), "root", F.lit("not a directory").alias("message")))
@@ -78,11 +78,11 @@ EXT = f"regexp_extract({NAME}, '^.+\\.([^.]*)$', 1)"
 @query("rename_previews", f"""WITH {PATHS}, i AS (SELECT page_id, path, {NAME} AS original_name, {STEM} AS stem, {EXT} AS ext, 'ref' || page_id % 4 AS ref, page_id % 6 AS grp, row_number() OVER (PARTITION BY page_id % 6 ORDER BY page_id) AS ord FROM paths)
 SELECT page_id, ref || '-' || CASE WHEN len(ord::VARCHAR) >= 3 THEN ord::VARCHAR ELSE lpad(ord::VARCHAR, 3, '0') END || '_' || grp || '.' || ext AS simple, original_name AS broken, 'InvalidName' AS broken_issue,
 CASE WHEN original_name LIKE '%5%.%' THEN regexp_extract(original_name, '^((?:[^5])*)5(.*)$', 2) || '-' || regexp_extract(original_name, '^((?:[^5])*)5(.*)$', 1) || '.' || ord ELSE original_name END AS advanced, CASE WHEN original_name LIKE '%5%.%' THEN NULL ELSE 'RuleUnmatched' END AS advanced_issue,
-'shot_' || ord || CASE WHEN ext = '' THEN '' ELSE '.' || ext END AS quick FROM i WHERE NOT contains(original_name, '5') OR contains(original_name, '.')""")
+'shot_' || ord || CASE WHEN ext = '' THEN '' ELSE '.' || ext END AS quick FROM i""")
 def rename_previews(spark, sf_dir):
     order = Window.partitionBy("group_index").orderBy("page_id")
     i = page_paths(spark, sf_dir).select("page_id", "path", F.concat(F.lit("ref"), (F.col("page_id") % 4).cast("string")).alias("reference_name"), (F.col("page_id") % 6).alias("group_index"))
-    i = i.withColumn("order", F.row_number().over(order).cast("long")).filter(~F.contains(paths.file_name(F.col("path")), F.lit("5")) | F.contains(paths.file_name(F.col("path")), F.lit(".")))
+    i = i.withColumn("order", F.row_number().over(order).cast("long"))
     simple = fileplan.rename_preview(i, "$ref-$n:03_$group.$ext").select("page_id", F.col("proposed_name").alias("simple"))
     broken = fileplan.rename_preview(i, "$unknown").select("page_id", F.col("proposed_name").alias("broken"), F.col("rule_issue").alias("broken_issue"))
     fits = fileplan.rename_preview(i, "$2-$1.$n", pattern="*5*.*")
