@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: set[str] = set()
 
 
@@ -59,8 +60,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # lets the context cleaner delete the finished job's shuffle files now
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the finished job's shuffle files go at once; the table has all that is needed
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -257,7 +257,7 @@ def window_starts(ranges) -> np.ndarray:
 
 
 def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int, across: bool, local: Callable | None = None) -> DataFrame:
-    """Step 3: covered windows of the asked runs (doc, version, start, windows = 1); a written table.
+    """Step 3: covered windows of the asked runs (doc, version, start, windows); a written table.
 
     ``local(values, starts)`` gives the class of each window start among those of one slice; by default the hash does.
     """
@@ -290,19 +290,33 @@ def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int,
         order = np.lexsort((start, version, doc, key))
         key, doc, version, start = (x[order] for x in (key, doc, version, start))
         later, _ = settle(key, key, doc, across)
-        yield pa.record_batch([pa.array(later.astype(np.int32)), pa.array(key), pa.array(doc), pa.array(version), pa.array(start)], names=["later", "key", "doc", "version", "start"])
+        first = np.flatnonzero(~later)
+        yield batch(key[first], doc[first], version[first], start[first], np.zeros(len(first), np.int64))
+        rest = np.flatnonzero(later)
+        if len(rest):  # neighbours as one range, under a key that spreads them
+            doc, version, start = (x[rest] for x in (doc, version, start))
+            order = np.lexsort((start, version, doc))
+            doc, version, start = (x[order] for x in (doc, version, start))
+            at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + 1)]))
+            n = np.diff(np.append(at, len(start)))
+            yield batch(mix64(doc[at].view(np.uint64) ^ start[at].view(np.uint64)).view(np.int64), doc[at], version[at], start[at], n)
+
+    def batch(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in columns], names=["key", "doc", "version", "start", "windows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in by_key(batches, "key"):
-            later, _ = settle(x["key"], x["key"], x["doc"], across)
-            later |= x["later"] > 0
-            yield pa.record_batch([pa.array(x[c][later]) for c in ("doc", "version", "start")], names=["doc", "version", "start"])
+            known = x["windows"] > 0
+            open_ = np.flatnonzero(~known)
+            later, _ = settle(x["key"][open_], x["key"][open_], x["doc"][open_], across)
+            keep = known.copy()
+            keep[open_[later]] = True
+            yield pa.record_batch([*(pa.array(x[c][keep]) for c in ("doc", "version", "start")), pa.array(np.maximum(x["windows"][keep], 1))], names=["doc", "version", "start", "windows"])
 
     needed = docs.select("doc", "version", "text").join(listed(asked), ["doc", "version"])
-    found = needed.mapInArrow(windows, "later int, key long, doc long, version long, start long")
-    settled = found.withColumn("spread", F.when(F.col("later") > 0, F.xxhash64("doc", "start")).otherwise(F.col("key")))
-    dealt = settled.repartition(partitions(docs.sparkSession), "spread").sortWithinPartitions("key", "doc", "version", "start")
-    return materialise(dealt.select("later", "key", "doc", "version", "start").mapInArrow(meet, "doc long, version long, start long").withColumn("windows", F.lit(1).cast("long")), "windows")
+    found = needed.mapInArrow(windows, "key long, doc long, version long, start long, windows long")
+    dealt = found.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "version", "start")
+    return materialise(dealt.mapInArrow(meet, "doc long, version long, start long, windows long"), "windows")
 
 
 def covered_ranges(docs: DataFrame, units: Units, width: int, gram: int, across: bool, bytewise: bool, local: Callable | None = None) -> DataFrame:
