@@ -9,12 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions import paths
 from kindred.operators import blake3, kernels
 from kindred.schema import EXCLUDES
 
 FEATURES = "path string, size long, mtime long, width int, height int, format string, color_type string, digest string, phash string, error string"
+_SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("error", T.StringType())])
 _COLORS = {1: "L8", 3: "Rgb8", 4: "Rgba8"}
 
 
@@ -61,7 +63,7 @@ def features(images: DataFrame, algorithm: str = "sha256") -> DataFrame:
     return images.withColumn("format", F.lower(paths.extension(F.col("path")))).mapInPandas(run, FEATURES)
 
 
-@F.pandas_udf("struct<score:double,error:string>")
+@F.pandas_udf(_SCORE)
 def png_ssim(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Similarity of two PNG files, capped for tasks; an error becomes a message beside a null score."""
 
@@ -74,7 +76,7 @@ def png_ssim(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(a, b) for a, b in zip(left, right, strict=True)], columns=["score", "error"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gray_ssim(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of two square gray images given as flat arrays."""
     square = lambda v: np.asarray(v, np.uint8).reshape(int(len(v) ** 0.5), -1)

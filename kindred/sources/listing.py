@@ -13,6 +13,7 @@ from kindred.schema import EXCLUDES, EXTENSIONS
 
 def scan(spark: SparkSession, root: str, excludes=EXCLUDES, extensions=EXTENSIONS, recursive: bool = True, content: bool = False) -> DataFrame:
     """path, size, mtime (ms) and, on request, content of the image files below a root. Links are not followed.
+    Spark's listing leaves out names that begin with a dot or an underscore.
 
     A pattern excludes a file if it occurs anywhere in its path, the root included; endings compare without case.
     """
