@@ -95,11 +95,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.monotonically_increasing_id().alias("n"), whole_text().alias("text"))
     following = successors(rows)
-    heads = rows.join(following.withColumnsRenamed({"key": "of", "next": "key"}), "key").select(F.col("of").alias("key"), F.substring("text", F.lit(1), F.col("need").cast("int")).alias("head"))
-    heads = heads.groupBy("key").agg(F.min("head").alias("head"))
+    # both joins read one and the same exchange of the texts by key, so they must ask for the same columns
+    heads = rows.join(following.withColumnsRenamed({"key": "of", "next": "key"}).hint("merge"), "key").select(F.col("of").alias("key"), "n", F.substring("text", F.lit(1), F.col("need").cast("int")).alias("head"))
+    heads = heads.groupBy("key").agg(F.min(F.struct("head", "n")).getField("head").alias("head"))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
-    both = rows.join(heads, "key").select("key", "n", "text", size.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), size - half), F.substring("head", F.lit(1), half)).alias("edited"))
+    both = rows.join(heads.hint("merge"), "key").select("key", "n", "text", size.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), size - half), F.substring("head", F.lit(1), half)).alias("edited"))
     two = F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("t")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("t")))
     texts = both.select("key", "n", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(two).alias("x"))
     exploded = texts.select("key", "n", "n_chars", "sha", "x.changed", F.explode_outer(terms(F.col("x.t"))).alias("term"))
