@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-RADIUS, SIGMA = 5, 1.5
+RADIUS, SIGMA, BAND = 5, 1.5, 32
 MARK, OUTLINE = (255, 0, 0), (255, 196, 0, 255)
 
 
@@ -90,17 +90,26 @@ def gaussian() -> np.ndarray:
     return w / w.sum()
 
 
-def reflected(n: int) -> np.ndarray:
-    """(n, 11) source positions with the edge repeated, folded as often as a short side needs."""
-    i = np.arange(n)[:, None] + np.arange(-RADIUS, RADIUS + 1)[None, :]
-    i = np.mod(i, 2 * n)
-    return np.where(i >= n, 2 * n - 1 - i, i)
-
-
 def blur(values: np.ndarray) -> np.ndarray:
+    """Both directions of the window, the edge repeated and folded as often as a short side needs. Shifted slices are
+    added up, so no array grows with the window."""
     w = gaussian()
-    across = values[:, reflected(values.shape[1])] @ w
-    return np.einsum("yok,o->yk", across[reflected(values.shape[0])], w)
+    h, n = values.shape
+    padded = np.pad(values, ((0, 0), (RADIUS, RADIUS)), mode="symmetric")
+    across = padded[:, :n] * w[0]
+    for k in range(1, len(w)):
+        across += padded[:, k : k + n] * w[k]
+    padded = np.pad(across, ((RADIUS, RADIUS), (0, 0)), mode="symmetric")
+    out = padded[:h] * w[0]
+    for k in range(1, len(w)):
+        out += padded[k : k + h] * w[k]
+    return out
+
+
+def _band_sum(a: np.ndarray, b: np.ndarray, top: int, bottom: int) -> float:
+    ma, mb, sa, sb, ab = (blur(x)[top : len(x) - bottom] for x in (a, b, a * a, b * b, a * b))
+    va, vb, cov = np.maximum(sa - ma * ma, 0), np.maximum(sb - mb * mb, 0), ab - ma * mb
+    return float(np.sum((2 * ma * mb + C1) * (2 * cov + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))))
 
 
 def ssim(left: np.ndarray, right: np.ndarray) -> float:
@@ -109,11 +118,12 @@ def ssim(left: np.ndarray, right: np.ndarray) -> float:
         raise ValueError("the images differ in size")
     if not left.size:
         raise ValueError("the images are empty")
-    a, b = left.astype(float), right.astype(float)
-    ma, mb = blur(a), blur(b)
-    va, vb = np.maximum(blur(a * a) - ma * ma, 0), np.maximum(blur(b * b) - mb * mb, 0)
-    cov = blur(a * b) - ma * mb
-    return float(np.mean((2 * ma * mb + C1) * (2 * cov + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))))
+    h, total = len(left), 0.0
+    for y in range(0, h, BAND):  # bands of rows fit the processor's cache; each reads its neighbours' edge rows
+        top, bottom = min(y, RADIUS), min(max(h - y - BAND, 0), RADIUS)
+        rows = slice(y - top, min(y + BAND, h) + bottom)
+        total += _band_sum(left[rows].astype(float), right[rows].astype(float), top, bottom)
+    return total / left.size
 
 
 def target_size(a: tuple[int, int], b: tuple[int, int], edge: int | None = None) -> tuple[int, int]:
