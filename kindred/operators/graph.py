@@ -9,11 +9,11 @@ from kindred.functions import measures
 from kindred.scratch import materialise
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(image_id, component) for all ``vertices``; component is the least id reached over ``edges`` (a, b).
+def roots(edges: DataFrame) -> DataFrame:
+    """(v, root) for every vertex of ``edges`` (a, b, any orderable type); root is the least vertex that it reaches.
 
-    Alternating large-star and small-star steps; each writes its edges to the shared folder, so a lost executor costs
-    one step. The number of steps grows with the logarithm of the longest path.
+    Alternating large-star and small-star steps until nothing moves; each writes its edges to the shared folder, so a
+    lost executor costs one step. The number of steps grows with the logarithm of the longest path.
     """
     e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -29,8 +29,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if now == last:
             break
         last = now
-    roots = e.groupBy("a").agg(F.min("b").alias("root"))
-    return vertices.select("image_id").join(roots, F.col("image_id") == F.col("a"), "left").select("image_id", F.coalesce("root", "image_id").alias("component"))
+    return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("v"), "root")
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(image_id, component) for all ``vertices``; component is the least id reached over ``edges`` (a, b)."""
+    return vertices.select("image_id").join(roots(edges), F.col("image_id") == F.col("v"), "left").select("image_id", F.coalesce("root", "image_id").alias("component"))
 
 
 def quality_order():
