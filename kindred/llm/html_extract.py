@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import tidily
+
 # Element names and words of class, id and role that tell what a part of a page is for.
 DROPPED = "script style noscript template iframe svg canvas object head title select textarea button audio video map"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(DROPPED.split()) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)""", re.S | re.I)
@@ -280,7 +282,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) if x else "" for x in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(tidily(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

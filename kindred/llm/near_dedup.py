@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise, mix64, partitions, utf8
+from kindred.llm.common import materialise, mix64, partitions, tidily, utf8
 
 RADIUS, SHINGLE, SEED, PIVOTS = 2, 3, 42, 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -52,7 +52,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
             fp = np.fromiter(map(simhash, utf8(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column("row"), pa.array(fp.view(np.int64))], names=["row", "fp"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidily(run), f"row {rows.schema['row'].dataType.simpleString()}, fp long")
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -150,7 +150,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     dealt = distinct.select("fp", F.explode(keys).alias("key")).repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidily(run), "a long, b long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

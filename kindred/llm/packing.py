@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise
+from kindred.llm.common import materialise, tidily
 from kindred.llm.tokens import default_vocabulary, text_slices, tokenizer
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0
                 yield pa.record_batch([*columns, pa.array(raw, pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidily(cut), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -155,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(first + bin_), pa.array(fill + slot * length)], names=[*kept, "sequence_id", "offset"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
-    return ranked.mapInArrow(place, f"{kept}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidily(place), f"{kept}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SPACES, materialise, mix64, utf8
+from kindred.llm.common import SPACES, materialise, mix64, tidily, utf8
 from kindred.llm.tokens import text_slices
 
 # The characters that count as symbols.
@@ -121,7 +121,7 @@ def votes(x: dict[str, np.ndarray]) -> np.ndarray:
             np.where(letters < 20, 0, low(x["n_upper"] / cased, 0.2, 0.4)),
             low(x["n_exclaims"] / n, 0.05, 0.3),
             np.where((mean >= 3) & (mean <= 10), 1, np.where((mean < 2) | (mean > 15), -1, 0)),
-            low(x["n_digits"] / np.maximum(x["word_chars"], 1), 0.1, 0.4),
+            low(x["n_digits"] / np.maximum(x["word_chars"], 1), 0.15, 0.6),
             np.where(x["n_words"] < 50, 0, low(-x["n_distinct"] / n, -0.25, -0.1)),
             low(x["n_stutters"] / n, 0.05, 0.3),
         ],
@@ -177,7 +177,7 @@ def _measured(docs: DataFrame, keep: Column, name: str) -> DataFrame:
 
     rows = docs.select(keep.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, {', '.join(f'{k} long' for k in FEATURES)}, votes string"
-    return materialise(rows.mapInArrow(run, schema), name)
+    return materialise(rows.mapInArrow(tidily(run), schema), name)
 
 
 def _judged(measured: DataFrame) -> DataFrame:

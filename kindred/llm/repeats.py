@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import chunks_by_bytes, materialise, mix64, partitions, utf8
+from kindred.llm.common import chunks_by_bytes, materialise, mix64, partitions, tidily, utf8
 
 LOWEST = -(2**63)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -237,9 +237,9 @@ def find_runs(docs: DataFrame, units: Units, width: int, gram: int, across: bool
             keep = known | (real & (later | several))
             yield pa.record_batch([pa.array(kind[keep].astype(np.int32)), *(pa.array(x[c][keep]) for c in ("doc", "version", "start", "windows"))], names=["kind", "doc", "version", "start", "windows"])
 
-    sent = docs.select("doc", "version", "text").mapInArrow(send, RUNS)
+    sent = docs.select("doc", "version", "text").mapInArrow(tidily(send), RUNS)
     dealt = sent.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "span", "doc", "version", "start")
-    return materialise(dealt.mapInArrow(meet, "kind int, doc long, version long, start long, windows long"), "runs")
+    return materialise(dealt.mapInArrow(tidily(meet), "kind int, doc long, version long, start long, windows long"), "runs")
 
 
 def listed(ranges: DataFrame) -> DataFrame:
@@ -314,9 +314,9 @@ def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int,
             yield pa.record_batch([*(pa.array(x[c][keep]) for c in ("doc", "version", "start")), pa.array(np.maximum(x["windows"][keep], 1))], names=["doc", "version", "start", "windows"])
 
     needed = docs.select("doc", "version", "text").join(listed(asked), ["doc", "version"])
-    found = needed.mapInArrow(windows, "key long, doc long, version long, start long, windows long")
+    found = needed.mapInArrow(tidily(windows), "key long, doc long, version long, start long, windows long")
     dealt = found.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "version", "start")
-    return materialise(dealt.mapInArrow(meet, "doc long, version long, start long, windows long"), "windows")
+    return materialise(dealt.mapInArrow(tidily(meet), "doc long, version long, start long, windows long"), "windows")
 
 
 def covered_ranges(docs: DataFrame, units: Units, width: int, gram: int, across: bool, bytewise: bool, local: Callable | None = None) -> DataFrame:

@@ -14,10 +14,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import tidily
+
 # The patterns, lengths and their order.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -129,7 +132,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(rows, SPANS)], names=["doc_id", "spans"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return texts.mapInArrow(tidily(scan), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -138,15 +141,15 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     Every row stays, with all its columns; null texts stay null.
     """
 
+    def one(text):
+        if text is None:
+            return None
+        spans = base_spans(text) + method_spans(text)
+        return redacted(text, spans) if spans else text
+
     @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if text is None:
-                return None
-            spans = base_spans(text) + method_spans(text)
-            return redacted(text, spans) if spans else text
-
-        return texts.map(one)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidily(lambda all_: (texts.map(one) for texts in all_))(batches)
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import utf8
+from kindred.llm.common import tidily, utf8
 from kindred.llm.repeats import LOWEST, covered_ranges, covered_units, keyed, word_units
 
 WINDOW, GRAM = 13, 7
@@ -42,7 +42,7 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x) if len(edges) else b" ".join(words))
             yield pa.record_batch([batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "repeats", "kept_text"])
 
-    out = found.select("doc", "text", "ranges").mapInArrow(cut, "doc long, n_words long, repeats array<struct<start:long,end:long>>, kept_text string")
+    out = found.select("doc", "text", "ranges").mapInArrow(tidily(cut), "doc long, n_words long, repeats array<struct<start:long,end:long>>, kept_text string")
     return out.select(F.nullif(F.col("doc"), F.lit(LOWEST)).alias("doc_id"), "n_words", "repeats", "kept_text")
 
 

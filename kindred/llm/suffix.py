@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import utf8
+from kindred.llm.common import tidily, utf8
 from kindred.llm.repeats import BYTE_VALUES, LOWEST, byte_units, covered_ranges, covered_units, keyed
 
 WIDTH, GRAM, BUCKET = 100, 32, 8
@@ -88,7 +88,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             yield pa.record_batch([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "repeats", "kept"])
 
-    out = found.select("doc", "text", "ranges").mapInArrow(cut, "doc long, n_bytes long, repeats array<struct<start:long,end:long>>, kept binary")
+    out = found.select("doc", "text", "ranges").mapInArrow(tidily(cut), "doc long, n_bytes long, repeats array<struct<start:long,end:long>>, kept binary")
     return out.select(F.nullif(F.col("doc"), F.lit(LOWEST)).alias("doc_id"), "n_bytes", "repeats", "kept")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise, partitions, scratch_path
+from kindred.llm.common import materialise, partitions, scratch_path, tidily
 from kindred.llm.tokens import default_vocabulary, text_slices, tokenizer
 
 SEQUENCE, BATCH_ROWS = 2048, 64
@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = texts.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    index = materialise(dealt.mapInArrow(write, "doc_id long, shard int, position long, n_tokens long"), "index")
+    index = materialise(dealt.mapInArrow(tidily(write), "doc_id long, shard int, position long, n_tokens long"), "index")
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))  # one row a shard
     return index.join(before, "shard").select("doc_id", "shard", "position", "n_tokens", (F.col("base") + F.col("position")).alias("start"))
@@ -157,7 +157,7 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
                 crc.append(zlib.crc32(opened[1].tokens(at, n).astype("<u4").tobytes()))
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "shard", "position")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "shard", "position", "ids_crc32"])
 
-    return index.select("doc_id", "start", "n_tokens", "shard", "position").mapInArrow(read, "doc_id long, start long, n_tokens long, shard int, position long, ids_crc32 long")
+    return index.select("doc_id", "start", "n_tokens", "shard", "position").mapInArrow(tidily(read), "doc_id long, start long, n_tokens long, shard int, position long, ids_crc32 long")
 
 
 def op1_token_output(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def default_vocabulary() -> str:
 class WordTokenizer:
     """``most_words`` bounds the memory of the pool only; when it is full it starts anew and no result changes."""
 
-    def __init__(self, path: str, most_words: int = 1_200_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -121,7 +121,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
     """Slices of a batch that hold about ``most`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
