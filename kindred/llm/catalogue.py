@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_substring_dedup": substring.ORACLE_SQL, "op10_suffix_array_dedup": suffix.ORACLE_SQL}

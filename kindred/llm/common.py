@@ -1,73 +1,19 @@
-"""What the operators of this subpackage share: scratch tables, text defaults, words and digests."""
+"""What the operators of this subpackage share: text defaults, words, hashes and memory."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.scratch import materialise, release, scratch_path, shared_dir
+
+__all__ = ["SPACES", "WORD", "chunks_by_bytes", "materialise", "mix64", "partitions", "release", "scratch_path", "shared_dir", "tidily", "utf8", "whole_text"]
+
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scratch: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            found = known.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="kindred-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; ``release`` (also run at exit) deletes it."""
-    path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{name}"
-    if not _scratch:
-        atexit.register(release)
-    _scratch.add(path)
-    return path
-
-
-def release(*paths: str) -> None:
-    """Delete the given scratch folders, or all that this process made."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths or tuple(_scratch):
-        at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        at.getFileSystem(conf).delete(at, True)
-        _scratch.discard(path)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: what follows can be recomputed from the table when an executor is lost, and rows that
-    depend on the partitioning (task numbers, running indexes) keep the values that were committed.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the finished job's shuffle files go at once; the table has all that is needed
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import materialise, mix64, partitions, tidily, utf8
+from kindred.operators.graph import roots
 
 RADIUS, SHINGLE, SEED, PIVOTS = 2, 3, 42, 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -153,30 +154,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(tidily(run), "a long, b long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of ``edges`` (a, b): alternating large-star and small-star steps until nothing moves."""
-    e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    last = mark(e)
-    while last[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, "edges")
-        now = mark(e)
-        if now == last:
-            break
-        last = now
-    return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("v"), "root")
-
-
 def components(written: DataFrame, least: str = "row.doc_id") -> DataFrame:
     """``written`` (row, fp) with ``head``: the least value of ``least`` (nulls last) over all rows that links reach."""
     classes = materialise(written.groupBy("fp").agg(F.min(least).alias("head")), "classes")
-    roots = connected_components(links(classes.select("fp")))
-    rooted = classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    found = roots(links(classes.select("fp")))
+    rooted = classes.join(found, classes["fp"] == found["v"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     heads = rooted.join(rooted.groupBy("root").agg(F.min("head").alias("least")), "root").select("fp", F.col("least").alias("head"))
     return written.join(heads, "fp")
 

@@ -106,7 +106,7 @@ def anchor_runs(values: np.ndarray, bounds: np.ndarray, width: int, gram: int):
     return text[first], s - bounds[text[first]], windows, grams[own[first]], spans_hash(prefix, s, s + windows - 1 + width)
 
 
-def slices(texts: list[bytes], width: int, units: Units, bytewise: bool):
+def slices(texts: list[bytes], width: int, units: Units):
     """(values, bounds, index of each text, its first unit) for slices of bounded size. A longer text goes in stretches
     that share ``width`` - 1 units, so that each window lies in exactly one of them."""
     stretch = 4 * SLICE
@@ -185,14 +185,14 @@ def settle(key: np.ndarray, part: np.ndarray, doc: np.ndarray, across: bool, not
     return later, (parts > 1)[group]
 
 
-def keyed(docs: DataFrame, row=None) -> DataFrame:
-    """doc, version, text (and row). A null doc_id is the least. version is 0, or a hash of the text where the table
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc, version, text. A null doc_id is the least. version is 0, or a hash of the text where the table
     has a doc_id twice: rows with equal doc_id and text then are one document, and each gets its result."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     twice = docs.groupBy(doc.alias("doc")).count().filter("count > 1").limit(1).count() > 0
     text = F.coalesce(F.col("text"), F.lit(""))
     version = F.xxhash64(text) if twice else F.lit(0).cast("long")
-    return docs.select(doc.alias("doc"), version.alias("version"), text.alias("text"), *([row.alias("row")] if row is not None else []))
+    return docs.select(doc.alias("doc"), version.alias("version"), text.alias("text"))
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str, np.ndarray]]:
@@ -213,14 +213,14 @@ def by_key(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str,
         yield held
 
 
-def find_runs(docs: DataFrame, units: Units, width: int, gram: int, across: bool, bytewise: bool) -> DataFrame:
+def find_runs(docs: DataFrame, units: Units, width: int, gram: int, across: bool) -> DataFrame:
     """Steps 1 and 2: kind (covered or asked), doc, version, start, windows; a written table."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(across)
         for batch in batches:
             doc, version = batch.column("doc").to_numpy(), batch.column("version").to_numpy()
-            for values, bounds, index, at in slices(utf8(batch.column("text")), width, units, bytewise):
+            for values, bounds, index, at in slices(utf8(batch.column("text")), width, units):
                 text, start, windows, anchor, span = anchor_runs(values, bounds, width, gram)
                 runs.add(anchor.view(np.int64), span.view(np.int64), doc[index[text]], version[index[text]], start + at[text], windows)
                 if runs.n >= HELD:
@@ -259,7 +259,7 @@ def window_starts(ranges) -> np.ndarray:
 def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int, across: bool, local: Callable | None = None) -> DataFrame:
     """Step 3: covered windows of the asked runs (doc, version, start, windows); a written table.
 
-    ``local(values, starts)`` gives the class of each window start among those of one slice; by default the hash does.
+    ``local(values, starts, hashes)`` may give the windows of one slice other keys that are equal for equal windows.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +319,9 @@ def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int,
     return materialise(dealt.mapInArrow(tidily(meet), "doc long, version long, start long, windows long"), "windows")
 
 
-def covered_ranges(docs: DataFrame, units: Units, width: int, gram: int, across: bool, bytewise: bool, local: Callable | None = None) -> DataFrame:
+def covered_ranges(docs: DataFrame, units: Units, width: int, gram: int, across: bool, local: Callable | None = None) -> DataFrame:
     """doc, version, ranges of covered window starts, for the documents that have any."""
-    runs = find_runs(docs, units, width, gram, across, bytewise)
+    runs = find_runs(docs, units, width, gram, across)
     asked = runs.filter(F.col("kind") == Runs.ASKED).select("doc", "version", "start", "windows")
     ends = compare_windows(docs, asked, units, width, across, local)
     return listed(runs.filter(F.col("kind") == Runs.COVERED).select("doc", "version", "start", "windows").unionByName(ends))

@@ -28,7 +28,7 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     on the input. Rows that share a doc_id do not cover one another.
     """
     rows = keyed(docs)
-    found = rows.join(covered_ranges(rows, word_units, width, min(GRAM, width), across=True, bytewise=False), ["doc", "version"], "left")
+    found = rows.join(covered_ranges(rows, word_units, width, min(GRAM, width), across=True), ["doc", "version"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,6 +46,18 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return out.select(F.nullif(F.col("doc"), F.lit(LOWEST)).alias("doc_id"), "n_words", "repeats", "kept_text")
 
 
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n FROM d),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM n, unnest(range(1, n - 11)) AS t(i)),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k.range AS p FROM windows JOIN firsts USING (h), range(13) k WHERE first_doc < doc_id),
+counts AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(range(1, n + 1)) AS p, unnest(w) AS word FROM n),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM n LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda a, r: a + r.end - r.start)

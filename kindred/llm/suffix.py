@@ -22,10 +22,16 @@ WIDTH, GRAM, BUCKET = 100, 32, 8
 
 
 def refine(buckets: np.ndarray, offset: int) -> np.ndarray:
-    """Identifiers at twice (or less than twice) the depth: sort on (bucket, bucket ``offset`` later). A bucket with
-    one member is final and keeps the others' order; it is not sorted again."""
-    a, b = buckets[:-offset] if offset else buckets, buckets[offset:]
-    _, ids = np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)
+    """Bucket identifiers ``offset`` deeper: each bucket with several members is sorted on the members' bucket pointers
+    ``offset`` later and split; a bucket with one member is final and is not sorted again. Order is kept."""
+    a, b = buckets[:-offset], buckets[offset:]
+    members = np.bincount(a)
+    open_ = np.flatnonzero(members[a] > 1)
+    parts, of = np.unique(a[open_].astype(np.uint64) << np.uint64(32) | b[open_].astype(np.uint64), return_inverse=True)
+    owner = (parts >> np.uint64(32)).astype(np.int64)
+    splits = np.minimum(members, 1) + np.bincount(owner, minlength=len(members)) - (members > 1)
+    ids = (np.cumsum(splits) - splits)[a]
+    ids[open_] += of - np.searchsorted(owner, owner)[of]
     return ids
 
 
@@ -71,7 +77,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     with its row; with equal doc_id and other texts they are ordered by a hash. Strings are judged on the input.
     """
     rows = keyed(docs)
-    found = rows.join(covered_ranges(rows, byte_units, width, min(GRAM, width), across=False, bytewise=True, local=local_classes if width == WIDTH else None), ["doc", "version"], "left")
+    found = rows.join(covered_ranges(rows, byte_units, width, min(GRAM, width), across=False, local=local_classes if width == WIDTH else None), ["doc", "version"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,6 +98,20 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select(F.nullif(F.col("doc"), F.lit(LOWEST)).alias("doc_id"), "n_bytes", "repeats", "kept")
 
 
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS k FROM d, unnest(range(1, n - 98)) AS t(i)),
+firsts AS (SELECT k, min(doc_id::HUGEINT * 4294967296 + i) AS first_place FROM strings GROUP BY k),
+gone AS (SELECT doc_id, i FROM strings JOIN firsts USING (k) WHERE doc_id::HUGEINT * 4294967296 + i > first_place),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM gone),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM numbered GROUP BY doc_id, g),
+lists AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1)::BIGINT AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_spans IS NULL THEN sha256(unhex(h)) ELSE sha256(unhex(array_to_string(list_transform(range(len(a) + 1),
+  lambda j: substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE b[j] END) + 1, 2 * ((CASE WHEN j = len(a) THEN n + 1 ELSE a[j + 1] END) - 1 - (CASE WHEN j = 0 THEN 0 ELSE b[j] END)))), ''))) END AS kept_sha256 FROM d LEFT JOIN lists USING (doc_id)
+"""
+
+
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda a, r: a + r.end - r.start)

@@ -123,7 +123,7 @@ def test_long_texts_are_cut_into_stretches(monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 64)
     text = bytes(random.Random(3).randrange(97, 105) for _ in range(3000))
     got = []
-    for values, bounds, index, at in repeats.slices([b"x", text, b""], 100, repeats.byte_units, True):
+    for values, bounds, index, at in repeats.slices([b"x", text, b""], 100, repeats.byte_units):
         t, s, w, *_ = repeats.anchor_runs(values, bounds, 100, 32)
         got += [(int(index[i]), int(a + at[i]), int(n)) for i, a, n in zip(t, s, w, strict=True)]
     starts = sorted(x for i, a, n in got if i == 1 for x in range(a, a + n))
