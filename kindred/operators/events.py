@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.schema import ACTIONS
+
 GONE = ("recycled", "permanently_deleted")
 # Which operation may follow which state.
 TRANSITIONS = {"prepared": ("none", "validating", "restored", "failed"), "recycled": ("prepared",), "restored": ("recycled",), "permanently_deleted": ("recycled",), "validating": ("none", "validating", "restored", "failed")}
@@ -12,8 +14,7 @@ TRANSITIONS = {"prepared": ("none", "validating", "restored", "failed"), "recycl
 
 def action_status(operation: Column) -> Column:
     """Log names as states: both kinds of failure are failed, unknown ones none."""
-    known = operation.isin("validating", "prepared", "recycled", "restored", "permanently_deleted")
-    return F.when(operation.isin("operation_failed", "validation_failed", "failed"), "failed").when(known, operation).otherwise("none")
+    return F.when(operation.isin("operation_failed", "validation_failed"), "failed").when(operation.isin(*ACTIONS), operation).otherwise("none")
 
 
 def latest(events: DataFrame, *more: str) -> DataFrame:

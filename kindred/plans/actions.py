@@ -13,7 +13,7 @@ from kindred.plans.registry import query
 from kindred.schema import ANALYSIS, REVIEW
 from kindred.sources import sinks
 
-STATUS = "CASE WHEN {c} IN ('operation_failed', 'validation_failed', 'failed') THEN 'failed' WHEN {c} IN ('validating', 'prepared', 'recycled', 'restored', 'permanently_deleted') THEN {c} ELSE 'none' END"
+STATUS = "CASE WHEN {c} IN ('operation_failed', 'validation_failed', 'failed') THEN 'failed' WHEN {c} IN ('validating', 'prepared', 'recycled', 'restored', 'permanently_deleted', 'stale', 'reconciliation_required') THEN {c} ELSE 'none' END"
 
 
 @query("active_images", f"WITH {IMAGES}, {OPERATIONS} SELECT i.image_id, i.relative_path, row_number() OVER (ORDER BY i.relative_path, i.image_id) AS position FROM images i LEFT JOIN latest l ON l.result_id = i.image_id WHERE coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted')")
@@ -81,11 +81,11 @@ def upsert_last_wins(spark, sf_dir):
 def review(spark, sf_dir) -> DataFrame:
     """Review states of two of three images."""
     k = F.col("image_id") % 3
-    return images(spark, sf_dir).filter(k < 2).select("image_id", F.when(k == 0, "confirmed").otherwise("pending").alias("review_status"))
+    return images(spark, sf_dir).filter(k < 2).select("image_id", F.when(k == 0, "approved_for_recycle").otherwise("pending").alias("review_status"))
 
 
 @query("run_stats", f"""WITH {RESULTS_ALL}, {OPERATIONS}, ex AS (SELECT image_id, 'exact_duplicate' AS analysis_type FROM images c WHERE role = 'comparison' AND EXISTS (SELECT 1 FROM images b WHERE b.role = 'baseline' AND b.digest = c.digest)),
-al AS (SELECT a.*, CASE a.image_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'pending' END AS review_status, l.operation_type FROM (SELECT image_id, analysis_type FROM results UNION ALL SELECT * FROM ex) a LEFT JOIN latest l ON l.result_id = a.image_id)
+al AS (SELECT a.*, CASE a.image_id % 3 WHEN 0 THEN 'approved_for_recycle' WHEN 1 THEN 'pending' END AS review_status, l.operation_type FROM (SELECT image_id, analysis_type FROM results UNION ALL SELECT * FROM ex) a LEFT JOIN latest l ON l.result_id = a.image_id)
 SELECT (SELECT count(*) FROM images WHERE role = 'baseline') AS baseline_total, (SELECT count(*) FROM images WHERE role = 'comparison') AS comparison_total, count(DISTINCT image_id) AS analysed, {", ".join(f"count(*) FILTER (WHERE analysis_type = '{c}') AS {c}" for c in ANALYSIS)},
 {", ".join(f"count(*) FILTER (WHERE review_status = '{c}') AS review_{c}" for c in REVIEW)}, count(*) FILTER (WHERE operation_type = 'recycled') AS recycled, count(*) AS classified, TRUE AS conserved FROM al""")
 def run_stats(spark, sf_dir):
@@ -145,7 +145,7 @@ def report(spark, sf_dir) -> DataFrame:
 @query("report_rows", f"""WITH {RESULTS_ALL}, {OPERATIONS}, ex AS (SELECT c.image_id, arg_min(b.image_id, b.relative_path) AS primary_id FROM images c JOIN images b USING (digest) WHERE c.role = 'comparison' AND b.role = 'baseline' GROUP BY 1),
 al AS (SELECT image_id, analysis_type, primary_id, phash_distance, score FROM results UNION ALL SELECT image_id, 'exact_duplicate', primary_id, 0, 1.0 FROM ex),
 j AS (SELECT a.*, c.relative_path AS c_path, b.relative_path AS b_path, c.file_size::DOUBLE / b.file_size AS sr, (c.width * c.height)::DOUBLE / (b.width * b.height) AS rr, abs(c.width::DOUBLE / c.height - b.width::DOUBLE / b.height) / greatest(c.width::DOUBLE / c.height, b.width::DOUBLE / b.height) AS ad,
-  coalesce(c.width < b.width AND c.height < b.height, FALSE) AS d1, coalesce(c.file_size < b.file_size, FALSE) AS d2, CASE a.image_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'pending' END AS rev, {STATUS.format(c='l.operation_type')} AS act, l.operation_type IS NULL AS no_act
+  coalesce(c.width < b.width AND c.height < b.height, FALSE) AS d1, coalesce(c.file_size < b.file_size, FALSE) AS d2, CASE a.image_id % 3 WHEN 0 THEN 'approved_for_recycle' WHEN 1 THEN 'pending' END AS rev, {STATUS.format(c='l.operation_type')} AS act, l.operation_type IS NULL AS no_act
   FROM al a JOIN images c ON c.image_id = a.image_id LEFT JOIN images b ON b.image_id = a.primary_id LEFT JOIN latest l ON l.result_id = a.image_id)
 SELECT 'run-1' AS "runId", image_id::VARCHAR AS "comparisonImageId", c_path AS "comparisonPath", analysis_type AS "analysisType", coalesce(primary_id::VARCHAR, '') AS "primaryMatchImageId", coalesce(b_path, '') AS "primaryMatchPath", coalesce(phash_distance::VARCHAR, '') AS "phashDistance", coalesce(printf('%.6f', score), '') AS "ssimScore",
 coalesce(printf('%.6f', sr), '') AS "sizeRatio", coalesce(printf('%.6f', rr), '') AS "resolutionRatio", coalesce(printf('%.6f', ad), '') AS "aspectDiff", d1::VARCHAR AS "directionSmallerResolution", d2::VARCHAR AS "directionSmallerFilesize", coalesce(rev, 'N/A') AS "reviewStatus", CASE WHEN no_act THEN 'N/A' ELSE act END AS "actionStatus", 'profile' AS "algorithmProfileId" FROM j""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kindred.config import DEFAULT, ProfileMismatch, guard_distance, guard_ids, guard_profile
 from kindred.functions import bits, measures, naming, paths
 from kindred.operators import classify, events, fileplan, finder, graph, match, sets, stats
-from kindred.schema import assert_domain, assert_unique
+from kindred.schema import SETTINGS, assert_domain, assert_unique
 
 FOUND = "c_id long, b_id long, b_path string, distance long, rank long, truncated boolean, score double, exact boolean, b_width long, b_height long, b_file_size long"
 
@@ -193,3 +193,9 @@ def test_small_pieces(spark):
     assert one(stats.reorder(F.lit(2), 2, 0)) == 0 and one(stats.reorder(F.lit(0), 2, 0)) == 1
     pairs = sets.unordered_pairs(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "a long, b long"), "a", "b")
     assert {(r["lo"], r["hi"]) for r in pairs.collect()} == {(1, 2), (1, 3)}
+
+
+def test_settings_fall_back(spark):
+    rows = spark.createDataFrame([("default_phash_max_distance", "12"), ("default_compressed_ssim_threshold", "bad"), ("other", "1")], "key string, value string")
+    got = events.settings(rows, SETTINGS).first().asDict()
+    assert got["default_phash_max_distance"] == 12 and got["default_compressed_ssim_threshold"] == 0.995 and got["max_candidate_per_image"] == 50
