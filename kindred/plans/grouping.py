@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import measures
-from kindred.operators import classify, finder, graph, match, stats
+from kindred.operators import finder, graph, match, stats
 from kindred.plans.bindings import GROUPS, IMAGES, SCORE, images, pair_score
 from kindred.plans.matching import RESULTS_ALL, results
 from kindred.plans.registry import query
