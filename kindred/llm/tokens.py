@@ -26,7 +26,7 @@ def default_vocabulary() -> str:
 class WordTokenizer:
     """``most_words`` bounds the memory of the pool only; when it is full it starts anew and no result changes."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -84,6 +84,11 @@ class WordTokenizer:
         self.filled += len(flat)
         self.index.update(zip(words, range(at, to), strict=True))
 
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        get = self.index.get
+        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return known, np.flatnonzero(known < 0)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text). Null texts have no ids."""
         if isinstance(texts, pa.ChunkedArray):
@@ -97,11 +102,10 @@ class WordTokenizer:
         coded = split.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).dictionary_encode()
         bounds = bounds - bounds[0]
         words = coded.dictionary.to_pylist()
-        if len(self.index) + len(words) > self.most_words and len(self.index) > 1:
+        known, miss = self._look_up(words)
+        if len(self.index) + len(miss) > self.most_words and len(self.index) > 1:
             self._reset()
-        get = self.index.get
-        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        miss = np.flatnonzero(known < 0)
+            known, miss = self._look_up(words)
         if len(miss):
             first = len(self.index)
             self._learn([words[i] for i in miss.tolist()])
