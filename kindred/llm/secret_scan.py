@@ -9,7 +9,6 @@ patterns are never dropped.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
