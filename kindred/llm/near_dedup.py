@@ -57,22 +57,25 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """The least index that each of ``n`` items reaches over the links a-b."""
-    label = np.arange(n) if label is None else label
+    """The least index that each of ``n`` items reaches over the links a-b.
+
+    Only roots are hooked, and labels are roots whenever links are looked at, so a link whose ends agree stays settled.
+    """
+    label = _compressed(np.arange(n) if label is None else label)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before[a], low)
-        np.minimum.at(label, before[b], low)
-        label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        label = _compressed(label)
+    return label
+
+
+def _compressed(label: np.ndarray) -> np.ndarray:
     while True:
         next_ = label[label]
         if (next_ == label).all():
-            return label
+            return next_
         label = next_
 
 

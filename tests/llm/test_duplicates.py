@@ -66,6 +66,45 @@ def test_links_connect_what_pairs_connect(seed, n, flips, wide):
     assert got.tolist() == components_of([int(x) for x in fp])
 
 
+def test_labels_keep_every_link():
+    """Both ends of a link move to other lower neighbours in one round."""
+    a, b = np.array([(2, 4), (2, 5), (4, 6), (5, 7), (6, 1), (7, 0)]).T
+    assert near_dedup._labels(8, a, b).tolist() == [0, 0, 0, 3, 0, 0, 0, 0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**32), st.integers(2, 400), st.integers(1, 5))
+def test_labels_of_sparse_trees_in_random_order(seed, n, trees):
+    rng = random.Random(seed)
+    name = rng.sample(range(n), n)
+    edges = [(name[i], name[rng.choice([i - trees, rng.randrange(i % trees, i, trees)])]) for i in range(trees, n)]
+    rng.shuffle(edges)
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    expected = [0] * n
+    for t in range(min(trees, n)):
+        for i in range(t, n, trees):
+            expected[name[i]] = min(name[t::trees])
+    assert near_dedup._labels(n, a, b).tolist() == expected
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(2, 150), st.sampled_from([2, 64, 512]))
+def test_links_connect_sparse_chains_in_random_order(seed, n, wide):
+    rng = random.Random(seed)
+    fps = [rng.getrandbits(64)]
+    for _ in range(n):
+        x = fps[-1]
+        for bit in rng.sample(range(32), 2):
+            x ^= 1 << bit
+        if x not in fps:
+            fps.append(x)
+    rng.shuffle(fps)
+    fp, place = np.array(fps, np.uint64), {x: i for i, x in enumerate(fps)}
+    a, b = near_dedup.link_sorted(np.zeros(len(fp), np.int64), fp, 2, wide)
+    ends = [np.array([place[int(v)] for v in x], np.int64) for x in (a, b)]
+    assert near_dedup._labels(len(fp), *ends).tolist() == components_of(fps) == [0] * len(fps)
+
+
 def test_one_row_of_each_component_stays(spark, docs, rows, empty):
     out = near_dedup.drop_near_duplicates(docs).collect()
     assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
