@@ -43,6 +43,20 @@ def test_query(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=str)
 
 
+def test_listed_images_of_a_larger_table(spark):
+    """More vectors than the smallest tables have."""
+    import duckdb
+
+    larger = os.path.join(os.path.dirname(DATA.rstrip("/")), "sf0.1")
+    if not os.path.isdir(larger):
+        pytest.skip("no larger tables")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{larger}/embeddings.parquet'")
+    expected = con.execute(catalogue.oracle_sql()["listed_images"]).fetchall()
+    got = catalogue.queries()["listed_images"](spark, larger).select("image_id", "relative_path", "position").collect()
+    assert len(got) == 50 and sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_entry(spark):
     import __spark_entry__
 
