@@ -143,8 +143,9 @@ class Runs:
         anchor, span, doc, version, start, windows = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.n = [], 0
         order = np.lexsort((start, version, doc, span, anchor))
+        order = order[fresh_places(anchor[order], span[order], doc[order], version[order], start[order])]
         anchor, span, doc, version, start, windows = (x[order] for x in (anchor, span, doc, version, start, windows))
-        later, several = settle(anchor, span, doc, self.across)
+        later, several = settle(anchor, span, (doc, version, start), self.across)
         note = np.flatnonzero(several & np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         covered = np.flatnonzero(later)
         if len(covered):  # neighbouring covered runs of a document as one
@@ -168,16 +169,22 @@ class Runs:
 RUNS = "kind int, anchor long, span long, doc long, version long, start long, windows long"
 
 
-def settle(key: np.ndarray, part: np.ndarray, doc: np.ndarray, across: bool, notes: np.ndarray | None = None):
-    """For rows sorted by key, part, doc, place: which repeat an earlier one of their (key, part), and which have a key
-    with several parts. ``across``: only one in a smaller document counts. A note stands for further parts."""
+def fresh_places(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted rows, the indices of those that differ from the one before: a repeated row's runs go once."""
+    return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)]))
+
+
+def settle(key: np.ndarray, part: np.ndarray, place: tuple[np.ndarray, ...], across: bool, notes: np.ndarray | None = None):
+    """For rows sorted by key, part, place (doc, version, start): which repeat an earlier one of their (key, part), and
+    which have a key with several parts. The same place again, from a repeated row, repeats nothing. ``across``: only one
+    in a smaller document counts. A note stands for further parts."""
     n = len(key)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
     new_part = new_key | np.concatenate([[True], part[1:] != part[:-1]])
     first = np.maximum.accumulate(np.where(new_part, np.arange(n), 0))
-    later = (doc > doc[first]) if across else ~new_part
+    later = place[0] > place[0][first] if across else np.any([x != x[first] for x in place], axis=0)
     group = np.cumsum(new_key) - 1
     parts = np.bincount(group, weights=new_part)
     if notes is not None:
@@ -232,7 +239,7 @@ def find_runs(docs: DataFrame, units: Units, width: int, gram: int, across: bool
             known = x["kind"] != Runs.SENT
             real = ~known & (x["windows"] > 0)
             note = ~known & ~real
-            later, several = settle(x["anchor"], x["span"], x["doc"], across, notes=note)
+            later, several = settle(x["anchor"], x["span"], (x["doc"], x["version"], x["start"]), across, notes=note)
             kind = np.where(known, x["kind"], np.where(later, Runs.COVERED, Runs.ASKED))
             keep = known | (real & (later | several))
             yield pa.record_batch([pa.array(kind[keep].astype(np.int32)), *(pa.array(x[c][keep]) for c in ("doc", "version", "start", "windows"))], names=["kind", "doc", "version", "start", "windows"])
@@ -288,8 +295,9 @@ def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int,
     def flush(held) -> Iterator[pa.RecordBatch]:
         key, doc, version, start = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, version, doc, key))
+        order = order[fresh_places(key[order], doc[order], version[order], start[order])]
         key, doc, version, start = (x[order] for x in (key, doc, version, start))
-        later, _ = settle(key, key, doc, across)
+        later, _ = settle(key, key, (doc, version, start), across)
         first = np.flatnonzero(~later)
         yield batch(key[first], doc[first], version[first], start[first], np.zeros(len(first), np.int64))
         rest = np.flatnonzero(later)
@@ -308,7 +316,7 @@ def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int,
         for x in by_key(batches, "key"):
             known = x["windows"] > 0
             open_ = np.flatnonzero(~known)
-            later, _ = settle(x["key"][open_], x["key"][open_], x["doc"][open_], across)
+            later, _ = settle(x["key"][open_], x["key"][open_], tuple(x[c][open_] for c in ("doc", "version", "start")), across)
             keep = known.copy()
             keep[open_[later]] = True
             yield pa.record_batch([*(pa.array(x[c][keep]) for c in ("doc", "version", "start")), pa.array(np.maximum(x["windows"][keep], 1))], names=["doc", "version", "start", "windows"])

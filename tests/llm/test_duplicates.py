@@ -210,6 +210,27 @@ def test_repeated_rows_and_null_ids(spark, docs, rows):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_op10_repeated_rows_stay_once(spark, parts):
+    """A repeated row covers others, and itself only where its text repeats inside."""
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 250, 400))
+    texts = [(1, a), (2, b + a[100:]), (3, c[:130] + "|" + c + "|" + c[:200]), (4, "short"), (5, None)]
+    repeated = [x for x in texts for _ in range(1 + 2 * (x[0] != 2))]
+    docs = spark.createDataFrame(repeated, "doc_id long, text string").repartition(parts)
+    expected = brute_bytes(texts)
+    got = suffix.repeated_bytes(docs).collect()
+    shown = [(r["doc_id"], (r["n_bytes"], sum(x["end"] - x["start"] for x in r["repeats"]), len(r["repeats"]), hashlib.sha256(bytes(r["kept"])).hexdigest())) for r in got]
+    assert sorted(shown) == sorted((i, expected[i]) for i, _ in repeated)
+
+
+def test_op10_of_mixed_rows_against_brute_force(spark, docs, rows):
+    key = lambda r: (-1 if r[0] is None else r[0], r[1] or "")
+    expected = brute_bytes([(k, k[1]) for k in {key(r) for r in rows}])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix.repeated_bytes(docs).collect())
+    assert got == sorted((key(r)[0], expected[key(r)][3]) for r in rows)
+
+
 def test_op6_against_brute_force(spark, folder, unique):
     got = {r["doc_id"]: r for r in fingerprints.op6_document_fingerprints(spark, folder).collect()}
     order = sorted(unique, reverse=True)
