@@ -13,11 +13,13 @@ have equal anchors at equal places. Neighbouring windows mostly share an anchor
 3. For these runs alone the documents are read again and their windows are compared one by one, in each task first and
    then by hash, again with at most one row a window and task.
 
-The anchor, span and window hashes have 64 bits each. What comes out are covered ranges of window starts.
+Anchor and span hashes have 64 bits each and are compared together; a window has two hashes with different bases, also
+128 bits. What comes out are covered ranges of window starts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,30 +32,33 @@ from kindred.llm.common import chunks_by_bytes, materialise, mix64, partitions,
 
 LOWEST = -(2**63)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+SECOND = np.uint64(0xD1342543DE82EF95)
+SPACE = re.compile(rb"[ \t-\r]")
 PLACE = 24  # bits of a place inside a slice
 SLICE, HELD = 1 << 20, 1 << 20  # bytes of text in a slice; runs that a task holds before it sends
-_powers: list[np.ndarray] = []
+_powers: dict[int, list[np.ndarray]] = {}
 
 Units = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # texts -> (a 64-bit value a unit, bounds of the texts)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers 0..n and those of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
+def powers(n: int, base: np.uint64 = MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0..n and those of its inverse, modulo 2**64."""
+    known = _powers.get(int(base))
+    if known is None or len(known[0]) <= n:
         size = 1 << max(16, int(n + 1).bit_length())
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, x, np.uint64))]) for x in (MULTIPLIER, INVERSE)]
-    return _powers[0], _powers[1]
+        inverse = np.uint64(pow(int(base), -1, 2**64))
+        known = _powers[int(base)] = [np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, x, np.uint64))]) for x in (base, inverse)]
+    return known[0], known[1]
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
+def prefix_hash(values: np.ndarray, base: np.uint64 = MULTIPLIER) -> np.ndarray:
     """H with H[b] - H[a], times the inverse power of a, the hash of values[a:b]."""
-    up, _ = powers(len(values))
+    up, _ = powers(len(values), base)
     return np.concatenate([[np.uint64(0)], np.cumsum(values * up[: len(values)], dtype=np.uint64)])
 
 
-def spans_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
+def spans_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, base: np.uint64 = MULTIPLIER) -> np.ndarray:
+    _, down = powers(len(prefix), base)
     return mix64((prefix[b] - prefix[a]) * down[a])
 
 
@@ -69,15 +74,12 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
 
 
-def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-    return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], bounds
-
-
-def anchor_runs(values: np.ndarray, bounds: np.ndarray, width: int, gram: int):
-    """Arrays (text, first window's start in the text, windows, anchor hash, span hash), one entry a run."""
+def anchor_runs(values: np.ndarray, bounds: np.ndarray, width: int, gram: int, places: bool = False):
+    """Arrays (text, first window's start in the text, windows, anchor hash, span hash), one entry a run; with ``places``
+    also where in ``values`` the anchor is."""
     n, reach = len(values), width - gram + 1
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    none += (np.zeros(0, np.int64),) * places
     if n < width:
         return none
     if n >= 1 << PLACE:
@@ -103,23 +105,35 @@ def anchor_runs(values: np.ndarray, bounds: np.ndarray, width: int, gram: int):
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
     windows = np.diff(np.append(first, len(own)))
     s = start[first]
-    return text[first], s - bounds[text[first]], windows, grams[own[first]], spans_hash(prefix, s, s + windows - 1 + width)
+    return text[first], s - bounds[text[first]], windows, grams[own[first]], spans_hash(prefix, s, s + windows - 1 + width), *((own[first],) * places)
 
 
 def slices(texts: list[bytes], width: int, units: Units):
     """(values, bounds, index of each text, its first unit) for slices of bounded size. A longer text goes in stretches
     that share ``width`` - 1 units, so that each window lies in exactly one of them."""
-    stretch = 4 * SLICE
     for a, b in chunks_by_bytes(texts, SLICE):
-        values, bounds = units(texts[a:b])
-        if len(values) < (1 << PLACE) - 1:
+        if b - a > 1 or len(texts[a]) <= 4 * SLICE:
+            values, bounds = units(texts[a:b])
             yield values, bounds, np.arange(a, b), np.zeros(b - a, np.int64)
             continue
-        for i in range(b - a):
-            own = values[bounds[i] : bounds[i + 1]]
-            for at in range(0, max(1, len(own) - width + 1), stretch):
-                part = own[at : at + stretch + width - 1]
-                yield part, np.array([0, len(part)]), np.array([a + i]), np.array([at])
+        kept, at = np.zeros(0, np.uint64), 0
+        for part in cut_at_space(texts[a], 4 * SLICE):
+            values = np.concatenate([kept, units([part])[0]])
+            yield values, np.array([0, len(values)]), np.array([a]), np.array([at])
+            kept = values[max(0, len(values) - width + 1) :]
+            at += len(values) - len(kept)
+
+
+def cut_at_space(text: bytes, most: int):
+    """Parts of about ``most`` bytes that end before white space, or where a word is longer than that, after it."""
+    at = 0
+    while at < len(text):
+        to = min(at + most, len(text))
+        if to < len(text):
+            space = SPACE.search(text, to)
+            to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
 
 
 class Runs:
@@ -143,17 +157,13 @@ class Runs:
         anchor, span, doc, version, start, windows = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.n = [], 0
         order = np.lexsort((start, version, doc, span, anchor))
-        order = order[fresh_places(anchor[order], span[order], doc[order], version[order], start[order])]
         anchor, span, doc, version, start, windows = (x[order] for x in (anchor, span, doc, version, start, windows))
         later, several = settle(anchor, span, (doc, version, start), self.across)
         note = np.flatnonzero(several & np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         covered = np.flatnonzero(later)
-        if len(covered):  # neighbouring covered runs of a document as one
-            by = covered[np.lexsort((start[covered], version[covered], doc[covered]))]
-            fresh = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (version[by][1:] != version[by][:-1]) | (start[by][1:] != (start + windows)[by][:-1])])
-            at = np.flatnonzero(fresh)
-            zero = np.zeros(len(at), np.int64)
-            yield self.batch(self.COVERED, mix64(doc[by][at].view(np.uint64)).view(np.int64), zero, doc[by][at], version[by][at], start[by][at], np.add.reduceat(windows[by], at))
+        if len(covered):
+            ranges = joined_ranges(doc[covered], version[covered], start[covered], windows[covered])
+            yield self.batch(self.COVERED, mix64(ranges[0].view(np.uint64)).view(np.int64), np.zeros(len(ranges[0]), np.int64), *ranges)
         ask = np.flatnonzero(several & ~later)
         yield self.batch(self.ASKED, span[ask], span[ask], doc[ask], version[ask], start[ask], windows[ask])
         zero = np.zeros(len(note), np.int64)
@@ -169,14 +179,9 @@ class Runs:
 RUNS = "kind int, anchor long, span long, doc long, version long, start long, windows long"
 
 
-def fresh_places(*columns: np.ndarray) -> np.ndarray:
-    """Of sorted rows, the indices of those that differ from the one before: a repeated row's runs go once."""
-    return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)]))
-
-
 def settle(key: np.ndarray, part: np.ndarray, place: tuple[np.ndarray, ...], across: bool, notes: np.ndarray | None = None):
     """For rows sorted by key, part, place (doc, version, start): which repeat an earlier one of their (key, part), and
-    which have a key with several parts. The same place again, from a repeated row, repeats nothing. ``across``: only one
+    which have a key with several parts. ``across``: only one
     in a smaller document counts. A note stands for further parts."""
     n = len(key)
     if not n:
@@ -192,14 +197,26 @@ def settle(key: np.ndarray, part: np.ndarray, place: tuple[np.ndarray, ...], acr
     return later, (parts > 1)[group]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, version, text. A null doc_id is the least. version is 0, or a hash of the text where the table
-    has a doc_id twice: rows with equal doc_id and text then are one document, and each gets its result."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, version, text of each row, and of each distinct row. A null doc_id is the least. version is 0, or a hash of
+    the text where the table has a doc_id twice: rows with equal doc_id and text then are one document, and each gets
+    its result."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     twice = docs.groupBy(doc.alias("doc")).count().filter("count > 1").limit(1).count() > 0
     text = F.coalesce(F.col("text"), F.lit(""))
     version = F.xxhash64(text) if twice else F.lit(0).cast("long")
-    return docs.select(doc.alias("doc"), version.alias("version"), text.alias("text"))
+    rows = docs.select(doc.alias("doc"), version.alias("version"), text.alias("text"))
+    return rows, rows.dropDuplicates(["doc", "version"]) if twice else rows
+
+
+def joined_ranges(doc: np.ndarray, version: np.ndarray, start: np.ndarray, windows: np.ndarray):
+    """The same window starts with neighbouring ranges of a document as one, sorted."""
+    order = np.lexsort((start, version, doc))
+    doc, version, start, windows = (x[order] for x in (doc, version, start, windows))
+    if not len(doc):
+        return doc, version, start, windows
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + windows[:-1])]))
+    return doc[at], version[at], start[at], np.add.reduceat(windows, at)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str, np.ndarray]]:
@@ -263,28 +280,23 @@ def window_starts(ranges) -> np.ndarray:
     return np.unique(np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
 
 
-def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int, across: bool, local: Callable | None = None) -> DataFrame:
-    """Step 3: covered windows of the asked runs (doc, version, start, windows); a written table.
-
-    ``local(values, starts, hashes)`` may give the windows of one slice other keys that are equal for equal windows.
-    """
+def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int, across: bool) -> DataFrame:
+    """Step 3: covered windows of the asked runs (doc, version, start, windows); a written table."""
+    names = ["key", "check", "doc", "version", "start", "windows"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            doc, version, ranges = batch.column("doc").to_numpy(), batch.column("version").to_numpy(), batch.column("ranges").to_pylist()
-            texts = utf8(batch.column("text"))
-            for a, b in chunks_by_bytes(texts, SLICE):
-                values, bounds = units(texts[a:b])
-                prefix = prefix_hash(values)
-                starts = [window_starts(r) for r in ranges[a:b]]
-                of = np.repeat(np.arange(b - a), [len(s) for s in starts])
-                s = np.concatenate(starts)
-                at = s + bounds[of]
-                key = spans_hash(prefix, at, at + width).view(np.int64)
-                if local is not None:
-                    key = local(values, at, key)
-                held.append((key, doc[a:b][of], version[a:b][of], s))
+            doc, version = batch.column("doc").to_numpy(), batch.column("version").to_numpy()
+            asked_of = [window_starts(r) for r in batch.column("ranges").to_pylist()]
+            for values, bounds, index, at in slices(utf8(batch.column("text")), width, units):
+                own = [asked_of[i][slice(*np.searchsorted(asked_of[i], [x, x + max(0, n_units - width + 1)]))] - x for i, x, n_units in zip(index, at, np.diff(bounds), strict=True)]
+                of = np.repeat(np.arange(len(index)), [len(s) for s in own])
+                s = np.concatenate(own)
+                a = s + bounds[of]
+                key = spans_hash(prefix_hash(values), a, a + width)
+                check = spans_hash(prefix_hash(mix64(values), SECOND), a, a + width, SECOND)
+                held.append((key.view(np.int64), check.view(np.int64), doc[index[of]], version[index[of]], s + at[of]))
                 n += len(s)
                 if n >= HELD:
                     yield from flush(held)
@@ -293,45 +305,38 @@ def compare_windows(docs: DataFrame, asked: DataFrame, units: Units, width: int,
             yield from flush(held)
 
     def flush(held) -> Iterator[pa.RecordBatch]:
-        key, doc, version, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, version, doc, key))
-        order = order[fresh_places(key[order], doc[order], version[order], start[order])]
-        key, doc, version, start = (x[order] for x in (key, doc, version, start))
-        later, _ = settle(key, key, (doc, version, start), across)
-        first = np.flatnonzero(~later)
-        yield batch(key[first], doc[first], version[first], start[first], np.zeros(len(first), np.int64))
-        rest = np.flatnonzero(later)
-        if len(rest):  # neighbours as one range, under a key that spreads them
-            doc, version, start = (x[rest] for x in (doc, version, start))
-            order = np.lexsort((start, version, doc))
-            doc, version, start = (x[order] for x in (doc, version, start))
-            at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + 1)]))
-            n = np.diff(np.append(at, len(start)))
-            yield batch(mix64(doc[at].view(np.uint64) ^ start[at].view(np.uint64)).view(np.int64), doc[at], version[at], start[at], n)
+        key, check, doc, version, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, version, doc, check, key))
+        key, check, doc, version, start = (x[order] for x in (key, check, doc, version, start))
+        later, _ = settle(key, check, (doc, version, start), across)
+        yield batch(*(x[~later] for x in (key, check, doc, version, start)), np.zeros(int((~later).sum()), np.int64))
+        if later.any():  # neighbours as one range, under a key that spreads them
+            doc, version, start, n = joined_ranges(doc[later], version[later], start[later], np.ones(int(later.sum()), np.int64))
+            yield batch(mix64(doc.view(np.uint64) ^ start.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), doc, version, start, n)
 
     def batch(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(x) for x in columns], names=["key", "doc", "version", "start", "windows"])
+        return pa.record_batch([pa.array(x) for x in columns], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in by_key(batches, "key"):
             known = x["windows"] > 0
             open_ = np.flatnonzero(~known)
-            later, _ = settle(x["key"][open_], x["key"][open_], tuple(x[c][open_] for c in ("doc", "version", "start")), across)
+            later, _ = settle(x["key"][open_], x["check"][open_], tuple(x[c][open_] for c in ("doc", "version", "start")), across)
             keep = known.copy()
             keep[open_[later]] = True
             yield pa.record_batch([*(pa.array(x[c][keep]) for c in ("doc", "version", "start")), pa.array(np.maximum(x["windows"][keep], 1))], names=["doc", "version", "start", "windows"])
 
     needed = docs.select("doc", "version", "text").join(listed(asked), ["doc", "version"])
-    found = needed.mapInArrow(tidily(windows), "key long, doc long, version long, start long, windows long")
-    dealt = found.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "version", "start")
+    found = needed.mapInArrow(tidily(windows), ", ".join(f"{c} long" for c in names))
+    dealt = found.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "check", "doc", "version", "start")
     return materialise(dealt.mapInArrow(tidily(meet), "doc long, version long, start long, windows long"), "windows")
 
 
-def covered_ranges(docs: DataFrame, units: Units, width: int, gram: int, across: bool, local: Callable | None = None) -> DataFrame:
-    """doc, version, ranges of covered window starts, for the documents that have any."""
+def covered_ranges(docs: DataFrame, units: Units, width: int, gram: int, across: bool) -> DataFrame:
+    """doc, version, ranges of covered window starts, for the documents that have any; ``docs`` has no row twice."""
     runs = find_runs(docs, units, width, gram, across)
     asked = runs.filter(F.col("kind") == Runs.ASKED).select("doc", "version", "start", "windows")
-    ends = compare_windows(docs, asked, units, width, across, local)
+    ends = compare_windows(docs, asked, units, width, across)
     return listed(runs.filter(F.col("kind") == Runs.COVERED).select("doc", "version", "start", "windows").unionByName(ends))
 
 

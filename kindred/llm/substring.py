@@ -27,8 +27,8 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     A null text has no words; a null doc_id counts as the least; repeated rows each get their row. Windows are judged
     on the input. Rows that share a doc_id do not cover one another.
     """
-    rows = keyed(docs)
-    found = rows.join(covered_ranges(rows, word_units, width, min(GRAM, width), across=True), ["doc", "version"], "left")
+    rows, distinct = keyed(docs)
+    found = rows.join(covered_ranges(distinct, word_units, width, min(GRAM, width), across=True), ["doc", "version"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -158,15 +158,23 @@ def test_runs_are_settled_alike_in_small_parts(unique):
 
 
 def test_long_texts_are_cut_into_stretches(monkeypatch):
-    monkeypatch.setattr(repeats, "PLACE", 10)
     monkeypatch.setattr(repeats, "SLICE", 64)
-    text = bytes(random.Random(3).randrange(97, 105) for _ in range(3000))
-    got = []
-    for values, bounds, index, at in repeats.slices([b"x", text, b""], 100, repeats.byte_units):
-        t, s, w, *_ = repeats.anchor_runs(values, bounds, 100, 32)
+    monkeypatch.setattr(suffix, "SLICE", 64)
+    monkeypatch.setattr(suffix, "STRETCH", 256)
+    rng = random.Random(3)
+    words = b" ".join(bytes(rng.randrange(97, 105) for _ in range(rng.randrange(1, 9))) for _ in range(900)) + b" " + b"w" * 700 + b" end of it"
+    got, whole = [], repeats.word_units([words])[0]
+    for values, bounds, index, at in repeats.slices([b"x", words, b""], 13, repeats.word_units):
+        t, s, w, *_ = repeats.anchor_runs(values, bounds, 13, 7)
         got += [(int(index[i]), int(a + at[i]), int(n)) for i, a, n in zip(t, s, w, strict=True)]
-    starts = sorted(x for i, a, n in got if i == 1 for x in range(a, a + n))
-    assert starts == list(range(3000 - 99))
+        if index[0] == 1:
+            assert values.tolist() == whole[at[0] : at[0] + len(values)].tolist()
+    assert sorted(x for i, a, n in got if i == 1 for x in range(a, a + n)) == list(range(len(whole) - 12))
+    got, doc = [], np.array([5, 3, 4])
+    for data, bounds, index, at in suffix.pieces(doc, doc * 0, [b"x", words, b""], 100):
+        t, s, w, *_ = repeats.anchor_runs(repeats.BYTE_VALUES[data], bounds, 100, 32)
+        got += [(int(index[i]), int(a + at[i]), int(n)) for i, a, n in zip(t, s, w, strict=True)]
+    assert sorted(x for i, a, n in got if i == 1 for x in range(a, a + n)) == list(range(len(words) - 99))
 
 
 def brute_bytes(rows):
@@ -191,6 +199,37 @@ def test_op10_against_brute_force(spark, folder, unique):
     assert suffix.op10_suffix_array_dedup(spark, f"{folder}/none").count() == 0
 
 
+def common_passage(n, seed=8):
+    """Texts that share a passage with other words around it, some of which are equal on one side."""
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    line, sides = word(130), [word(80) for _ in range(4)]
+    return [(i, rng.choice(sides)[-rng.randrange(1, 80) :] + word(rng.randrange(3)) + line[rng.randrange(20) :] + word(rng.randrange(3)) + rng.choice(sides)[: rng.randrange(80)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [1, 8, 4096])
+def test_op10_large_buckets_are_dealt_out_anew(spark, most):
+    texts = common_passage(90)
+    docs = spark.createDataFrame([(i, 0, t) for i, t in texts], "doc long, version long, text string").repartition(6)
+    got = {r["doc"]: sorted(x for a in r["ranges"] for x in range(a["start"], a["start"] + a["windows"])) for r in suffix.covered_ranges(docs, 100, most).collect()}
+    seen, expected = set(), {}
+    for i, t in texts:
+        own = [t[j : j + 100] for j in range(len(t) - 99)]
+        expected[i] = [j for j, k in enumerate(own) if k in seen or k in own[:j]]
+        seen.update(own)
+    assert got == {i: x for i, x in expected.items() if x}
+
+
+def test_op10_result_comes_from_the_refinement(spark, monkeypatch):
+    """With buckets that are never split, windows that share their first bytes pass for equal."""
+    texts = common_passage(60)
+    data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
+    starts = np.arange(0, len(data) - 99)
+    right = suffix.first_of_buckets(data, starts, 100)
+    monkeypatch.setattr(suffix, "refine", lambda buckets, offset: buckets[:-offset])
+    assert suffix.first_of_buckets(data, starts, 100).sum() < right.sum()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text("ab", max_size=60), st.integers(1, 20), st.integers(1, 8))
 def test_ranks_order_suffixes(text, depth, bucket):
