@@ -1,8 +1,10 @@
 """Quality rules by weak supervision.
 
 Each rule votes for good (+), for bad (-) or abstains (0) on one document. Expectation maximisation over the counts of
-vote patterns (at most 3 to the number of rules, at any input size) estimates how often each rule votes which way on
-good and on bad documents, and the posterior probability of good decides, in place of demanding that all rules pass.
+vote patterns (at most 3 to the number of rules, at any input size) estimates how often each rule votes against good
+documents and against bad ones, and with that its accuracy; the posterior probability of good decides, in place of
+demanding that all rules pass. A rule that votes against good documents as often as against bad ones loses its say, and
+one negative vote that nothing supports is outvoted.
 """
 
 from __future__ import annotations
@@ -22,11 +24,16 @@ from kindred.llm.tokens import text_slices
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 WINDOW = 5
-RULES = ("symbols", "repeats", "lines", "capitals", "exclaims", "lengths", "digits", "variety", "stutter")
+RULES = ("symbols", "symbol_words", "plain", "repeats", "lines", "capitals", "exclaims", "lengths", "digits", "variety", "stutter")
+#: Poor documents are of several kinds; these are the rules that each kind is expected to break, to begin with.
+KINDS = {"marks": ("symbols", "symbol_words", "plain", "digits"), "repetition": ("repeats", "lines", "variety", "stutter"), "shouting": ("capitals", "exclaims", "repeats"), "shape": ("lengths", "plain", "digits")}
+# Letters, and the punctuation that may stand around a word.
+PLAIN = r"""^["'(]*[A-Za-z\x{80}-\x{10FFFF}'-]+[.,;:!?"')]*$"""
+SYMBOLIC = r"[#*$%&|<>]"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(index of each word in the list of distinct words, offsets of each text, distinct words) of an Arrow array."""
     split = pc.ascii_split_whitespace(texts)
     bounds = split.offsets.to_numpy().astype(np.int64)
@@ -34,7 +41,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     coded = flat.filter(pa.array(full)).dictionary_encode()
     bounds = np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
-    return coded.indices.to_numpy().astype(np.int64), bounds, coded.dictionary.to_pylist()
+    return coded.indices.to_numpy().astype(np.int64), bounds, coded.dictionary
 
 
 def owner_of(bounds: np.ndarray) -> np.ndarray:
@@ -85,9 +92,16 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_words": n_words, "word_chars": word_chars, "n_symbols": count(SYMBOLS), "n_dup_lines": dup, "n_repeat_words": repeated_words(ids, bounds),
         "n_lines": n_lines, "n_upper": upper, "n_lower": count(bytes(range(97, 123))), "n_exclaims": count(b"!"), "n_digits": count(b"0123456789"),
         "n_distinct": distinct_words(ids, bounds), "n_stutters": stutters(ids, bounds),
+        "n_symbol_words": matching_words(ids, bounds, words, SYMBOLIC), "n_plain": matching_words(ids, bounds, words, PLAIN),
     }
 
 
+def matching_words(ids: np.ndarray, bounds: np.ndarray, words: pa.Array, pattern: str) -> np.ndarray:
+    """Words of each text that a pattern finds; each distinct word is looked at once."""
+    found = pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    return np.bincount(owner_of(bounds), weights=found[ids], minlength=len(bounds) - 1).astype(np.int64) if len(ids) else np.zeros(len(bounds) - 1, np.int64)
+
+
 def distinct_words(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     owner = owner_of(bounds)
     if not len(ids):
@@ -116,6 +130,8 @@ def votes(x: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack(
         [
             low(x["n_symbols"] / n, 0.05, 0.2),
+            low(x["n_symbol_words"] / n, 0.05, 0.15),
+            low(-x["n_plain"] / n, -0.8, -0.6),
             low(x["n_repeat_words"] / n, 0.05, 0.2),
             low(x["n_dup_lines"] / x["n_lines"], 0.1, 0.4),
             np.where(letters < 20, 0, low(x["n_upper"] / cased, 0.2, 0.4)),
@@ -129,25 +145,24 @@ def votes(x: dict[str, np.ndarray]) -> np.ndarray:
     ).astype(np.int8)
 
 
-def score_votes(patterns: list[str], counts: list[int], rounds: int = 200, strength: float = 20.0) -> tuple[np.ndarray, dict]:
+def score_votes(patterns: list[str], counts: list[int], rounds: int = 500, strength: float = 4.0) -> tuple[np.ndarray, dict]:
     """Posterior probability of good of each vote pattern, by expectation maximisation over all counts.
 
-    Poor documents are of several kinds and most fail one rule, not all. So the hidden classes are good, and one kind
-    of bad for each rule, and each class has for each rule the probability that its vote is
-    negative. Priors worth ``strength``
-    documents say that good documents seldom get a negative vote and that a kind of bad gets it from its rule; bounds
-    keep the classes in their places (a good document gets a rule's negative vote in at most 2 of 100 cases, a kind
-    of bad gets its rule's in at least half). With little evidence the estimates stay at the priors.
+    The hidden classes are good and the kinds of bad in ``KINDS``; in each, each rule has a probability that its vote
+    is negative. All of these and the classes' shares are estimated, with no bounds; priors worth ``strength`` documents
+    a class say where to begin: good documents seldom get a negative vote, a kind of bad mostly gets those of its rules.
+    Abstentions say nothing. Also gives the shares, the probabilities and each rule's accuracy (how often its votes
+    agree with the posterior).
     """
     if not patterns:
         return np.zeros(0), {}
     v = np.array([["-0+".index(c) for c in p] for p in patterns])
     w = np.array(counts, float)
-    rules = v.shape[1]
     against, votes_cast = (v == 0).astype(float), (v != 1).astype(float)  # pattern, rule
-    prior = np.full((1 + rules, rules), 0.01)  # probability that a vote of the rule is negative
-    prior[1 + np.arange(rules), np.arange(rules)] = 0.95
-    shares_prior = np.array([0.8] + [0.2 / rules] * rules)
+    prior = np.full((1 + len(KINDS), len(RULES)), 0.02)  # probability that a vote of the rule is negative
+    for k, broken in enumerate(KINDS.values()):
+        prior[1 + k] = [0.7 if r in broken else 0.1 for r in RULES]
+    shares_prior = np.array([0.8] + [0.2 / len(KINDS)] * len(KINDS))
     shares, negative, good = shares_prior, prior.copy(), np.zeros(len(v))
     for _ in range(rounds):
         logs = np.log(shares) + against @ np.log(negative).T + (votes_cast - against) @ np.log1p(-negative).T
@@ -157,12 +172,11 @@ def score_votes(patterns: list[str], counts: list[int], rounds: int = 200, stren
         weight = (w[:, None] * belong).T
         shares = (weight.sum(1) + strength * shares_prior) / (w.sum() + strength)
         negative = (weight @ against + strength * prior) / (weight @ votes_cast + strength)
-        negative[0] = np.minimum(negative[0], 0.02)
-        own = np.arange(rules)
-        negative[1 + own, own] = np.maximum(negative[1 + own, own], 0.5)
         if moved < 1e-9:
             break
-    return good, {"shares": dict(zip(("good", *RULES), shares.tolist(), strict=False)), "negative": negative.tolist()}
+    agree = w @ (against * (1 - good)[:, None] + (votes_cast - against) * good[:, None])
+    accuracy = agree / np.maximum(w @ votes_cast, 1)
+    return good, {"shares": dict(zip(("good", *KINDS), shares.tolist(), strict=True)), "negative": negative.tolist(), "accuracy": dict(zip(RULES, accuracy.tolist(), strict=True))}
 
 
 def _measured(docs: DataFrame, keep: Column, name: str) -> DataFrame:
