@@ -1,27 +1,41 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Distinct fingerprints meet where they agree on two of four 16-bit blocks: two fingerprints that differ in at most two
-bits leave two blocks untouched, so no link is lost. Inside such a group the distances to many reference fingerprints
-(pivots) are computed once; a pair whose distances to any pivot differ by more than the radius cannot be within it and
-is discarded, and only survivors are compared. A group gives at most one edge a member (to the least fingerprint it
-reaches there), never all its pairs. Components come from alternating large-star and small-star steps.
+Each distinct fingerprint gets its Hamming distances to ``PIVOTS`` reference fingerprints once. Two fingerprints whose
+distances to any pivot differ by more than the radius cannot be within it: such pairs are discarded, and only survivors
+are compared.
+
+``near_duplicates`` links fingerprints at a radius of two. They meet where they agree on two of four 16-bit blocks (two
+bits leave two blocks untouched, so no link is lost). A group of more than ``MOST`` is dealt out by the bands of one
+pivot distance after the other, each a little wider than the radius, so that pairs within it still meet. A group gives
+at most one edge a member (to the least fingerprint it reaches there), never all its pairs. Components come from
+alternating large-star and small-star steps.
+
+``drop_near_duplicates`` removes copies whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Their fingerprints differ in about ten bits, too many for blocks, so texts meet where ``ROWS`` least hashes agree in
+one of ``BANDS`` bands (0.998 of the pairs at 0.8, more above); pivots and fingerprints discard, and survivors are verified
+on the sets themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import materialise, mix64, partitions, tidily, utf8
+from kindred.llm.repeats import MULTIPLIER, word_units
+from kindred.llm.tokens import text_slices
 from kindred.operators.graph import roots
 
 RADIUS, SHINGLE, SEED, PIVOTS = 2, 3, 42, 16
+MOST = 4096  # fingerprints or texts of one key that are compared together
+WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS, BANDS, ROWS = 5, 0.8, 20, 20, 6
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Reference fingerprints: scrambled counting numbers.
 PIVOT_VALUES = mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -79,8 +93,21 @@ def _compressed(label: np.ndarray) -> np.ndarray:
         label = next_
 
 
-def _table(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None] ^ PIVOT_VALUES[None, :]).astype(np.int8)
+def pivot_distances(fp: Column) -> list[Column]:
+    """The distances to all pivots, a byte each, in as many longs as they need."""
+    far = [F.bit_count(fp.bitwiseXOR(F.lit(int(v)))).cast("long") for v in PIVOT_VALUES.view(np.int64)]
+    return [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(d, 8 * i) for i, d in enumerate(far[at : at + 8])]).alias(f"pivots{at // 8}") for at in range(0, PIVOTS, 8)]
+
+
+TABLE = [f"pivots{i}" for i in range(PIVOTS // 8)]
+
+
+def pivot_distance(i: int) -> Column:
+    return F.shiftrightunsigned(TABLE[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(0xFF))
+
+
+def _table(columns: list[np.ndarray]) -> np.ndarray:
+    return np.stack(columns, axis=1).astype(np.int64).view(np.int8).reshape(-1, PIVOTS)
 
 
 def _within(fp, table, a, b, radius: int):
@@ -92,14 +119,14 @@ def _within(fp, table, a, b, radius: int):
     return a[keep], b[keep]
 
 
-def link_sorted(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, wide: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, least member it reaches) of every run of equal keys. Runs of up to ``wide`` are compared by
+def link_sorted(key: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int = RADIUS, wide: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, least member it reaches) of every run of equal keys. ``table`` has the pivot distances. Runs of up to ``wide`` are compared by
     offset, all at once; longer ones in the order of the first pivot's distance, in blocks of bounded memory."""
     n = len(key)
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begins, n))
     of = np.repeat(np.arange(len(begins)), sizes)
-    table, label = _table(fp), np.arange(n)
+    label = np.arange(n)
     left, right = [], []
     small = sizes[of] <= wide if n else np.zeros(0, bool)
     i = np.flatnonzero(small & (sizes[of] > 1)) if n else np.zeros(0, np.int64)
@@ -131,7 +158,48 @@ def link_sorted(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, wide: int
     return fp[moved], fp[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def dealt_by_pivots(rows: DataFrame, radius: int, most: int) -> DataFrame:
+    """``rows`` (key, fp, pivots) with the keys of more than ``most`` rows cut into bands of pivot distances.
+
+    A band is one wider than the radius and a row enters the bands of its distance and of its distance plus the radius, so rows
+    that differ by the radius at most share one. Keys that are still large after that are cut by the next pivot.
+    """
+    done = None
+    for i in range(PIVOTS):
+        large = materialise(rows.groupBy("key").count().filter(F.col("count") > most).select("key"), "large")
+        n = large.count()
+        if not n:
+            break
+        if n <= 100_000:
+            large = F.broadcast(large)
+        rest = rows.join(large, "key", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        band = F.explode(F.array_distinct(F.array(*(F.floor((pivot_distance(i) + x) / (radius + 1)) for x in (0, radius))))).alias("band")
+        cut = rows.join(large, "key", "left_semi").select("key", "fp", *TABLE, band)
+        rows = materialise(cut.select(F.xxhash64("key", F.lit(i), "band").alias("key"), "fp", *TABLE), "bands")
+    return rows if done is None else done.select("key", "fp", *TABLE).unionByName(rows)
+
+
+def by_whole_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by ``key``, regrouped so that no key is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column("key").to_numpy()
+        if held and values[0] != held[-1].column("key")[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(np.searchsorted(values, values[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Edges (a, b), a != b, over distinct fingerprints ``fp`` that connect exactly what pairs within the radius connect."""
     if radius > 2:
         raise ValueError("four blocks serve a radius of two at most")
@@ -140,20 +208,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     keys = F.array(*(F.lit(t << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for t, (i, j) in enumerate(pairs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([held_key, batch.column("key").to_numpy()])
-            fp = np.concatenate([held_fp, batch.column("fp").to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            held_key, held_fp = key[cut:], fp[cut:]
-            yield edges(key[:cut], fp[:cut])
-        yield edges(held_key, held_fp)
-
-    def edges(key, fp):
-        a, b = link_sorted(key, fp, radius)
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    dealt = distinct.select("fp", F.explode(keys).alias("key")).repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
+        for x in by_whole_key(batches):
+            a, b = link_sorted(x["key"].to_numpy(), x["fp"].to_numpy().view(np.uint64), _table([x[c].to_numpy() for c in TABLE]), radius)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    known = materialise(distinct.select("fp", *pivot_distances(F.col("fp"))), "pivots")
+    rows = dealt_by_pivots(known.select(F.explode(keys).alias("key"), "fp", *TABLE), radius, most)
+    dealt = rows.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(tidily(run), "a long, b long")
 
 
@@ -177,19 +238,159 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("row.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component stays: the one with the least doc_id (nulls last), a repeated one once.
+def shingle_sets(texts: list[bytes], k: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of each text's distinct shingles of ``k`` lower-cased words, ascending; bounds of the texts). Fewer
+    words are one shingle, no words none."""
+    values, bounds = word_units([x.translate(LOWER) for x in texts])
+    n = np.diff(bounds)
+    starts = len(values) - k + 1
+    h = np.zeros(max(starts, 0), np.uint64)
+    for j in range(k):
+        h = h * MULTIPLIER + values[j : j + len(h)]
+    owner = np.repeat(np.arange(len(texts)), n)
+    inside = np.flatnonzero(owner[: len(h)] == owner[k - 1 :]) if len(h) else np.zeros(0, np.int64)
+    short = np.flatnonzero((n > 0) & (n < k))
+    own = []
+    for i in short.tolist():
+        x = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for v in values[bounds[i] : bounds[i + 1]]:
+                x = x * MULTIPLIER + v
+        own.append(x)
+    h = mix64(np.concatenate([h[inside], np.array(own, np.uint64)]))
+    owner = np.concatenate([owner[inside], short])
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
+    h, owner = h[fresh], owner[fresh]
+    return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
+
+
+_MIX = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def sketches(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of hashes: SimHash fingerprint, two hashes of the whole set, and a key for each band of least hashes."""
+    n = len(bounds) - 1
+    fp, same, bands = np.zeros(n, np.uint64), np.zeros((n, 2), np.uint64), np.zeros((n, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        at = bounds[full]
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        fp[full] = np.packbits(2 * total > np.diff(bounds)[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        for i in range(2):
+            same[full, i] = np.add.reduceat(mix64(h ^ _MIX[i]), at)
+        for b in range(BANDS):
+            key = np.full(len(full), _MIX[b], np.uint64)
+            for r in range(ROWS):
+                j = 2 * (b * ROWS + r)
+                key = mix64(key ^ np.minimum.reduceat((h ^ _MIX[j]) * (_MIX[j + 1] | np.uint64(1)), at))
+            bands[full, b] = key
+    return fp, same, bands
+
+
+def verified(fp: np.ndarray, table: np.ndarray, h: np.ndarray, bounds: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """For the texts of one key: the least index that each is linked to, over pairs of at least ``similarity``. Pairs
+    that are linked already are not looked at again, so a group of copies takes one comparison a member."""
+    n = len(fp)
+    label, size = np.arange(n), np.diff(bounds)
+    for i in range(n - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[(np.abs(table[j].astype(np.int16) - table[i]).max(1, initial=0) <= radius)]
+        j = j[np.bitwise_count(fp[j] ^ fp[i]) <= radius]
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+        for x in j.tolist():
+            if label[x] != label[i]:
+                both = len(np.intersect1d(h[bounds[i] : bounds[i + 1]], h[bounds[x] : bounds[x + 1]], assume_unique=True))
+                if both >= similarity * (size[i] + size[x] - both):
+                    low, high = sorted((label[i], label[x]))
+                    label[label == high] = low
+    return label
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, most: int = MOST, leaders: int = 3) -> DataFrame:
+    """Edges (a, b) between ids of ``classes`` (id, fp, bands) whose shingle sets are similar; ``texts`` has id and text.
 
-    All columns of ``docs`` come through, whatever their names. Rows are numbered as they are written, so that equal
-    rows can be told apart.
+    Keys that hold the same texts count once. While a key has more than ``most`` texts, and ``leaders`` times at most,
+    they are compared with the one of the least id by a join; those that are similar to it are linked to it and leave the
+    key, so a group of near copies of any size is never gathered. What is left is compared in one task a key.
+    """
+    pairs = classes.select("id", F.explode("bands").alias("key"))
+    same = F.struct(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.min("id"))
+    keys = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader"), same.alias("same")).filter("n > 1")
+    once = keys.groupBy("same").agg(F.min("key").alias("key"))
+    members = materialise(pairs.join(once.select("key"), "key"), "members")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in text_slices(whole):
+                h, bounds = shingle_sets(utf8(part.column("text")))
+                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
+
+    wanted = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text")
+    sets = wanted.mapInArrow(tidily(measure), "id long, shingles array<long>").join(classes.select("id", "fp", *pivot_distances(F.col("fp"))), "id")
+    sets = materialise(sets, "sets")
+    edges = None
+    for _ in range(leaders):
+        large = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > most).select("key", "leader"), "large")
+        if not large.count():
+            break
+        first = large.join(sets.select(F.col("id").alias("leader"), F.col("shingles").alias("theirs")), "leader")
+        held = members.join(large.select("key"), "key", "left_semi").join(sets.select("id", "shingles"), "id").join(first, "key")
+        both = F.size(F.array_intersect("shingles", "theirs"))
+        near = both >= similarity * (F.size("shingles") + F.size("theirs") - both)
+        compared = materialise(held.select("key", "id", "leader", near.alias("near")), "compared")
+        found = compared.filter("near and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+        members = materialise(members.join(compared.filter("near").select("key", "id"), ["key", "id"], "left_anti"), "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in by_whole_key(batches):
+            x = x.combine_chunks()
+            key, id_, fp = x["key"].to_numpy(), x["id"].to_numpy(), x["fp"].to_numpy().view(np.uint64)
+            table, sets_of = _table([x[c].to_numpy() for c in TABLE]), x["shingles"].combine_chunks()
+            bounds, h = sets_of.offsets.to_numpy().astype(np.int64), sets_of.values.to_numpy().view(np.uint64)
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
+                label = verified(fp[b:e], table[b:e], h, bounds[b : e + 1], similarity, radius)
+                moved = np.flatnonzero(label != np.arange(e - b))
+                if len(moved):
+                    yield pa.record_batch([pa.array(id_[b:e][moved]), pa.array(id_[b:e][label[moved]])], names=["a", "b"])
+
+    dealt = members.join(sets, "id").select("key", "id", "fp", *TABLE, "shingles").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "id")
+    rest = dealt.mapInArrow(tidily(run), "a long, b long")
+    return rest if edges is None else edges.unionByName(rest)
+
+
+def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """One row of each component of near copies stays: the one with the least doc_id (nulls last), a repeated one once.
+
+    Two texts are near copies if their sets of five-word shingles (lower-cased; fewer words are one shingle) have a
+    Jaccard similarity of 0.8 or more. Null and word-less texts have no shingles and are copies of one another. All columns of
+    ``docs`` come through, whatever their names. Rows are numbered as they are written, so that equal rows can be told
+    apart; exact copies form one class before anything is compared.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"), F.monotonically_increasing_id().alias("n"))
-    numbered = rows.select(F.struct("row", "n").alias("row"), "text")
-    written = materialise(fingerprints(numbered), "fingerprints")
-    order = F.struct(F.col("row.row.doc_id").isNull().alias("unknown"), F.col("row.row.doc_id").alias("doc_id"), F.col("row.n").alias("n"))
-    slim = written.select(F.struct(order.alias("order")).alias("row"), "fp")
-    stays = components(slim, "row.order").filter(F.col("row.order") == F.col("head")).select(F.col("head.n").alias("n"))
-    return written.join(stays, F.col("row.n") == stays["n"], "left_semi").select("row.row.*")
+    row = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("id"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in text_slices(whole):
+                fp, same, bands = sketches(*shingle_sets(utf8(part.column("text"))))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
+                yield pa.record_batch([part.column("row"), part.column("id"), pa.array(fp.view(np.int64)), *(pa.array(np.ascontiguousarray(same[:, i]).view(np.int64)) for i in range(2)), lists], names=["row", "id", "fp", "same0", "same1", "bands"])
+
+    kind = row.schema["row"].dataType.simpleString()
+    written = materialise(row.mapInArrow(tidily(sketch), f"row {kind}, id long, fp long, same0 long, same1 long, bands array<long>"), "sketches")
+    order = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), F.col("id").alias("id"))
+    slim = written.select(order.alias("order"), "id", "fp", "same0", "same1")
+    heads = slim.groupBy("same0", "same1").agg(F.min("order").alias("head")).select("head", F.col("head.id").alias("id"))
+    classes = materialise(heads.join(written.select("id", "fp", "bands"), "id"), "classes")
+    texts = written.select("id", F.coalesce("row.text", F.lit("")).alias("text"))
+    found = roots(similar_links(classes.select("id", "fp", "bands"), texts, most=most))
+    rooted = classes.select("id", "head").join(found, F.col("id") == F.col("v"), "left")
+    stays = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("head").alias("head")).select(F.col("head.id").alias("id"))
+    return written.join(stays, "id", "left_semi").select("row.*")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,31 @@ def test_op9_against_brute_force(spark, folder, unique):
     assert near_dedup.op9_simhash_near_dedup(spark, f"{folder}/none").count() == 0
 
 
+def distances(fp):
+    return np.bitwise_count(fp[:, None] ^ near_dedup.PIVOT_VALUES[None, :]).astype(np.int8)
+
+
+@pytest.mark.parametrize("most", [1, 5, 4096])
+def test_links_of_large_keys_are_dealt_out_by_pivots(spark, most):
+    rng = random.Random(11)
+    fps = {rng.getrandbits(32) | 5 << 40 for _ in range(120)}
+    for x in list(fps)[:60]:
+        fps.add(x ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    a, b = zip(*((r["a"], r["b"]) for r in near_dedup.links(df, most=most).collect()), strict=True)
+    place = {x: i for i, x in enumerate(fps)}
+    assert near_dedup._labels(len(fps), np.array([place[x] for x in a]), np.array([place[x] for x in b])).tolist() == components_of(fps)
+
+
+def test_pivot_distances(spark):
+    rng = random.Random(2)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(50)]
+    got = spark.createDataFrame([(x,) for x in fps], "fp long").select("fp", *near_dedup.pivot_distances(F.col("fp"))).collect()
+    table = near_dedup._table([np.array([r[c] for r in got]) for c in near_dedup.TABLE])
+    assert table.tolist() == distances(np.array([r["fp"] for r in got]).view(np.uint64)).tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 300), st.integers(1, 6), st.sampled_from([2, 64]))
 def test_links_connect_what_pairs_connect(seed, n, flips, wide):
@@ -60,7 +85,7 @@ def test_links_connect_what_pairs_connect(seed, n, flips, wide):
             x ^= 1 << rng.randrange(20)  # leaves three blocks alone: all meet in a few large runs
         fps.add(x)
     fp = np.array(sorted(fps), np.uint64)
-    a, b = near_dedup.link_sorted(np.zeros(len(fp), np.int64), fp, 2, wide)
+    a, b = near_dedup.link_sorted(np.zeros(len(fp), np.int64), fp, distances(fp), 2, wide)
     got = np.arange(len(fp))
     got = near_dedup._labels(len(fp), np.searchsorted(fp, a), np.searchsorted(fp, b), got)
     assert got.tolist() == components_of([int(x) for x in fp])
@@ -100,25 +125,60 @@ def test_links_connect_sparse_chains_in_random_order(seed, n, wide):
             fps.append(x)
     rng.shuffle(fps)
     fp, place = np.array(fps, np.uint64), {x: i for i, x in enumerate(fps)}
-    a, b = near_dedup.link_sorted(np.zeros(len(fp), np.int64), fp, 2, wide)
+    a, b = near_dedup.link_sorted(np.zeros(len(fp), np.int64), fp, distances(fp), 2, wide)
     ends = [np.array([place[int(v)] for v in x], np.int64) for x in (a, b)]
     assert near_dedup._labels(len(fp), *ends).tolist() == components_of(fps) == [0] * len(fps)
 
 
-def test_one_row_of_each_component_stays(spark, docs, rows, empty):
-    out = near_dedup.drop_near_duplicates(docs).collect()
-    assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
-    fps = [brute_simhash(r[1]) for r in rows]
-    label = components_of(fps)
-    assert len(out) == len(set(label))
+def brute_shingles(text):
+    w = (text or "").encode().translate(near_dedup.LOWER).split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def near_copies_of(texts):
+    """Component labels over all pairs of five-word Jaccard similarity 0.8 or more."""
+    sets = [brute_shingles(t) for t in texts]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("most", [4, 4096])
+def test_one_row_of_each_component_of_near_copies_stays(spark, docs, rows, empty, most):
+    out = near_dedup.drop_near_duplicates(docs, most)
+    assert out.columns == docs.columns
     by = {}
-    for r, c in zip(rows, label, strict=True):
+    for r, c in zip(rows, near_copies_of([r[1] for r in rows]), strict=True):
         by.setdefault(c, []).append(r[0])
     least = sorted((min((i for i in ids if i is not None), default=None) for ids in by.values()), key=str)
-    assert sorted((r["doc_id"] for r in out), key=str) == least
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == least
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_recall_of_near_copies(spark):
+    """Copies with a similarity from 0.8 up: at least 0.95 go, and what is below 0.8 stays."""
+    rng = random.Random(4)
+    texts, copies = [], 0
+    for k in range(150):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 100, 400]))]
+        texts.append(" ".join(w))
+        v = list(w)
+        for _ in range(rng.randrange(0, 1 + len(w) // 40)):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(v).upper())
+    sets = [brute_shingles(t) for t in texts]
+    near = [5 * len(a & b) >= 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    out = {r["doc_id"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    gone = [2 * k + 1 not in out for k in range(150)]
+    assert sum(near) > 60 and not any(g and not n for g, n in zip(gone, near, strict=True)) and all(2 * k in out for k in range(150))
+    assert sum(gone) >= 0.95 * sum(near)
+
+
 def brute_words(rows):
     first, words = {}, {}
     for i, text in rows:
