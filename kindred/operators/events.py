@@ -27,18 +27,24 @@ def latest_of(events: DataFrame, operation: str) -> DataFrame:
     return latest(events.filter(F.col("operation_type") == operation))
 
 
-def active(images: DataFrame, events: DataFrame) -> DataFrame:
-    """Images whose latest operation did not take them away."""
-    gone = latest(events).filter(F.col("operation_type").isin(*GONE)).select(F.col("result_id").alias("image_id"))
+def latest_of_images(results: DataFrame, events: DataFrame, *more: str) -> DataFrame:
+    """The last event of each image's results: ``results`` (result_id, image_id) says whose a result is."""
+    return latest(events, *more).join(results.select("result_id", "image_id"), "result_id")
+
+
+def active(images: DataFrame, results: DataFrame, events: DataFrame) -> DataFrame:
+    """Images of which no result was taken away by its latest operation."""
+    gone = latest_of_images(results, events).filter(F.col("operation_type").isin(*GONE)).select("image_id")
     return images.join(gone, "image_id", "left_anti")
 
 
 def recyclable(results: DataFrame, events: DataFrame) -> DataFrame:
-    """The first result of each image of a class that may go, and whose latest operation did not take it away."""
+    """The first result (result_id, image_id, analysis_type) of each image of a class that may go, of those whose latest
+    operation did not take them away."""
     fit = results.filter(F.col("analysis_type").isin("exact_duplicate", "likely_compressed"))
     gone = latest(events).filter(F.col("operation_type").isin(*GONE)).select("result_id")
-    left = fit.join(gone, fit["image_id"] == gone["result_id"], "left_anti")
-    return left.groupBy("image_id").agg(F.min("image_id").alias("result"), F.min_by("analysis_type", "image_id").alias("analysis_type"))
+    left = fit.join(gone, "result_id", "left_anti")
+    return left.groupBy("image_id").agg(F.min("result_id").alias("result"), F.min_by("analysis_type", "result_id").alias("analysis_type"))
 
 
 def transitions(events: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import measures
-from kindred.scratch import materialise
+from kindred.scratch import discard, materialise
 
 
 def roots(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b, any orderable type); root is the least vertex that it reaches.
 
     Alternating large-star and small-star steps until nothing moves; each writes its edges to the shared folder, so a
-    lost executor costs one step. The number of steps grows with the logarithm of the longest path.
+    lost executor costs one step, and deletes those of the step before. The number of steps grows with the logarithm of the longest path.
     """
     e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -24,7 +24,8 @@ def roots(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, "edges")
+        before, e = e, materialise(small, "edges")
+        discard(before)
         now = mark(e)
         if now == last:
             break

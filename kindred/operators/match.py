@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.config import DEFAULT, Profile
@@ -30,12 +30,15 @@ def exact_matches(comparison: DataFrame, baseline: DataFrame) -> DataFrame:
 def internal_matches(images: DataFrame) -> DataFrame:
     """Exact matches of a set with itself, without each image's own path; the first other path is primary.
 
-    Each digest keeps its count and its two least paths, which is all that any member needs: no self-join.
+    Each digest keeps its count and its two least paths, which is all that any member needs: no self-join of rows, and
+    nothing is collected.
     """
-    least = F.slice(F.sort_array(F.collect_set("relative_path")), 1, 2)
-    groups = images.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.count("*").alias("n"), least.alias("first"))
-    other = F.when(F.col("first")[0] != F.col("relative_path"), F.col("first")[0]).otherwise(F.col("first")[1])
-    return images.join(groups.filter("n > 1"), "digest").select("image_id", "relative_path", (F.col("n") - 1).alias("n_matches"), other.alias("primary_path"))
+    known = images.filter(F.col("digest").isNotNull()).select("digest", "relative_path")
+    groups = known.groupBy("digest").agg(F.count("*").alias("n"), F.min("relative_path").alias("first")).filter("n > 1")
+    second = known.join(groups, "digest").filter(F.col("relative_path") > F.col("first")).groupBy("digest").agg(F.min("relative_path").alias("second"))
+    other = F.when(F.col("first") != F.col("relative_path"), F.col("first")).otherwise(F.col("second"))
+    found = images.join(groups, "digest").join(second, "digest", "left")
+    return found.select("image_id", "relative_path", (F.col("n") - 1).alias("n_matches"), other.alias("primary_path"))
 
 
 def duplicate_groups(images: DataFrame) -> DataFrame:
@@ -49,41 +52,62 @@ def unmatched(images: DataFrame, results: DataFrame) -> DataFrame:
     return images.join(results.select("image_id"), "image_id", "left_anti")
 
 
+def aspect_bucket(aspect: Column, tolerance: float) -> Column:
+    """Logarithmic buckets as wide as the tolerance."""
+    return F.floor(F.log(aspect) / F.lit(math.log1p(tolerance)))
+
+
+def aspect_fits(c_aspect: Column, b_aspect: Column, tolerance: float) -> Column:
+    return (b_aspect >= c_aspect * (1 - tolerance)) & (b_aspect <= c_aspect * (1 + tolerance))
+
+
+def buckets_around(aspect: Column, tolerance: float) -> Column:
+    """The buckets that can hold an aspect within the tolerance of this one."""
+    own = aspect_bucket(aspect, tolerance)
+    return F.explode(F.sequence(own - 2, own + 1))
+
+
 def aspect_range_join(comparison: DataFrame, baseline: DataFrame, tolerance: float = DEFAULT.aspect_tolerance) -> DataFrame:
     """(c_id, b_id) with the baseline's aspect within the relative tolerance of the comparison's.
 
-    A range join made equi: logarithmic buckets as wide as the tolerance, each comparison image looks into three.
+    A range join made equi: each comparison image looks into the few buckets around its own.
     """
-    width = math.log1p(tolerance)
-    bucket = F.floor(F.log(F.col("aspect")) / F.lit(width))
-    b = baseline.filter("aspect > 0").select(F.col("image_id").alias("b_id"), F.col("aspect").alias("b_aspect"), bucket.alias("bucket"))
-    c = comparison.filter("aspect > 0").select(F.col("image_id").alias("c_id"), F.col("aspect").alias("c_aspect"), F.explode(F.sequence(bucket - 2, bucket + 1)).alias("bucket"))
-    near = c.join(b, "bucket")
-    return near.filter((F.col("b_aspect") >= F.col("c_aspect") * (1 - tolerance)) & (F.col("b_aspect") <= F.col("c_aspect") * (1 + tolerance))).select("c_id", "b_id")
+    b = baseline.filter("aspect > 0").select(F.col("image_id").alias("b_id"), F.col("aspect").alias("b_aspect"), aspect_bucket(F.col("aspect"), tolerance).alias("bucket"))
+    c = comparison.filter("aspect > 0").select(F.col("image_id").alias("c_id"), F.col("aspect").alias("c_aspect"), buckets_around(F.col("aspect"), tolerance).alias("bucket"))
+    return c.join(b, "bucket").filter(aspect_fits(F.col("c_aspect"), F.col("b_aspect"), tolerance)).select("c_id", "b_id")
 
 
 def _masks(width: int, most: int) -> list[int]:
     return [sum(1 << i for i in chosen) for k in range(most + 1) for chosen in combinations(range(width), k)]
 
 
-def hamming_join(left: DataFrame, right: DataFrame, most: int, blocks: int = 4) -> DataFrame:
-    """Pairs of rows of ``left`` (l_*, l_hash) and ``right`` (r_*, r_hash) at most ``most`` bits apart, with distance.
+def hamming_join(left: DataFrame, right: DataFrame, most: int, blocks: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows of ``left`` (l_id, l_hash, ...) and ``right`` (r_id, r_hash, ...) that agree ``on`` further columns and
+    are at most ``most`` bits apart, with distance. Callers pass ids, hashes and what they test; attributes join later.
 
-    Small radii are an equi-join (multi-index hashing): of ``blocks`` parts of the hash one differs in at most
+    Always an equi-join. Small radii use multi-index hashing: of ``blocks`` parts of the hash one differs in at most
     ``most // blocks`` bits, so the left side looks up that part's neighbours. Where the lookups would cover a good
-    part of all values the join compares all pairs, which is then no slower.
+    part of all values no index helps, and ``on`` alone is the key; without ``on`` both sides are dealt into a grid of
+    cells in which each pair meets once, so that the comparisons spread evenly over all tasks.
     """
     width = 64 // blocks
     masks = _masks(width, most // blocks)
     far = F.bit_count(F.col("l_hash").bitwiseXOR(F.col("r_hash")))
     if blocks * len(masks) > 0.1 * 2**width:
-        return left.join(right, far <= most).withColumn("distance", far.cast("long"))
+        keys = list(on)
+        if not keys:
+            n = math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1
+            lines = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+            left = left.withColumn("_i", F.pmod(F.xxhash64("l_id"), F.lit(n)).cast("int")).withColumn("_j", lines)
+            right = right.withColumn("_j", F.pmod(F.xxhash64("r_id"), F.lit(n)).cast("int")).withColumn("_i", lines)
+            keys = ["_i", "_j"]
+        return left.join(right, keys).filter(far <= most).withColumn("distance", far.cast("long")).drop("_i", "_j")
     part = lambda h: F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(h, width * i).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(blocks)))
     around = F.array(*map(F.lit, masks))
     l = left.withColumn("p", F.explode(part("l_hash"))).withColumn("m", F.explode(around)).select("*", F.col("p.block").alias("block"), F.col("p.value").bitwiseXOR(F.col("m").cast("long")).alias("value")).drop("p", "m")
     r = right.withColumn("p", F.explode(part("r_hash"))).select("*", "p.block", "p.value").drop("p")
-    found = l.join(r, ["block", "value"]).withColumn("distance", far.cast("long")).filter(F.col("distance") <= most)
-    return found.drop("block", "value").distinct()
+    found = l.join(r, [*on, "block", "value"]).withColumn("distance", far.cast("long")).filter(F.col("distance") <= most)
+    return found.drop("block", "value").dropDuplicates(["l_id", "r_id"])
 
 
 def hashes(images: DataFrame, side: str, *more: str) -> DataFrame:
@@ -98,12 +122,16 @@ def pairs_within(images: DataFrame, most: int, strict: bool = False) -> DataFram
 
 
 def candidates(comparison: DataFrame, baseline: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """c_id, b_id, distance, b_path: candidates within the aspect tolerance and the distance."""
-    more = ("aspect", "relative_path")
-    found = hamming_join(hashes(comparison, "l", *more), hashes(baseline, "r", *more), profile.max_distance)
+    """c_id, b_id, distance, b_path: candidates within the aspect tolerance and the distance.
+
+    The aspect's bucket is part of the join key at every distance; paths join the pairs that are left.
+    """
     t = profile.aspect_tolerance
-    near = (F.col("r_aspect") >= F.col("l_aspect") * (1 - t)) & (F.col("r_aspect") <= F.col("l_aspect") * (1 + t))
-    return found.filter(near).select(F.col("l_id").alias("c_id"), F.col("r_id").alias("b_id"), "distance", F.col("r_relative_path").alias("b_path"))
+    c = hashes(comparison.filter("aspect > 0"), "l", "aspect").withColumn("bucket", buckets_around(F.col("l_aspect"), t))
+    b = hashes(baseline.filter("aspect > 0"), "r", "aspect").withColumn("bucket", aspect_bucket(F.col("r_aspect"), t))
+    found = hamming_join(c, b, profile.max_distance, on=("bucket",)).filter(aspect_fits(F.col("l_aspect"), F.col("r_aspect"), t))
+    paths = baseline.select(F.col("image_id").alias("b_id"), F.col("relative_path").alias("b_path"))
+    return found.select(F.col("l_id").alias("c_id"), F.col("r_id").alias("b_id"), "distance").join(paths, "b_id").select("c_id", "b_id", "distance", "b_path")
 
 
 def top_candidates(found: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.schema import ANALYSIS
+from kindred.scratch import materialise
 
 
 def class_counts(results: DataFrame) -> DataFrame:
@@ -30,9 +31,25 @@ def page_of(index: Column, size: int = 100) -> Column:
     return F.floor(index / size) + 1
 
 
+def running(df: DataFrame, value: Column, *order: Column | str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each row in the order.
+
+    Rows are dealt out by ranges of the order, each range is summed by its own task, and the ranges' totals (one row a
+    partition) give the offsets; no task sees the whole table.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialise(df.withColumn("_value", value).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_part").agg(F.sum("_value").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranges.withColumn(name, F.sum("_value").over(own))
+    return summed.join(F.broadcast(offsets), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_value", "_before")
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
-    """Adds the 1-based position in a user's order; for selections, not for whole tables."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Adds the 1-based position in an order."""
+    return running(df, F.lit(1).cast("long"), *order, name=name)
 
 
 def reorder(position: Column, source: int, target: int) -> Column:
@@ -46,8 +63,7 @@ def reorder(position: Column, source: int, target: int) -> Column:
 
 def evict(entries: DataFrame, budget: int) -> DataFrame:
     """Cache entries that stay: the most recently used while their bytes fit the budget."""
-    order = Window.orderBy(F.desc("tick"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("held", F.sum("bytes").over(order)).filter(F.col("held") <= budget)
+    return running(entries, F.col("bytes"), F.desc("tick"), "key", name="held").filter(F.col("held") <= budget)
 
 
 def batch_result(outcomes: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import paths
 from kindred.operators import events, match, stats
-from kindred.plans.bindings import IMAGES, OPERATIONS, images, operations, table
+from kindred.plans.bindings import IMAGES, LATEST_IMAGE, OPERATIONS, images, operations, result_ids, table
 from kindred.plans.matching import RESULTS_ALL, results, sized_pairs
 from kindred.plans.registry import query
 from kindred.schema import ANALYSIS, REVIEW
@@ -16,15 +16,19 @@ from kindred.sources import sinks
 STATUS = "CASE WHEN {c} IN ('operation_failed', 'validation_failed', 'failed') THEN 'failed' WHEN {c} IN ('validating', 'prepared', 'recycled', 'restored', 'permanently_deleted', 'stale', 'reconciliation_required') THEN {c} ELSE 'none' END"
 
 
-@query("active_images", f"WITH {IMAGES}, {OPERATIONS} SELECT i.image_id, i.relative_path, row_number() OVER (ORDER BY i.relative_path, i.image_id) AS position FROM images i LEFT JOIN latest l ON l.result_id = i.image_id WHERE coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted')")
+@query("active_images", f"WITH {IMAGES}, {OPERATIONS}, {LATEST_IMAGE} SELECT i.image_id, i.relative_path, row_number() OVER (ORDER BY i.relative_path, i.image_id) AS position FROM images i LEFT JOIN latest_image l ON l.image_id = i.image_id WHERE coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted')")
 def active_images(spark, sf_dir):
-    left = events.active(images(spark, sf_dir), operations(spark, sf_dir))
+    i = images(spark, sf_dir)
+    left = events.active(i, result_ids(i), operations(spark, sf_dir))
     return stats.numbered(left, "relative_path", "image_id").select("image_id", "relative_path", "position")
 
 
-@query("listed_images", f"WITH {IMAGES} SELECT image_id, relative_path, row_number() OVER (ORDER BY relative_path, image_id) AS position FROM images WHERE image_id % 40 = 1")
+@query("listed_images", f"WITH {IMAGES} SELECT image_id, relative_path, row_number() OVER (ORDER BY relative_path, image_id) AS position FROM images WHERE image_id IN (SELECT min(image_id) FROM images GROUP BY label)")
 def listed_images(spark, sf_dir):
-    return stats.numbered(images(spark, sf_dir).filter(F.col("image_id") % 40 == 1).select("image_id", "relative_path"), "relative_path", "image_id")
+    """The images of a list of ids, here the first of each label."""
+    i = images(spark, sf_dir)
+    asked = i.groupBy("label").agg(F.min("image_id").alias("image_id")).select("image_id")
+    return stats.numbered(i.join(asked, "image_id", "left_semi").select("image_id", "relative_path"), "relative_path", "image_id")
 
 
 @query("latest_action", f"WITH {OPERATIONS}, r AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY created_at DESC, id DESC) AS n FROM operations WHERE operation_type = 'restored') WHERE n = 1) SELECT l.result_id, l.operation_type, {STATUS.format(c='l.operation_type')} AS status, l.created_at, r.id AS last_restored FROM latest l LEFT JOIN r USING (result_id)")
@@ -34,7 +38,7 @@ def latest_action(spark, sf_dir):
     return events.latest(o).join(restored, "result_id", "left").select("result_id", "operation_type", events.action_status(F.col("operation_type")).alias("status"), "created_at", "last_restored")
 
 
-@query("recyclable_results", f"WITH {RESULTS_ALL}, {OPERATIONS}, ex AS (SELECT image_id, 'exact_duplicate' AS analysis_type FROM images c WHERE role = 'comparison' AND EXISTS (SELECT 1 FROM images b WHERE b.role = 'baseline' AND b.digest = c.digest)), al AS (SELECT image_id, analysis_type FROM results UNION ALL SELECT * FROM ex) SELECT a.image_id, a.image_id AS result, a.analysis_type FROM al a LEFT JOIN latest l ON l.result_id = a.image_id WHERE a.analysis_type IN ('exact_duplicate', 'likely_compressed') AND coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted')")
+@query("recyclable_results", f"WITH {RESULTS_ALL}, {OPERATIONS}, ex AS (SELECT image_id, 'exact_duplicate' AS analysis_type FROM images c WHERE role = 'comparison' AND EXISTS (SELECT 1 FROM images b WHERE b.role = 'baseline' AND b.digest = c.digest)), al AS (SELECT image_id, analysis_type FROM results UNION ALL SELECT * FROM ex) SELECT a.image_id, a.image_id + 1 AS result, a.analysis_type FROM al a LEFT JOIN latest l ON l.result_id = a.image_id + 1 WHERE a.analysis_type IN ('exact_duplicate', 'likely_compressed') AND coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted')")
 def recyclable_results(spark, sf_dir):
     return events.recyclable(all_results(spark, sf_dir), operations(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def all_results(spark, sf_dir) -> DataFrame:
     i = images(spark, sf_dir)
     exact = match.exact_matches(i.filter("role = 'comparison'"), i.filter("role = 'baseline'"))
     columns = ["image_id", "analysis_type", "primary_id", "phash_distance", "score"]
-    return results(spark, sf_dir).select(columns).unionByName(exact.select(columns))
+    return results(spark, sf_dir).select(columns).unionByName(exact.select(columns)).join(result_ids(i), "image_id")
 
 
 @query("action_transitions", f"""WITH {OPERATIONS}, s AS (SELECT *, {STATUS.format(c='operation_type')} AS state FROM operations), b AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY result_id ORDER BY created_at, id), 'none') AS before FROM s)
@@ -53,11 +57,12 @@ def action_transitions(spark, sf_dir):
     return events.transitions(operations(spark, sf_dir)).select("id", "result_id", "state", "before", "legal")
 
 
-@query("cache_context", f"""WITH {IMAGES}, {OPERATIONS}, a AS (SELECT i.* FROM images i LEFT JOIN latest l ON l.result_id = i.image_id WHERE coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted'))
+@query("cache_context", f"""WITH {IMAGES}, {OPERATIONS}, {LATEST_IMAGE}, a AS (SELECT i.* FROM images i LEFT JOIN latest_image l ON l.image_id = i.image_id WHERE coalesce(l.operation_type, 'none') NOT IN ('recycled', 'permanently_deleted'))
 SELECT count(*) AS active_images, (SELECT max(id) FROM operations) AS last_operation, count(DISTINCT label) AS n_groups, count(*) AS members, count(DISTINCT image_id) AS distinct_members, TRUE AS valid FROM a""")
 def cache_context(spark, sf_dir):
     o = operations(spark, sf_dir)
-    active = events.active(images(spark, sf_dir), o)
+    i = images(spark, sf_dir)
+    active = events.active(i, result_ids(i), o)
     context = events.cache_context(active, o)
     schema = "array<struct<group:bigint,count:bigint,members:array<bigint>>>"
     cached = active.groupBy("label").agg(F.count("*").alias("count"), F.collect_list("image_id").alias("members")).agg(F.to_json(F.collect_list(F.struct(F.col("label").alias("group"), "count", "members"))).alias("text"))
@@ -82,11 +87,11 @@ def review(spark, sf_dir) -> DataFrame:
 
 
 @query("run_stats", f"""WITH {RESULTS_ALL}, {OPERATIONS}, ex AS (SELECT image_id, 'exact_duplicate' AS analysis_type FROM images c WHERE role = 'comparison' AND EXISTS (SELECT 1 FROM images b WHERE b.role = 'baseline' AND b.digest = c.digest)),
-al AS (SELECT a.*, CASE a.image_id % 3 WHEN 0 THEN 'approved_for_recycle' WHEN 1 THEN 'pending' END AS review_status, l.operation_type FROM (SELECT image_id, analysis_type FROM results UNION ALL SELECT * FROM ex) a LEFT JOIN latest l ON l.result_id = a.image_id)
+al AS (SELECT a.*, CASE a.image_id % 3 WHEN 0 THEN 'approved_for_recycle' WHEN 1 THEN 'pending' END AS review_status, l.operation_type FROM (SELECT image_id, analysis_type FROM results UNION ALL SELECT * FROM ex) a LEFT JOIN latest l ON l.result_id = a.image_id + 1)
 SELECT (SELECT count(*) FROM images WHERE role = 'baseline') AS baseline_total, (SELECT count(*) FROM images WHERE role = 'comparison') AS comparison_total, count(DISTINCT image_id) AS analysed, {", ".join(f"count(*) FILTER (WHERE analysis_type = '{c}') AS {c}" for c in ANALYSIS)},
 {", ".join(f"count(*) FILTER (WHERE review_status = '{c}') AS review_{c}" for c in REVIEW)}, count(*) FILTER (WHERE operation_type = 'recycled') AS recycled, count(*) AS classified, TRUE AS conserved FROM al""")
 def run_stats(spark, sf_dir):
-    r = all_results(spark, sf_dir).join(review(spark, sf_dir), "image_id", "left").join(events.latest(operations(spark, sf_dir)).select(F.col("result_id").alias("image_id"), "operation_type"), "image_id", "left")
+    r = all_results(spark, sf_dir).join(review(spark, sf_dir), "image_id", "left").join(events.latest(operations(spark, sf_dir)).select("result_id", "operation_type"), "result_id", "left")
     totals = images(spark, sf_dir).agg(F.count_if(F.col("role") == "baseline").alias("baseline_total"), F.count_if(F.col("role") == "comparison").alias("comparison_total"))
     counts = r.agg(F.count_distinct("image_id").alias("analysed"), *(F.count_if(F.col("analysis_type") == c).alias(c) for c in ANALYSIS), *(F.count_if(F.col("review_status") == c).alias(f"review_{c}") for c in REVIEW), F.count_if(F.col("operation_type") == "recycled").alias("recycled"))
     return stats.conserved(counts.crossJoin(totals), F.col("comparison_total"))
@@ -134,8 +139,8 @@ def report(spark, sf_dir) -> DataFrame:
     pairs = r.filter("primary_id is not null").select(F.col("image_id").alias("c_id"), F.col("primary_id").alias("b_id"))
     metrics = match.pair_metrics(sized_pairs(i, pairs)).select(F.col("c_id").alias("image_id"), "size_ratio", "resolution_ratio", "aspect_diff", "smaller_resolution", "smaller_filesize")
     path = lambda name, key: i.select(F.col("image_id").alias(key), F.col("relative_path").alias(name))
-    action = events.latest(operations(spark, sf_dir)).select(F.col("result_id").alias("image_id"), events.action_status(F.col("operation_type")).alias("action_status"))
-    x = r.join(path("comparison_path", "image_id"), "image_id").join(path("primary_path", "primary_id"), "primary_id", "left").join(metrics, "image_id", "left").join(review(spark, sf_dir), "image_id", "left").join(action, "image_id", "left")
+    action = events.latest(operations(spark, sf_dir)).select("result_id", events.action_status(F.col("operation_type")).alias("action_status"))
+    x = r.join(path("comparison_path", "image_id"), "image_id").join(path("primary_path", "primary_id"), "primary_id", "left").join(metrics, "image_id", "left").join(review(spark, sf_dir), "image_id", "left").join(action, "result_id", "left")
     return x.withColumn("smaller_resolution", F.coalesce("smaller_resolution", F.lit(False))).withColumn("smaller_filesize", F.coalesce("smaller_filesize", F.lit(False)))
 
 
@@ -143,25 +148,26 @@ def report(spark, sf_dir) -> DataFrame:
 al AS (SELECT image_id, analysis_type, primary_id, phash_distance, score FROM results UNION ALL SELECT image_id, 'exact_duplicate', primary_id, 0, 1.0 FROM ex),
 j AS (SELECT a.*, c.relative_path AS c_path, b.relative_path AS b_path, c.file_size::DOUBLE / b.file_size AS sr, (c.width * c.height)::DOUBLE / (b.width * b.height) AS rr, abs(c.width::DOUBLE / c.height - b.width::DOUBLE / b.height) / greatest(c.width::DOUBLE / c.height, b.width::DOUBLE / b.height) AS ad,
   coalesce(c.width < b.width AND c.height < b.height, FALSE) AS d1, coalesce(c.file_size < b.file_size, FALSE) AS d2, CASE a.image_id % 3 WHEN 0 THEN 'approved_for_recycle' WHEN 1 THEN 'pending' END AS rev, {STATUS.format(c='l.operation_type')} AS act, l.operation_type IS NULL AS no_act
-  FROM al a JOIN images c ON c.image_id = a.image_id LEFT JOIN images b ON b.image_id = a.primary_id LEFT JOIN latest l ON l.result_id = a.image_id)
+  FROM al a JOIN images c ON c.image_id = a.image_id LEFT JOIN images b ON b.image_id = a.primary_id LEFT JOIN latest l ON l.result_id = a.image_id + 1)
 SELECT 'run-1' AS "runId", image_id::VARCHAR AS "comparisonImageId", c_path AS "comparisonPath", analysis_type AS "analysisType", coalesce(primary_id::VARCHAR, '') AS "primaryMatchImageId", coalesce(b_path, '') AS "primaryMatchPath", coalesce(phash_distance::VARCHAR, '') AS "phashDistance", coalesce(printf('%.6f', score), '') AS "ssimScore",
 coalesce(printf('%.6f', sr), '') AS "sizeRatio", coalesce(printf('%.6f', rr), '') AS "resolutionRatio", coalesce(printf('%.6f', ad), '') AS "aspectDiff", d1::VARCHAR AS "directionSmallerResolution", d2::VARCHAR AS "directionSmallerFilesize", coalesce(rev, 'N/A') AS "reviewStatus", CASE WHEN no_act THEN 'N/A' ELSE act END AS "actionStatus", 'profile' AS "algorithmProfileId" FROM j""")
 def report_rows(spark, sf_dir):
     return sinks.csv_rows(report(spark, sf_dir), "run-1", "profile")
 
 
-@query("delete_list", f"WITH {IMAGES}, {OPERATIONS} SELECT substr(i.relative_path, 4) AS path, row_number() OVER (ORDER BY l.created_at, i.relative_path) AS position FROM images i JOIN latest l ON l.result_id = i.image_id WHERE l.operation_type = 'recycled' AND starts_with(i.relative_path, 'L3/')")
+@query("delete_list", f"WITH {IMAGES}, {OPERATIONS}, {LATEST_IMAGE} SELECT substr(i.relative_path, 4) AS path, row_number() OVER (ORDER BY l.created_at, i.relative_path) AS position FROM images i JOIN latest_image l ON l.image_id = i.image_id WHERE l.operation_type = 'recycled' AND starts_with(i.relative_path, 'L3/')")
 def delete_list(spark, sf_dir):
-    gone = events.latest(operations(spark, sf_dir)).filter("operation_type = 'recycled'").select(F.col("result_id").alias("image_id"), F.col("created_at").alias("recycled_at"))
-    recycled = images(spark, sf_dir).join(gone, "image_id").select(F.col("relative_path").alias("path"), "recycled_at")
+    i = images(spark, sf_dir)
+    gone = events.latest_of_images(result_ids(i), operations(spark, sf_dir)).filter("operation_type = 'recycled'").select("image_id", F.col("created_at").alias("recycled_at"))
+    recycled = i.join(gone, "image_id").select(F.col("relative_path").alias("path"), "recycled_at")
     order = recycled.filter(F.startswith(F.col("path"), F.lit("L3/"))).select(paths.relative(F.col("path"), F.lit("L3")).alias("path"), "recycled_at")
     return sinks.delete_list(recycled, "L3").join(stats.numbered(order, "recycled_at", "path"), "path").select("path", "position")
 
 
-@query("delete_report", f"WITH {RESULTS_ALL}, {OPERATIONS} SELECT i.relative_path AS path, b.relative_path AS kept_path, CASE r.analysis_type WHEN 'exact_duplicate' THEN 'Exact duplicate' WHEN 'likely_compressed' THEN 'Likely compressed' WHEN 'variant' THEN 'Variant' WHEN 'inconclusive' THEN 'Inconclusive' WHEN 'similar_keep' THEN 'Similar, keep' WHEN 'no_baseline_match' THEN 'No baseline match' ELSE 'Not evaluated' END AS reason, i.file_size, l.created_at AS recycled_at FROM results r JOIN images i ON i.image_id = r.image_id JOIN latest l ON l.result_id = r.image_id LEFT JOIN images b ON b.image_id = r.primary_id WHERE l.operation_type = 'recycled'")
+@query("delete_report", f"WITH {RESULTS_ALL}, {OPERATIONS} SELECT i.relative_path AS path, b.relative_path AS kept_path, CASE r.analysis_type WHEN 'exact_duplicate' THEN 'Exact duplicate' WHEN 'likely_compressed' THEN 'Likely compressed' WHEN 'variant' THEN 'Variant' WHEN 'inconclusive' THEN 'Inconclusive' WHEN 'similar_keep' THEN 'Similar, keep' WHEN 'no_baseline_match' THEN 'No baseline match' ELSE 'Not evaluated' END AS reason, i.file_size, l.created_at AS recycled_at FROM results r JOIN images i ON i.image_id = r.image_id JOIN latest l ON l.result_id = r.image_id + 1 LEFT JOIN images b ON b.image_id = r.primary_id WHERE l.operation_type = 'recycled'")
 def delete_report(spark, sf_dir):
     i = images(spark, sf_dir)
-    gone = events.latest(operations(spark, sf_dir)).filter("operation_type = 'recycled'").select(F.col("result_id").alias("image_id"), F.col("created_at").alias("recycled_at"))
+    gone = events.latest_of_images(result_ids(i), operations(spark, sf_dir)).filter("operation_type = 'recycled'").select("image_id", F.col("created_at").alias("recycled_at"))
     kept = i.select(F.col("image_id").alias("primary_id"), F.col("relative_path").alias("kept_path"))
     x = results(spark, sf_dir).join(i.select("image_id", F.col("relative_path").alias("path"), "file_size"), "image_id").join(gone, "image_id").join(kept, "primary_id", "left")
     return x.select("path", "kept_path", sinks.label(F.col("analysis_type")).alias("reason"), "file_size", "recycled_at")

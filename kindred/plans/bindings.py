@@ -54,7 +54,7 @@ files AS (SELECT doc_id AS image_id, source || '/' || lang || '/' || doc_id || '
 
 
 def operations(spark, sf_dir: str) -> DataFrame:
-    """Events as the operation log; a user is a result (and the image of that number)."""
+    """Events as the operation log; a user is a result."""
     kind = F.when(F.lit(False), "")
     for event, operation in EVENT_TYPES.items():
         kind = kind.when(F.col("event_type") == event, operation)
@@ -67,6 +67,15 @@ operations AS (SELECT event_id AS id, user_id AS result_id, CASE event_type WHEN
 latest AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY created_at DESC, id DESC) AS n FROM operations) WHERE n = 1)"""
 
 
+def result_ids(i: DataFrame) -> DataFrame:
+    """(result_id, image_id): each comparison image has one result, with an id of its own."""
+    return i.filter("role = 'comparison'").select((F.col("image_id") + 1).alias("result_id"), "image_id")
+
+
+LATEST_IMAGE = """
+latest_image AS (SELECT i.image_id, l.* FROM latest l JOIN images i ON i.image_id + 1 = l.result_id WHERE i.role = 'comparison')"""
+
+
 def page_paths(spark, sf_dir: str) -> DataFrame:
     """URLs without their scheme, query and fragment as paths, with one of five endings."""
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")

@@ -193,8 +193,7 @@ SELECT b.t_id AS target_id, b.classification, b.r_id AS best_reference_id, b.n A
 def finder_matches(spark, sf_dir):
     m = finder.matches(related(spark, sf_dir))
     one = finder.filter_matches(m, reference_id=100).select("t_image_id", F.col("shown").alias("for_reference_100"))
-    position = F.row_number().over(Window.orderBy("class_rank", "t_relative_path")).cast("long")
-    return m.join(one, "t_image_id", "left").select(F.col("t_image_id").alias("target_id"), "classification", "best_reference_id", "n_relations", position.alias("position"), "for_reference_100")
+    return stats.numbered(m, "class_rank", "t_relative_path").join(one, "t_image_id", "left").select(F.col("t_image_id").alias("target_id"), "classification", "best_reference_id", "n_relations", "position", "for_reference_100")
 
 
 @query("selection_sets", f"""WITH {IMAGES}, sel AS (SELECT image_id FROM images WHERE image_id % 3 = 0), shown AS (SELECT image_id FROM images WHERE image_id % 2 = 0), d AS (SELECT label, relative_path, image_id, row_number() OVER (PARTITION BY label ORDER BY image_id) AS n FROM images)

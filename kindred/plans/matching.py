@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import bits, measures, nested
-from kindred.operators import classify, match
+from kindred.operators import classify, match, stats
 from kindred.plans.bindings import FILES, IMAGES, PROFILE, SCORE, files, images, pair_score
 from kindred.plans.registry import query
 
@@ -157,8 +157,8 @@ def result_rows(spark, sf_dir):
     ci = i.select("image_id", F.col("relative_path").alias("comparison_path"), px.alias("c_px"))
     bi = i.select(F.col("image_id").alias("primary_id"), F.col("relative_path").alias("primary_path"), px.alias("b_px"))
     x = results(spark, sf_dir).join(ci, "image_id").join(bi, "primary_id", "left")
-    order = Window.orderBy(classify.rank_of(F.col("analysis_type"), classify.SORT_ORDER, 1), "image_id")
-    return x.select("image_id", "comparison_path", "primary_path", "analysis_type", "score", F.row_number().over(order).cast("long").alias("position"), F.coalesce(F.col("b_px") > F.col("c_px"), F.lit(False)).alias("primary_larger"))
+    x = stats.numbered(x, classify.rank_of(F.col("analysis_type"), classify.SORT_ORDER, 1), "image_id")
+    return x.select("image_id", "comparison_path", "primary_path", "analysis_type", "score", "position", F.coalesce(F.col("b_px") > F.col("c_px"), F.lit(False)).alias("primary_larger"))
 
 
 @query("target_sizes", f"""WITH {IMAGES}, p AS (SELECT a.image_id AS a, b.image_id AS b, a.width AS w1, a.height AS h1, b.width AS w2, b.height AS h2 FROM images a JOIN images b ON b.image_id = a.image_id + 1),

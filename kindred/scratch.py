@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: set[str] = set()
+_cleaning, _writers = threading.Lock(), [0, ""]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """``spark.checkpoint.dir``. Where that is unset, a folder of our own, but only if all tasks run in this process:
+    executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="kindred-")
             spark.sparkContext.setCheckpointDir(found)
@@ -54,10 +60,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the finished job's shuffle files go at once; the table has all that is needed
+    with _cleaning:  # the finished job's shuffle files go at once; the table has all that is needed
+        if not _writers[0]:
+            _writers[1] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _writers[0] += 1
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _cleaning:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.set(CLEANUP, _writers[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that ``materialise`` gave and that nothing reads any more."""
+    release(df._scratch)

@@ -90,10 +90,10 @@ def scan_errors(found: DataFrame) -> DataFrame:
 
 def image_rows(found: DataFrame, run_id: str, role: str, root: str) -> DataFrame:
     """Feature rows as the images table holds them; ids follow the path, so reruns agree."""
-    from pyspark.sql import Window
+    from kindred.operators.stats import numbered
 
-    ok = found.filter("error is null")
+    ok = numbered(found.filter("error is null"), "path", name="image_id")
     return ok.select(
-        F.row_number().over(Window.orderBy("path")).cast("long").alias("image_id"), F.lit(run_id).alias("run_id"), F.lit(role).alias("role"), "path", paths.relative(F.regexp_replace("path", "^file:/+", "/"), F.lit(root.rstrip("/"))).alias("relative_path"),
+        "image_id", F.lit(run_id).alias("run_id"), F.lit(role).alias("role"), "path", paths.relative(F.regexp_replace("path", "^file:/+", "/"), F.lit(root.rstrip("/"))).alias("relative_path"),
         F.col("size").alias("file_size"), "mtime", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "format", "color_type", "digest", F.conv("phash", 16, -10).cast("long").alias("phash"), (F.col("width").cast("double") / F.col("height")).alias("aspect"), F.lit("completed").alias("scan_status"),
     )

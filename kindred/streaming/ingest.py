@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import paths
-from kindred.scratch import scratch_path
+from kindred.scratch import materialise, scratch_path
+
+#: What Spark's binary file source gives; a stream must be told.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving_files(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
     """path, size, mtime, digest of supported files, as they appear below a root."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
     kept = files.filter(paths.included(F.col("path")) & paths.supported(F.col("path")))
     return kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("arrived"), F.sha2("content", 256).alias("digest"))
 
 
 def match_arriving(files: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Stream-static left join: which arriving files the baseline (digest, image_id) already has."""
+    """Stream-static left join: which arriving files the baseline (digest, image_id) already has. The baseline is written
+    once, so no batch scans and digests its files again."""
     first = baseline.groupBy("digest").agg(F.min("image_id").alias("primary_id"))
+    first = materialise(first, "baseline")
     return files.join(first, "digest", "left").withColumn("analysis_type", F.when(F.col("primary_id").isNotNull(), "exact_duplicate").otherwise("not_evaluated"))
 
 

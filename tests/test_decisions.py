@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.config import DEFAULT, ProfileMismatch, guard_distance, guard_ids, guard_profile
+from kindred.config import DEFAULT, Profile, ProfileMismatch, guard_distance, guard_ids, guard_profile
 from kindred.functions import bits, measures, naming, paths
 from kindred.operators import classify, events, fileplan, finder, graph, match, sets, stats
 from kindred.schema import SETTINGS, assert_domain, assert_unique
@@ -143,6 +143,25 @@ def test_names(spark):
     assert [one(naming.invalid_name(F.lit(n))) for n in ("a.png", " ", "..", "a.", "a?b", "con.txt", "LPT9.x", "com0.x")] == [None, "empty", "empty", "ending", "character", "reserved", "reserved", None]
 
 
+@pytest.mark.parametrize("d", [10, 24])
+def test_no_join_compares_all_pairs(spark, d):
+    i = spark.range(50).select(F.col("id").alias("image_id"), F.xxhash64("id").alias("phash"), (F.col("id") % 3 + 1.0).alias("aspect"), F.col("id").cast("string").alias("relative_path"))
+    for df in (match.pairs_within(i, d), match.candidates(i, i, Profile(max_distance=d))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 500).alias("k"), (F.col("id") % 3).alias("v")).repartition(7)
+    got = [(r["k"], r["s"], r["n"]) for r in stats.numbered(stats.running(df, F.col("v"), F.desc("k"), name="s"), F.desc("k"), name="n").collect()]
+    total, expected = 0, []
+    for n, (k, v) in enumerate(sorted(((i * 37 % 500, i % 3) for i in range(500)), reverse=True)):
+        total += v
+        expected.append((k, total, n + 1))
+    assert sorted(got, reverse=True) == expected
+    assert stats.numbered(df.limit(0), "k").count() == 0
+
+
 def test_explicit_issues(spark):
     items = spark.createDataFrame([("d/a.png", "same.png", "f"), ("d/b.png", "SAME.png", "f"), ("d/c.png", "free.png", "old"), ("d/x.png", "new.png", "f"), ("d/e.png", "taken.png", "f"), ("d/g.png", "g2.png", None)], "path string, proposed_name string, expected string")
     listing = spark.createDataFrame([(f"d/{n}.png", "f", n) for n in "abceg"] + [("d/taken.png", "f", "e")], "path string, fingerprint string, digest string")
@@ -153,8 +172,10 @@ def test_explicit_issues(spark):
 def test_events(spark):
     log = spark.createDataFrame([(1, 7, "prepared", 10), (2, 7, "recycled", 10), (3, 8, "recycled", 5), (4, 8, "restored", 9)], "id long, result_id long, operation_type string, created_at long")
     assert {r["result_id"]: r["operation_type"] for r in events.latest(log).collect()} == {7: "recycled", 8: "restored"}
-    left = events.active(spark.createDataFrame([(7,), (8,), (9,)], "image_id long"), log)
-    assert {r["image_id"] for r in left.collect()} == {8, 9}
+    results = spark.createDataFrame([(7, 71, "exact_duplicate"), (8, 72, "likely_compressed"), (6, 72, "exact_duplicate"), (5, 71, "variant")], "result_id long, image_id long, analysis_type string")
+    left = events.active(spark.createDataFrame([(71,), (72,), (7,)], "image_id long"), results, log)
+    assert {r["image_id"] for r in left.collect()} == {72, 7}
+    assert [tuple(r) for r in events.recyclable(results, log).collect()] == [(72, 6, "exact_duplicate")]
     assert {r["id"]: r["legal"] for r in events.transitions(log).collect()} == {1: True, 2: True, 3: False, 4: True}
 
 

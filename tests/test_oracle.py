@@ -54,7 +54,7 @@ def test_listed_images_of_a_larger_table(spark):
     con.execute(f"create view embeddings as select * from '{larger}/embeddings.parquet'")
     expected = con.execute(catalogue.oracle_sql()["listed_images"]).fetchall()
     got = catalogue.queries()["listed_images"](spark, larger).select("image_id", "relative_path", "position").collect()
-    assert len(got) == 50 and sorted(map(tuple, got)) == sorted(expected)
+    assert got and sorted(map(tuple, got)) == sorted(expected)
 
 
 def test_entry(spark):
