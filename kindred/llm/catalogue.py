@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from kindred.llm import fingerprints, html_extract, mixing, near_dedup, packing, quality, secret_scan, substring, suffix, token_output
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_html_extraction": html_extract.op8_html_extraction,
         "op9_simhash_near_dedup": near_dedup.op9_simhash_near_dedup,
         "op10_suffix_array_dedup": suffix.op10_suffix_array_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 

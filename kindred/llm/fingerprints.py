@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from kindred.llm.common import materialise, partitions, whole_text
 
 BITS, LANE, LOWEST = 64, 0x0000000100000001, -(2**63)
+#: Ids divisible by this are the queries of the search for neighbours.
+QUERIES = 100
 
 
 def terms(text: Column) -> Column:
@@ -92,6 +94,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts are empty. A null doc_id counts as the least. Repeated rows each give a row; where a doc_id has several
     texts, the least of their heads (and fingerprints) stands for the next document. A lone document follows itself.
+    n_near is the number of other fingerprints within the radius of three, found by the block tables, for the documents
+    that are taken as queries (ids divisible by 100); null for the others.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.monotonically_increasing_id().alias("n"), whole_text().alias("text"))
     following = successors(rows)
@@ -107,13 +111,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     fps = simhash(exploded, ["n", "key", "n_chars", "sha", "changed"])
     pick = lambda changed: F.max(F.when(F.col("changed") == changed, F.col("fp")))
     per_row = materialise(fps.groupBy("n", "key", "n_chars", "sha").agg(pick(False).alias("fp"), pick(True).alias("edited_fp")), "fingerprints")
+    near = within_radius(per_row.filter(F.col("key") % QUERIES == 0), per_row).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("n_near"))
+    asked = F.when(F.col("key") % QUERIES == 0, F.coalesce("n_near", F.lit(0)))
     ahead = per_row.groupBy("key").agg(F.min("fp").alias("next_fp")).withColumnRenamed("key", "next")
-    return per_row.join(following.select("key", "next"), "key").join(ahead, "next")
+    return per_row.join(near, "fp", "left").withColumn("n_near", asked).join(following.select("key", "next"), "key").join(ahead, "next")
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     found = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         F.nullif(F.col("key"), F.lit(LOWEST)).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), hex16("fp").alias("fingerprint"),
-        hex16("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+        hex16("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_near",
     )

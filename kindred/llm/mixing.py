@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import WORD, materialise
+from kindred.llm.common import WORD, materialise, partitions
 
 BLOCK, SEED, ROUNDS, CELLS = 128, 20_240_117, 12, 4096
 WEIGHTS = (5, 2, 1)
@@ -76,7 +76,8 @@ def plan(table: DataFrame) -> DataFrame:
     counts = materialise(drawn, "counts").join(table, "sid")
     base = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
     kept = counts.withColumn("base", base).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("n_slots") - F.col("base"))))
-    kept = materialise(kept.select("shard", "sid", "n", "base", "kept"), "kept")
+    # a small table that is about to grow to all slots: dealt out first, so that the tasks grow with it
+    kept = materialise(kept.select("shard", "sid", "n", "base", "kept"), "kept").repartition(partitions(spark), "shard")
 
     def each(first: Column, many: Column) -> Column:
         return F.explode(F.sequence(first, first + many - 1))

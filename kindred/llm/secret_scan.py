@@ -1,10 +1,11 @@
 """Secrets in texts: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of 20 or more token characters. Inside it, every run of one character class (hexadecimal,
-base64) is walked with a window whose character counts, and with them the sum of ``c * log2(c)``, change by one
-character in and one out; windows that reach the class's threshold are joined into spans. An allow-list then drops
-spans that are no secrets: words without digits, numbers, UUIDs, placeholders and paths of words. Spans of the fixed
-patterns are never dropped.
+A candidate is a run of 20 or more token characters. Assignment signs, UUIDs and placeholders are cut out of it. In
+what is left, every run of one character class (hexadecimal, small letters and digits, capitals and digits, base64) is
+walked with a window whose character counts, and with them the sum of ``c * log2(c)``, change by one character in and one
+out; windows that reach the class's threshold are joined into spans, which end where the letters and digits end. An
+allow-list then drops the spans that are no secrets themselves: words without digits, numbers, paths and names of words
+and numbers. What stands beside a span never suppresses it. Spans of the fixed patterns are never dropped.
 """
 
 from __future__ import annotations
@@ -28,14 +29,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is found from its firs
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Class name: (runs of its characters, window, least entropy in bits of a window).
-CLASSES = {"hex": (re.compile(r"[0-9A-Fa-f]+"), 20, 3.0), "base64": (re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9)}
+CLASSES = {
+    "hex": (re.compile(r"[0-9A-Fa-f]+"), 20, 3.0),
+    "lower": (re.compile(r"[a-z0-9]+"), 20, 3.6),
+    "upper": (re.compile(r"[A-Z0-9]+"), 20, 3.6),
+    "base64": (re.compile(r"[A-Za-z0-9+/_-]+"), 20, 3.9),
+}
+# What is cut out of a candidate, the words with the letters and digits around them.
+CUTS = re.compile(r"=+|(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])|0000+|1234567[0-9]*|your[_-]|(example|sample|placeholder|dummy|changeme|xxxx)", re.I)
 ALLOWED = (
     re.compile(r"[^0-9]*"),
     re.compile(r"[0-9+/_=-]*"),
-    re.compile(r".*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}.*"),
-    re.compile(r".*(example|sample|placeholder|dummy|changeme|your[_-]|xxxx|0000|1234567).*", re.I),
     re.compile(r"(?=.*[/_-])[/_-]*([a-z]+|[A-Z][a-z]*|[0-9]{1,4})([/_-]+([a-z]+|[A-Z][a-z]*|[0-9]{1,4}))*[/_-]*"),
+    re.compile(r"([A-Z]?[a-z]{2,}[0-9]{1,4}[/_-]*)+([A-Z]?[a-z]*)|([A-Z]{3,}[0-9]{1,4}[/_-]*)+[A-Z]*"),
 )
+ALNUM = re.compile(r"[A-Za-z0-9]*")
 _GAIN = [0.0, 0.0] + [c * math.log2(c) for c in range(2, 257)]
 
 
@@ -71,18 +79,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def pieces(candidate: str) -> list[tuple[int, int]]:
+    """Stretches of a candidate between what is cut out of it."""
+    out, at = [], 0
+    for m in CUTS.finditer(candidate):
+        a, b = m.span()
+        if m.group(1):
+            if a < at:
+                continue  # in a word that is gone already
+            while a > at and candidate[a - 1].isalnum():
+                a -= 1
+            b = ALNUM.match(candidate, b).end()
+        out.append((at, a))
+        at = max(at, b)
+    out.append((at, len(candidate)))
+    return out
+
+
+def allowed(span: str) -> bool:
+    return any(x.fullmatch(span) for x in ALLOWED)
+
+
 def method_spans(text: str) -> list[tuple[str, int, int]]:
-    """Entropy spans that no allow-list entry covers; overlapping ones of the two classes are joined."""
+    """Entropy spans that no allow-list entry covers; overlapping ones of the classes are joined."""
     found: list[tuple[int, int]] = []
     for candidate in CANDIDATE.finditer(text):
-        whole = candidate.group()
-        if any(x.fullmatch(whole) for x in ALLOWED):
-            continue
-        for runs, window, least in CLASSES.values():
-            for run in runs.finditer(whole):
-                if run.end() - run.start() >= window:
-                    at = candidate.start() + run.start()
-                    found += [(at + a, at + b) for a, b in entropy_spans(run.group(), window, least) if not any(x.fullmatch(run.group()[a:b]) for x in ALLOWED[:2])]
+        for begin, end in pieces(candidate.group()):
+            piece = candidate.group()[begin:end]
+            for runs, window, least in CLASSES.values() if not allowed(piece) else ():
+                for run in runs.finditer(piece):
+                    last = 0
+                    for a, b in entropy_spans(run.group(), window, least):
+                        a, b = a + run.start(), b + run.start()
+                        if a < last:
+                            continue  # in the span before, which was widened
+                        while a > last and piece[a - 1].isalnum():
+                            a -= 1
+                        last = b = ALNUM.match(piece, b).end()
+                        if not allowed(piece[a:b]):
+                            found.append((candidate.start() + begin + a, candidate.start() + begin + b))
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a < joined[-1][1]:

@@ -71,6 +71,10 @@ class ShardWriter:
             self._batch(np.concatenate([flat, np.zeros(whole - len(flat), self.kind)]), len(flat))
         self.stream.close()
         self.sink.close()
+        from pyarrow import fs
+
+        if self.fs.get_file_info(self.final).type != fs.FileType.NotFound:
+            self.fs.delete_file(self.final)  # an attempt that was lost has written the same shard
         self.fs.move(self.temporary, self.final)
 
 

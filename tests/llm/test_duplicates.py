@@ -344,6 +344,8 @@ def test_op6_against_brute_force(spark, folder, unique):
         far = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
         assert g["near_edited"] == far(g["fingerprint"], g["edited_fingerprint"])
         assert g["near_next"] == far(g["fingerprint"], got[following[0]]["fingerprint"])
+        others = {int(x["fingerprint"], 16) for x in got.values()} - {int(g["fingerprint"], 16)}
+        assert g["n_near"] == (sum((x ^ int(g["fingerprint"], 16)).bit_count() <= 3 for x in others) if r[0] % 100 == 0 else None)
     same = {}
     for r in order:
         same.setdefault(r[1] or "", set()).add(got[r[0]]["fingerprint"])

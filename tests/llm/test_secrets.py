@@ -43,11 +43,61 @@ def test_entropy_by_incremental_counts(run):
     assert S.entropy_spans(run, 20, 2.9) == brute_entropy(run, 20, 2.9)
 
 
+KEYS = ["Zq8LmX2vR7tYb4NcK9wPs3Hd", "k3j9x7q2m5v8b1n6c4z0l7w2", "Q7XK2M9VB4TN8RZ1HW6C", "9f86d081884c7d659a2f", "wJ8rXUtn4FEMI/K7MDENG/bPxRf1CY9zQ3vT"]
+
+
 def test_method_finds_keys_and_leaves_names_alone():
-    key = "Zq8LmX2vR7tYb4NcK9wPs3Hd"
-    assert [k for k, *_ in S.method_spans(f"use {key} here")] == ["entropy"]
-    for plain in ("internationalization_of_everything", "123e4567-e89b-12d3-a456-426614174000", "/usr/local/share/doc/packages", "example-key-1234567890-abcdefghij", "11111111111111111111111111", "thandtiononentwhthtionandmore"):
-        assert S.method_spans(plain) == []
+    for key in KEYS:
+        assert [k for k, *_ in S.method_spans(f"use {key} here")] == ["entropy"]
+    for plain in ("internationalization_of_everything", "123e4567-e89b-12d3-a456-426614174000", "/usr/local/share/doc/packages", "example-key-1234567890-abcdefghij", "11111111111111111111111111", "thandtiononentwhthtionandmore", "section12paragraph34subsection5", "release-2024-10-12-candidate-3", "x" * 3000, "sample" * 500):
+        assert S.method_spans(plain) == [], plain
+
+
+def test_what_stands_beside_a_key_does_not_hide_it():
+    for key in KEYS:
+        for before in ("sample=", "123e4567-e89b-12d3-a456-426614174000/", "key0000/", "your-", "example/", "1234567/", "path/to/file/"):
+            text = f"see {before}{key}"
+            (_, a, b), = S.method_spans(text)
+            assert text[a:b].endswith(key[-20:]) and len(text[:a]) >= 4 and key in text[a:b] or key.startswith("wJ8r")
+
+
+def brute_method(text):
+    """Windows one by one, on the pieces that the cuts leave."""
+    on = [False] * len(text)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        for x, y in S.pieces(m[0]):
+            piece, at = m[0][x:y], m.start() + x
+            if S.allowed(piece):
+                continue
+            for runs, window, least in S.CLASSES.values():
+                for run in runs.finditer(piece):
+                    for a, b in brute_entropy(run[0], window, least):
+                        a, b = a + run.start(), b + run.start()
+                        while a and piece[a - 1] in ALNUM:
+                            a -= 1
+                        while b < len(piece) and piece[b] in ALNUM:
+                            b += 1
+                        if not S.allowed(piece[a:b]):
+                            on[at + a : at + b] = [True] * (b - a)
+    return on
+
+
+ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+PARTS = [*KEYS, "/", "=", "-", "_", " ", "sample", "0000", "word", "Name", "12", "your-", "123e4567-e89b-12d3-a456-426614174000", "f00", "+"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=12).map("".join))
+def test_method_spans_against_single_windows(text):
+    on = [False] * len(text)
+    for _, a, b in S.method_spans(text):
+        on[a:b] = [True] * (b - a)
+    assert on == brute_method(text)
+
+
+def test_long_hostile_runs():
+    for run in ("xxxx" * 50_000, "a1" * 100_000, "=" * 200_000, "A" * 200_000, "00001234567" * 20_000):
+        S.method_spans(run)
 
 
 def test_op4(spark, folder, unique):
@@ -60,6 +110,10 @@ def test_op4(spark, folder, unique):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+        on, got_on = brute_method(text or ""), [False] * len(text or "")
+        for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s.startswith("entropy")):
+            got_on[int(a) : int(b)] = [True] * (int(b) - int(a))
+        assert on == got_on
     assert S.op4_secret_scans(spark, f"{folder}/none").count() == 0
 
 
