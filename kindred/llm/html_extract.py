@@ -1,10 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A linear classifier scores each block from its words, links, tag and place; the
-score becomes the capacity to one terminal. Smoothness edges join neighbouring blocks and blocks that are close in
-the DOM. The minimum cut gives the cheapest labelling of all blocks at once, into content and boilerplate. Blocks
-whose terminal capacity outweighs all their edges are settled first, which leaves the cut the same; max-flow (Dinic's
-algorithm) settles the rest.
+A page is cut into blocks of text. A linear classifier scores each block from its words, links, tag, place and the
+names of the elements around it; the score becomes the capacity to one terminal. Smoothness edges of like size join
+neighbouring blocks and blocks that are close in the DOM, so a short line inside an article is kept and a lone line
+between menus is not, whatever each says by itself. The minimum cut gives the cheapest labelling of all blocks at once,
+into content and boilerplate. Blocks whose terminal capacity outweighs all their edges are settled first, which leaves
+the cut the same; max-flow (Dinic's algorithm) settles the rest.
+
+Tags are read by a scanner that looks at each character a bounded number of times, whatever the page.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import deque
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,22 +27,33 @@ from pyspark.sql import functions as F
 from kindred.llm.common import tidily
 
 # Element names and words of class, id and role that tell what a part of a page is for.
-DROPPED = "script style noscript template iframe svg canvas object head title select textarea button audio video map"
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(DROPPED.split()) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)""", re.S | re.I)
+RAW = frozenset("script style title textarea iframe".split())
+DROPPED = frozenset("noscript template svg canvas object select button audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = frozenset("br img input hr meta link wbr area base col embed source track param".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = HEADINGS | frozenset("p li td th dt dd".split())  # what holds them is their blocks' parent
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+WHOLE_PAGE = frozenset("html body".split())
 BOILERPLATE_ROLES = frozenset("navigation contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-BOILERPLATE_WORDS = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert advertisement adverts banner cookie cookies consent gdpr notice notices popup modal overlay promo sponsor sponsored share sharing social related recommended breadcrumb breadcrumbs comment comments reply replies respond disqus discussion newsletter subscribe subscription signup login search widget pagination pager toolbar copyright skip".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
+BOILERPLATE_WORDS = COMMENT_WORDS | frozenset("nav navbar navigation menu footer sidebar aside ad ads advert advertisement adverts banner cookie cookies consent gdpr notice notices popup modal overlay promo sponsor sponsored share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget pagination pager toolbar copyright skip".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+BLOCK_START = re.compile(r"<(?:p|div|article|main|section|body|h[1-6]|ul|ol|table|header|footer|nav|aside|blockquote|pre)\b", re.I)
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s+[A-Za-z-]+(?:="[^"<>]*")?)*)\s*(/?)>""")
+NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+ATTRIBUTE_NAME = re.compile(r"[^\s=></][^\s=></]*")
+BARE_VALUE = re.compile(r"[^\s>]*")
+SPACE = re.compile(r"\s*")
+ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:="([^"]*)")?""")
 WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Weights of the classifier; positive speaks for content. Capacities are in hundredths.
-WEIGHTS = {"boilerplate": -12.0, "article": 4.0, "words": 0.8, "short": -2.0, "links": -5.0, "heading": 1.5, "paragraph": 1.0, "item": -0.5, "sentence": 0.5, "rights": -3.0}
-ADJACENT, ACROSS, SIBLING = 100, 30, 100
+#: Weights of the classifier; positive speaks for content. Capacities are in hundredths, as those of the edges.
+WEIGHTS = {"bias": -3.0, "words": 0.8, "links": -4.0, "linked_in_article": 2.0, "heading": 0.6, "paragraph": 0.4, "item": -0.1, "sentence": 0.5, "rights": -2.5, "article": 1.7, "outside": -2.5, "marked": -4.0, "marked_around_article": -1.0}
+ENOUGH = 24  # words; more say no more
+ADJACENT, ACROSS, SIBLING = 100, 20, 60
 
 
 @dataclass(slots=True)
@@ -47,102 +62,221 @@ class Block:
     tag: str
     linked: int
     parent: int
-    boilerplate: bool
+    mark: float
     article: bool
 
 
-def purpose(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(boilerplate, article) as the element itself says."""
-    bad, good = tag in BOILERPLATE_TAGS or (tag == "header" and not in_article), tag in CONTENT_TAGS
-    if "=" in attributes or "hidden" in attributes:
-        for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id"):
-                words = set(WORD.findall(value))
-                bad = bad or not words.isdisjoint(BOILERPLATE_WORDS) or (not in_article and not words.isdisjoint(HEADER_WORDS))
-            elif name == "role":
-                bad, good = bad or value in BOILERPLATE_ROLES or (value == "banner" and not in_article), good or value in CONTENT_TAGS
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
-                bad = True
-    return bad, good
+class Scanner:
+    """Text and tags of a page: (text, "", False, {}, False) or (None, name, closing, attributes, self-closed).
+
+    A quote counts only where a value begins, and only if it is closed; outside of quotes a tag ends at "<" too.
+    A comment that is not closed ends at the next ">".
+    """
+
+    def __init__(self, page: str):
+        self.page, self.none_left, self.ends = page, set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none_left:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none_left.add(what)
+        return found
+
+    def end_tag(self, name: str, at: int) -> int:
+        """Where the next end tag of that name begins, or -1; all are looked up once."""
+        if name not in self.ends:
+            self.ends[name] = [m.start() for m in re.finditer(rf"</{name}(?![A-Za-z0-9:-])", self.page, re.I)]
+        i = bisect_right(self.ends[name], at)
+        return self.ends[name][i] if i < len(self.ends[name]) else -1
+
+    def __iter__(self) -> Iterator[tuple]:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            open_ = page.find("<", at)
+            if open_ < 0:
+                yield page[at:], "", False, {}, False
+                return
+            if open_ > at:
+                yield page[at:open_], "", False, {}, False
+            m = PLAIN_TAG.match(page, open_)
+            if m:
+                at = m.end()
+                name, closing = m.group(2).lower(), bool(m.group(1))
+                attributes = {k.lower(): v for k, v in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+                closed = bool(m.group(4))
+            elif page.startswith("<!--", open_):
+                end = self.find("-->", open_ + 4)
+                end = end if end >= 0 else self.find(">", open_)
+                at = n if end < 0 else page.index(">", end) + 1
+                continue
+            elif m := NAME.match(page, open_):
+                name, closing = m.group(1).lower(), page[open_ + 1] == "/"
+                at, attributes, closed = self.attributes(m.end())
+            elif page[open_ + 1 : open_ + 2] in ("!", "?", "/"):
+                end = self.find(">", open_)
+                at = n if end < 0 else end + 1
+                continue
+            else:
+                yield "<", "", False, {}, False
+                at = open_ + 1
+                continue
+            yield None, name, closing, attributes, closed
+            if name in RAW and not closing and not closed:
+                end = self.end_tag(name, at)
+                if end < 0:  # never closed: up to the next block
+                    block = BLOCK_START.search(page, at)
+                    end = block.start() if block else n
+                at = end
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str], bool]:
+        page, n, out, closed = self.page, len(self.page), {}, False
+        while at < n:
+            at = SPACE.match(page, at).end()
+            x = page[at : at + 1]
+            if x == ">":
+                return at + 1, out, closed
+            if x in ("<", ""):
+                return at, out, closed
+            if x in "/=":
+                closed = x == "/"
+                at += 1
+                continue
+            closed = False
+            m = ATTRIBUTE_NAME.match(page, at)
+            at = SPACE.match(page, m.end()).end()
+            value = ""
+            if page[at : at + 1] == "=":
+                at = SPACE.match(page, at + 1).end()
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote and quote in "\"'" else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    b = BARE_VALUE.match(page, at)
+                    value, at = b.group().strip("\"'"), b.end()
+            out.setdefault(m.group().lower(), value)
+        return n, out, closed
+
+
+def purpose(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[str, bool]:
+    """(mark, article) as the element itself says: marks are "" (none), "word" (by class or id), "firm"."""
+    mark, good = "firm" if tag in BOILERPLATE_TAGS or (tag == "header" and not in_article) else "", tag in CONTENT_TAGS
+    for name, value in attributes.items():
+        if name in ("class", "id"):
+            words = set(WORD.findall(value.lower()))
+            if not words.isdisjoint(COMMENT_WORDS):
+                mark = "firm"
+            elif tag not in WHOLE_PAGE and not good and (not words.isdisjoint(BOILERPLATE_WORDS) or (not in_article and not words.isdisjoint(HEADER_WORDS))):
+                mark = mark or "word"
+        elif name == "role":
+            value = value.lower()
+            if value in BOILERPLATE_ROLES or (value == "banner" and not in_article):
+                mark = "firm"
+            good = good or value in CONTENT_TAGS
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
+            mark = "firm"
+    return mark, good
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks in page order: white space is one space, character references are decoded, nothing is empty."""
+    """Blocks in page order: white space is one space, character references are decoded, nothing is empty.
+
+    An element that is dropped and never closed drops nothing but its tag.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, boilerplate, article
+    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "", False, False)]  # tag, number, mark, article, dropped
+    names: Counter[str] = Counter()
     parts: list[str] = []
-    linked, depth, tag, number = 0, 0, "", 0
+    linked, in_link, tag, number = 0, False, "", 0
+    scanner = Scanner(page)
+    seen = 0  # characters read, at least
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                _, parent, bad, good = stack[-1]
-                out.append(Block(text, tag, min(linked, len(text)), parent, bad, good))
+                _, parent, mark, article, _ = stack[-1]
+                strength = {"": 0.0, "word": WEIGHTS["marked_around_article"] if article else WEIGHTS["marked"], "firm": WEIGHTS["marked"]}[mark]
+                out.append(Block(text, tag, min(linked, len(text)), parent, strength, article and mark != "firm"))
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        text = m.group(5)
+    def pop() -> None:
+        names[stack.pop()[0]] -= 1
+
+    for text, name, closing, attributes, closed in scanner:
         if text is not None:
-            parts.append(text)
-            if depth:
-                linked += len(text)
+            seen += len(text)
+            if not stack[-1][4]:
+                parts.append(text)
+                linked += len(text) * in_link
             continue
-        name = m.group(3)
-        if name is None:
+        seen += len(name) + 2 + closing
+        if name in RAW:
             continue
-        name = name.lower()
-        closing = bool(m.group(2))
         if name == "a":
-            depth = 0 if closing else 1
+            in_link = not closing
             continue
         if name == "br":
             parts.append(" ")
             continue
-        if name in INLINE:
-            attributes = m.group(4)
-            if closing or "=" not in attributes or not purpose(name, attributes, True)[0]:
-                continue
+        if name in INLINE and (name in VOID or (not names[name] if closing else not attributes or not purpose(name, attributes, True)[0])):
+            continue
         flush()
-        depth = 0 if name != "p" else depth
+        in_link = in_link and name == "p"
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if names[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             tag = stack[-1][0]
             continue
         tag = name
-        if name in VOID or m.group(4).endswith("/"):
+        if name in VOID or closed or (name in DROPPED and scanner.end_tag(name, seen - len(name) - 2) < 0):
             continue
         while stack[-1][0] == "p" or (name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name):
-            stack.pop()  # ended by what follows
-        _, _, bad, good = stack[-1]
-        own_bad, own_good = purpose(name, m.group(4), good)
+            pop()  # ended by what follows
+        _, parent, mark, article, dropped = stack[-1]
+        own, good = purpose(name, attributes, article)
         number += 1
-        stack.append((name, number if name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else stack[-1][1], bad or own_bad, good or own_good))
+        if own or good:
+            article = (article or good) and own != "firm"
+            mark = "firm" if "firm" in (mark, own) else mark if mark and not own else own
+            if own == "word":
+                article = good
+        stack.append((name, parent if name in PARTS else number, mark, article, dropped or name in DROPPED))
+        names[name] += 1
     flush()
     return out
 
 
-def score(b: Block) -> float:
-    w, n = WEIGHTS, b.text.count(" ") + 1
-    z = w["short"] + w["words"] * math.log2(1 + n) + w["links"] * b.linked / len(b.text)
-    z += w["boilerplate"] * b.boilerplate + w["article"] * b.article
-    if b.tag == "p":
-        z += w["paragraph"]
-    elif b.tag in ("h1", "h2", "h3"):
-        z += w["heading"]
-    elif b.tag in ("li", "td", "th", "dt"):
-        z += w["item"]
-    if b.text[-1] in ".!?。…\"”»":
-        z += w["sentence"]
-    if "©" in b.text:
-        z += w["rights"]
-    return z
+def scores(page: list[Block]) -> list[float]:
+    """The classifier. Where most unmarked words of the page are in its article, what is outside counts less."""
+    w = WEIGHTS
+    size = [b.text.count(" ") + 1 for b in page]
+    inside = sum(n for n, b in zip(size, page, strict=True) if b.article)
+    free = sum(n for n, b in zip(size, page, strict=True) if b.article or not b.mark)
+    share = inside / free if free else 0.0
+    out = []
+    for n, b in zip(size, page, strict=True):
+        density = b.linked / len(b.text)
+        z = w["bias"] + w["words"] * math.log2(1 + min(n, ENOUGH)) + w["links"] * density + b.mark
+        z += w["article"] + w["linked_in_article"] * density if b.article else w["outside"] * share
+        if b.tag == "p":
+            z += w["paragraph"]
+        elif b.tag in HEADINGS:
+            z += w["heading"]
+        elif b.tag in ("li", "td", "th", "dt"):
+            z += w["item"]
+        if b.text[-1] in ".!?。…\"”»":
+            z += w["sentence"]
+        if "©" in b.text:
+            z += w["rights"]
+        out.append(z)
+    return out
 
 
 def edges(page: list[Block]) -> list[tuple[int, int, int]]:
@@ -266,7 +400,7 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
-    capacity = [round(100 * score(b)) for b in found]
+    capacity = [round(100 * z) for z in scores(found)]
     content = min_cut([max(c, 0) for c in capacity], [max(-c, 0) for c in capacity], edges(found))
     return " ".join(b.text for b, x in zip(found, content, strict=True) if x)
 
@@ -274,7 +408,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row. Null or empty html, and pages without content, give the empty text.
 
-    Each page is labelled by itself, whole; repeated rows each give a row; nothing is shuffled.
+    Elements that are never closed end with what holds them; tags that are never closed end at the next "<". Each page is labelled by itself, whole; repeated rows each give a row; nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
