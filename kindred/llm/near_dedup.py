@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import materialise, mix64, partitions, tidily, utf8
-from kindred.llm.repeats import MULTIPLIER, word_units
+from kindred.llm.repeats import MULTIPLIER, SLICE, word_units
 from kindred.llm.tokens import text_slices
 from kindred.operators.graph import roots
 
@@ -167,11 +167,9 @@ def dealt_by_pivots(rows: DataFrame, radius: int, most: int) -> DataFrame:
     done = None
     for i in range(PIVOTS):
         large = materialise(rows.groupBy("key").count().filter(F.col("count") > most).select("key"), "large")
-        n = large.count()
-        if not n:
+        if not large.count():
             break
-        if n <= 100_000:
-            large = F.broadcast(large)
+        large = small(large)
         rest = rows.join(large, "key", "left_anti")
         done = rest if done is None else done.unionByName(rest)
         band = F.explode(F.array_distinct(F.array(*(F.floor((pivot_distance(i) + x) / (radius + 1)) for x in (0, radius))))).alias("band")
@@ -309,6 +307,11 @@ def verified(fp: np.ndarray, table: np.ndarray, h: np.ndarray, bounds: np.ndarra
     return label
 
 
+def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of one long a row, to be broadcast if it has ``most`` rows at most (8 MB) and joined otherwise."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, most: int = MOST, leaders: int = 3) -> DataFrame:
     """Edges (a, b) between ids of ``classes`` (id, fp, bands) whose shingle sets are similar; ``texts`` has id and text.
 
@@ -317,18 +320,17 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMI
     key, so a group of near copies of any size is never gathered. What is left is compared in one task a key.
     """
     pairs = classes.select("id", F.explode("bands").alias("key"))
-    same = F.struct(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.min("id"))
-    keys = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader"), same.alias("same")).filter("n > 1")
-    once = keys.groupBy("same").agg(F.min("key").alias("key"))
-    members = materialise(pairs.join(once.select("key"), "key"), "members")
+    keys = pairs.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all"), F.min("id").alias("least")).filter("n > 1")
+    once = keys.groupBy("n", "all", "least").agg(F.min("key").alias("key")).select("key")
+    members = materialise(pairs.join(small(materialise(once, "keys")), "key", "left_semi"), "members")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in text_slices(whole):
+            for part in text_slices(whole, most=SLICE):
                 h, bounds = shingle_sets(utf8(part.column("text")))
                 yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
 
-    wanted = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text")
+    wanted = texts.join(small(materialise(members.select("id").distinct(), "ids")), "id", "left_semi").select("id", "text")
     sets = wanted.mapInArrow(tidily(measure), "id long, shingles array<long>").join(classes.select("id", "fp", *pivot_distances(F.col("fp"))), "id")
     sets = materialise(sets, "sets")
     edges = None
@@ -375,7 +377,7 @@ def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in text_slices(whole):
+            for part in text_slices(whole, most=SLICE):
                 fp, same, bands = sketches(*shingle_sets(utf8(part.column("text"))))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
                 yield pa.record_batch([part.column("row"), part.column("id"), pa.array(fp.view(np.int64)), *(pa.array(np.ascontiguousarray(same[:, i]).view(np.int64)) for i in range(2)), lists], names=["row", "id", "fp", "same0", "same1", "bands"])
@@ -390,7 +392,8 @@ def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     found = roots(similar_links(classes.select("id", "fp", "bands"), texts, most=most))
     rooted = classes.select("id", "head").join(found, F.col("id") == F.col("v"), "left")
     stays = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("head").alias("head")).select(F.col("head.id").alias("id"))
-    return written.join(stays, "id", "left_semi").select("row.*")
+    goes = materialise(written.select("id").join(stays, "id", "left_anti"), "goes")
+    return written.join(small(goes), "id", "left_anti").select("row.*")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
