@@ -26,6 +26,7 @@ class Run:
     images: DataFrame
     results: DataFrame
     errors: DataFrame
+    rasters: DataFrame
 
 
 def load(spark: SparkSession, roots: list[tuple[str, str]], run_id: str, excludes=EXCLUDES, algorithm: str = "sha256") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,13 +93,34 @@ def compare(spark: SparkSession, baseline: str, comparisons: list[str], profile:
     scored = top.join(scores, ["c_id", "b_id"], "left").join(sizes, "b_id").withColumn("exact", F.lit(False))
     classes = classify.classify(rest, scored, profile).select("image_id", "analysis_type", "primary_id", "phash_distance", "score")
     results = materialise(classes.unionByName(exact).withColumn("algorithm_profile_id", F.lit(profile.profile_id)), "results")
-    return Run(images, results, failed)
+    return Run(images, results, failed, rasters)
 
 
 def groups(run: Run, distance: int = DEFAULT.group_distance) -> DataFrame:
-    """Members of the similarity groups of a run's images, with their roles."""
+    """Members of the similarity groups of a run's images, with their roles; a written table."""
     components = graph.connected_components(run.images, match.pairs_within(run.images, distance))
-    return graph.member_roles(graph.groups(run.images, components), run.results, run.images)
+    return materialise(graph.member_roles(graph.groups(run.images, components), run.results, run.images), "members")
+
+
+def group_scores(run: Run, members: DataFrame, edge: int = 900) -> DataFrame:
+    """(component, left_id, right_id, score, error) of the pairs inside groups that are worth a score; each is scored once."""
+    pairs = graph.plan_pairs(members).select("component", F.col("left_id").alias("c_id"), F.col("right_id").alias("b_id"))
+    scored = score(pairs, run.rasters, edge)
+    return scored.select("component", F.col("c_id").alias("left_id"), F.col("b_id").alias("right_id"), "score", "error")
+
+
+def originals(run: Run, members: DataFrame, scores: DataFrame, manual_originals: DataFrame | None = None, manual_thumbnails: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The originals of each group with their source, and the thumbnails with the original that each belongs to.
+
+    ``members`` are those of ``groups``, ``scores`` those of ``group_scores``; failed pairs have no say. What a user has set
+    (image_id) goes before what is found.
+    """
+    none = run.images.select("image_id").limit(0)
+    chosen = graph.choose_originals(graph.automatic_originals(members), none if manual_originals is None else manual_originals, none if manual_thumbnails is None else manual_thumbnails)
+    path = run.images.select(F.col("image_id").alias("effective"), F.col("relative_path").alias("reference_path"))
+    chosen = chosen.withColumn("effective", F.coalesce("effective_reference_id", "image_id")).join(path, "effective", "left")
+    chosen = materialise(chosen, "originals")
+    return chosen.filter("source is not null"), graph.assign_thumbnails(chosen, scores.filter("score is not null"))
 
 
 def search(spark: SparkSession, references: list[str], targets: list[str], profile: Profile = DEFAULT) -> DataFrame:

@@ -86,6 +86,27 @@ def test_scored_candidates(spark, tmp_path):
     assert row["score"] is not None and row["score"] > 0.99
 
 
+def test_originals_of_groups(spark, tmp_path):
+    """Small copies of a picture become thumbnails of the large one, by their cross-check score."""
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    put(f"{a}/big.png", picture(1, 96, 72))
+    put(f"{b}/small.png", kernels.resize(picture(1, 96, 72), 48, 36))
+    put(f"{b}/other.png", picture(9, 96, 72))
+    run = pipeline.compare(spark, a, [b], Profile(max_distance=12))
+    names = {r["image_id"]: os.path.basename(r["path"]) for r in run.images.collect()}
+    members = pipeline.groups(run, 8)
+    scores = pipeline.group_scores(run, members)
+    (pair,) = scores.collect()
+    assert {names[pair["left_id"]], names[pair["right_id"]]} == {"big.png", "small.png"} and pair["score"] > 0.99 and pair["error"] is None
+    first, thumbnails = pipeline.originals(run, members, scores)
+    assert sorted(names[r["image_id"]] for r in first.collect()) == ["big.png", "other.png"]
+    (thumb,) = thumbnails.collect()
+    assert (names[thumb["image_id"]], names[thumb["original_id"]], thumb["way"]) == ("small.png", "big.png", 0) and thumb["similarity"] == pair["score"]
+    small = run.images.filter("path like '%small.png'").select("image_id")
+    first, _ = pipeline.originals(run, members, scores, manual_originals=small)
+    assert {names[r["image_id"]]: r["source"] for r in first.collect()}["small.png"] == "manual"
+
+
 def test_search(spark, roots):
     a, b = roots
     found = {os.path.basename(r["t_relative_path"]): r["classification"] for r in pipeline.search(spark, [a], [b]).collect()}
@@ -137,10 +158,16 @@ def test_file_operations(tmp_path):
     failed = fileops.rename([(a, str(tmp_path / "new.png")), (b, c)])
     assert failed.count("failed") == 2 and open(a, "rb").read() == b"A" and open(b, "rb").read() == b"B"
     copied = fileops.copy([(a, str(tmp_path / "d.png")), (b, c)])
-    assert (copied.count("succeeded"), copied.count("failed"), copied.reversible) == (1, 1, False)
+    assert (copied.count("succeeded"), copied.count("skipped"), copied.reversible) == (1, 1, False)
     assert fileops.copy([(a, str(tmp_path / "d.png"))]).count("skipped") == 1
     with pytest.raises(ValueError):
         fileops.undo(copied, {})
+    seen = {p: fileops.fingerprint(p) for p in (a, b)}
+    with open(b, "ab") as f:
+        f.write(b" changed")
+    assert fileops.rename([(a, f"{a}.new"), (b, f"{b}.new")], expected=seen).count("failed") == 2 and os.path.exists(a)
+    moved = fileops.move([(a, str(tmp_path / "e.png")), (b, str(tmp_path / "f.png"))], expected=seen)
+    assert [o.status for o in moved.outcomes] == ["succeeded", "failed"] and not os.path.exists(a) and os.path.exists(b) and moved.reversible
 
 
 def test_streams_equal_batches(spark, roots, tmp_path):
