@@ -5,13 +5,12 @@ from __future__ import annotations
 import html
 import json
 import os
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.stats import class_counts, conserved
+from kindred.operators.stats import class_counts, conserved, numbered
 from kindred.schema import ANALYSIS
 
 CSV_COLUMNS = ("runId", "comparisonImageId", "comparisonPath", "analysisType", "primaryMatchImageId", "primaryMatchPath", "phashDistance", "ssimScore", "sizeRatio", "resolutionRatio", "aspectDiff", "directionSmallerResolution", "directionSmallerFilesize", "reviewStatus", "actionStatus", "algorithmProfileId")
@@ -50,34 +49,56 @@ def check_conservation(results: DataFrame, total: int) -> dict:
     return {k: row[k] for k in ANALYSIS}
 
 
+def _file_system(spark, path: str):
+    """(Hadoop file system, its path) of a path on any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _single_file(df: DataFrame, writer, path: str) -> str:
-    """Spark's one part file, moved to ``path``."""
+    """Spark's one part file, moved to ``path`` by the store's own file system."""
     folder = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
-    writer(df.coalesce(1), folder)
-    part = next(f for f in sorted(os.listdir(folder)) if f.startswith("part-"))
-    os.replace(f"{folder}/{part}", path)
-    shutil.rmtree(folder)
+    writer(df, folder)
+    fs, at = _file_system(df.sparkSession, folder)
+    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    _take_name(df.sparkSession, part, path)
+    fs.delete(at, True)
+    return path
+
+
+def _take_name(spark, part, path: str) -> None:
+    """Move a whole file to ``path``; a local store's checksum file does not stay."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} could not be written")
+    _, checksum = _file_system(spark, f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc")
+    if fs.exists(checksum):
+        fs.delete(checksum, False)
+
+
+def _text_file(spark, text: str, path: str) -> str:
+    fs, at = _file_system(spark, f"{os.path.dirname(path)}/.{uuid.uuid4().hex}.tmp")
+    out = fs.create(at, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    _take_name(spark, at, path)
     return path
 
 
 def write_csv(report: DataFrame, run_id: str, profile_id: str, folder: str) -> str:
-    rows = csv_rows(report.orderBy("image_id"), run_id, profile_id)
+    rows = csv_rows(report.repartition(1).sortWithinPartitions("image_id"), run_id, profile_id)
     return _single_file(rows, lambda d, p: d.write.option("header", True).option("emptyValue", "").csv(p), f"{folder}/export_{run_id}.csv")
 
 
 def write_json(report: DataFrame, results: DataFrame, total: int, header: dict, folder: str) -> str:
-    """One document: header, counts and all rows; the counts must be conserved. Rows stream into the file."""
+    """One document: header, counts and all rows by image; the counts must be conserved. An executor writes the file."""
     counts = check_conservation(results, total)
-    path = f"{folder}/report_{header['run_id']}.json"
-    temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
-    with open(temporary, "w", encoding="utf-8") as f:
-        f.write('{"header": ' + json.dumps(header) + ', "stats": ' + json.dumps(counts) + ', "results": [')
-        rows = report.orderBy("image_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
-        for i, row in enumerate(rows.toLocalIterator()):
-            f.write(("," if i else "") + "\n" + row["j"])
-        f.write("\n]}\n")
-    os.replace(temporary, path)
-    return path
+    rows = numbered(report.select("image_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")), "image_id", name="place")
+    rows = rows.select("place", F.when(F.col("place") > 1, F.concat(F.lit(","), F.col("line"))).otherwise(F.col("line")).alias("line"))
+    ends = [(0, '{"header": ' + json.dumps(header) + ', "stats": ' + json.dumps(counts) + ', "results": ['), (2**62, "]}")]
+    lines = rows.unionByName(report.sparkSession.createDataFrame(ends, "place long, line string"))
+    return _single_file(lines.repartition(1).sortWithinPartitions("place").select("line"), lambda d, p: d.write.text(p), f"{folder}/report_{header['run_id']}.json")
 
 
 def write_html(report: DataFrame, results: DataFrame, total: int, header: dict, folder: str, most: int = 100) -> str:
@@ -88,12 +109,8 @@ def write_html(report: DataFrame, results: DataFrame, total: int, header: dict,
     rows = report.orderBy("image_id").limit(most).collect()
     body = "".join(f"<li>{html.escape(k)}: {html.escape(str(v))}</li>" for k, v in header.items())
     stats = "".join(f"<tr><td>{LABELS[k]}</td><td>{v}</td></tr>" for k, v in counts.items())
-    path = f"{folder}/report_{header['run_id']}.html"
-    temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
-    with open(temporary, "w", encoding="utf-8") as f:
-        f.write(f"<!doctype html><meta charset='utf-8'><title>Report</title><ul>{body}</ul><table>{stats}</table><table>{''.join(map(line, rows))}</table>\n")
-    os.replace(temporary, path)
-    return path
+    page = f"<!doctype html><meta charset='utf-8'><title>Report</title><ul>{body}</ul><table>{stats}</table><table>{''.join(map(line, rows))}</table>\n"
+    return _text_file(report.sparkSession, page, f"{folder}/report_{header['run_id']}.html")
 
 
 def write_all(report: DataFrame, results: DataFrame, total: int, header: dict, folder: str) -> list[str]:
