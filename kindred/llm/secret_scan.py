@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,7 +44,7 @@ ALLOWED = (
     re.compile(r"(?=.*[/_-])[/_-]*([a-z]+|[A-Z][a-z]*|[0-9]{1,4})([/_-]+([a-z]+|[A-Z][a-z]*|[0-9]{1,4}))*[/_-]*"),
     re.compile(r"([A-Z]?[a-z]{2,}[0-9]{1,4}[/_-]*)+([A-Z]?[a-z]*)|([A-Z]{3,}[0-9]{1,4}[/_-]*)+[A-Z]*"),
 )
-ALNUM = re.compile(r"[A-Za-z0-9]*")
+ALNUM = re.compile(r"[A-Za-z0-9]+")
 _GAIN = [0.0, 0.0] + [c * math.log2(c) for c in range(2, 257)]
 
 
@@ -89,7 +90,8 @@ def pieces(candidate: str) -> list[tuple[int, int]]:
                 continue  # in a word that is gone already
             while a > at and candidate[a - 1].isalnum():
                 a -= 1
-            b = ALNUM.match(candidate, b).end()
+            word = ALNUM.match(candidate, b)
+            b = word.end() if word else b
         out.append((at, a))
         at = max(at, b)
     out.append((at, len(candidate)))
@@ -100,6 +102,23 @@ def allowed(span: str) -> bool:
     return any(x.fullmatch(span) for x in ALLOWED)
 
 
+def widened(piece: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, each out to where the letters and digits at its ends end; equal ones once."""
+    if not spans:
+        return []
+    words = [m.span() for m in ALNUM.finditer(piece)]
+    starts = [a for a, _ in words]
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if a and piece[a - 1].isalnum():
+            a = words[bisect_right(starts, a - 1) - 1][0]
+        if b < len(piece) and piece[b].isalnum():
+            b = words[bisect_right(starts, b) - 1][1]
+        if not out or out[-1] != (a, b):
+            out.append((a, b))
+    return out
+
+
 def method_spans(text: str) -> list[tuple[str, int, int]]:
     """Entropy spans that no allow-list entry covers; overlapping ones of the classes are joined."""
     found: list[tuple[int, int]] = []
@@ -108,16 +127,8 @@ def method_spans(text: str) -> list[tuple[str, int, int]]:
             piece = candidate.group()[begin:end]
             for runs, window, least in CLASSES.values() if not allowed(piece) else ():
                 for run in runs.finditer(piece):
-                    last = 0
-                    for a, b in entropy_spans(run.group(), window, least):
-                        a, b = a + run.start(), b + run.start()
-                        if a < last:
-                            continue  # in the span before, which was widened
-                        while a > last and piece[a - 1].isalnum():
-                            a -= 1
-                        last = b = ALNUM.match(piece, b).end()
-                        if not allowed(piece[a:b]):
-                            found.append((candidate.start() + begin + a, candidate.start() + begin + b))
+                    spans = [(a + run.start(), b + run.start()) for a, b in entropy_spans(run.group(), window, least)]
+                    found += [(candidate.start() + begin + a, candidate.start() + begin + b) for a, b in widened(piece, spans) if not allowed(piece[a:b])]
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a < joined[-1][1]:

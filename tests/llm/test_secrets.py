@@ -95,6 +95,11 @@ def test_method_spans_against_single_windows(text):
     assert on == brute_method(text)
 
 
+def test_spans_that_meet_when_widened():
+    text = "Zq8LmX2vR7tYb4NcK9wPs3Hd9f86d081884c7d659a2fwordwJ8rXUtn4FEMI/K7MDENG/bPxRf1CY9zQ3vT"
+    assert S.method_spans(text) == [("entropy", 0, len(text))]
+
+
 def test_long_hostile_runs():
     for run in ("xxxx" * 50_000, "a1" * 100_000, "=" * 200_000, "A" * 200_000, "00001234567" * 20_000):
         S.method_spans(run)
