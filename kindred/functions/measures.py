@@ -82,3 +82,11 @@ def workers(cores: Column) -> Column:
 
 def percent(done: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.round(done / total * 100)).cast("long")
+
+
+def size_label(size: Column) -> Column:
+    """Bytes as they are below 1 KB, else two decimals of KB, MB or GB."""
+    shown = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KB", "MB", "GB"), 1):
+        shown = F.when(size >= 1024**power, F.concat(F.format_string("%.2f", size / 1024**power), F.lit(f" {unit}"))).otherwise(shown)
+    return shown

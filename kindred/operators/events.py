@@ -23,8 +23,8 @@ def latest(events: DataFrame, *more: str) -> DataFrame:
     return events.groupBy("result_id").agg(newest.alias("e")).select("result_id", "e.*")
 
 
-def latest_of(events: DataFrame, operation: str) -> DataFrame:
-    return latest(events.filter(F.col("operation_type") == operation))
+def latest_of(events: DataFrame, operation: str, *more: str) -> DataFrame:
+    return latest(events.filter(F.col("operation_type") == operation), *more)
 
 
 def latest_of_images(results: DataFrame, events: DataFrame, *more: str) -> DataFrame:
@@ -58,6 +58,19 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.withColumn("state", state).withColumn("before", before).withColumn("legal", legal)
 
 
+STARTS, ENDS = ("preflight", "indexing"), ("analysis_complete", "action_complete", "completed_with_errors", "failed")
+
+
+def run_states(log: DataFrame) -> DataFrame:
+    """One row a run of its status rows (run_id, id, status, created_at): the latest status, when the run was created, last
+    started and last completed. Of every other column the latest value that is not null."""
+    order = F.struct("created_at", "id")
+    when = lambda names: F.max(F.when(F.col("status").isin(*names), F.col("created_at")))
+    more = [c for c in log.columns if c not in ("run_id", "id", "status", "created_at")]
+    kept = (F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in more)
+    return log.groupBy("run_id").agg(F.max_by("status", order).alias("status"), F.min("created_at").alias("created_at"), when(STARTS).alias("started_at"), when(ENDS).alias("completed_at"), *kept)
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """An upsert: of the rows with equal keys, the last one in order."""
     window = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))

@@ -162,3 +162,20 @@ def backfill_order(groups_: DataFrame, after: list[int]) -> DataFrame:
     if len(set(after)) == 1:
         x = x.filter(F.col("group_index") != last)
     return x.withColumn("position", F.row_number().over(Window.orderBy(F.when(F.col("group_index") > last, 0).otherwise(1), "group_index")).cast("long"))
+
+
+def signatures(members: DataFrame) -> DataFrame:
+    """(component, group_index, n, signature) of groups: two sums of the members' hashes over id, content digest, size and
+    time, so the order has no say and no group is gathered. Null where a member's file is gone (its size is null)."""
+    own = ("image_id", "digest", "file_size", "mtime")
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *own).cast("decimal(20,0)")).cast("string")
+    whole = F.when(F.count_if(F.col("file_size").isNull()) == 0, F.concat_ws(":", F.count("*").cast("string"), total(1), total(2)))
+    return members.groupBy("component", "group_index").agg(F.count("*").alias("n"), whole.alias("signature"))
+
+
+def group_statuses(signed: DataFrame, scored: DataFrame, running: int | None = None) -> DataFrame:
+    """Adds the status: groups of one and groups whose signature is among the scored are completed, then the running one,
+    all others are pending."""
+    x = signed.join(scored.select("signature").distinct().withColumn("_known", F.lit(True)), "signature", "left")
+    status = F.when((F.col("n") < 2) | F.col("_known"), "completed").when(F.col("group_index") == F.lit(running), "running").otherwise("pending")
+    return x.select(*signed.columns, status.alias("status"))

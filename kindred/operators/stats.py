@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions import paths
 from kindred.schema import ANALYSIS
 from kindred.scratch import materialise
 
@@ -66,6 +67,12 @@ def evict(entries: DataFrame, budget: int) -> DataFrame:
     return running(entries, F.col("bytes"), F.desc("tick"), "key", name="held").filter(F.col("held") <= budget)
 
 
+def folder_counts(images: DataFrame, path: Column) -> DataFrame:
+    """(role, folder, label, file_count): the folders that hold images themselves."""
+    at = images.withColumn("folder", paths.folder(path))
+    return at.groupBy("role", "folder").agg(F.count("*").alias("file_count")).select("role", "folder", paths.file_name(F.col("folder")).alias("label"), "file_count")
+
+
 def batch_result(outcomes: DataFrame, *keys: str) -> DataFrame:
     """succeeded, skipped, failed of a batch, and whether it can be undone: something succeeded, by rename or move."""
     one = lambda s: F.count_if(F.col("status") == s)

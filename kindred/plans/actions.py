@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions import paths
+from kindred.functions import measures, paths
 from kindred.operators import events, match, stats
-from kindred.plans.bindings import IMAGES, LATEST_IMAGE, OPERATIONS, images, operations, result_ids, table
+from kindred.plans.bindings import FILES, IMAGES, LATEST_IMAGE, OPERATIONS, files, images, operations, result_ids, table
 from kindred.plans.matching import RESULTS_ALL, results, sized_pairs
 from kindred.plans.registry import query
 from kindred.schema import ANALYSIS, REVIEW
@@ -171,3 +171,31 @@ def delete_report(spark, sf_dir):
     kept = i.select(F.col("image_id").alias("primary_id"), F.col("relative_path").alias("kept_path"))
     x = results(spark, sf_dir).join(i.select("image_id", F.col("relative_path").alias("path"), "file_size"), "image_id").join(gone, "image_id").join(kept, "primary_id", "left")
     return x.select("path", "kept_path", sinks.label(F.col("analysis_type")).alias("reason"), "file_size", "recycled_at")
+
+
+RUN_EVENTS = {"view": "indexing", "click": "matching", "signup": "analysis_complete", "purchase": "paused", "error": "failed"}
+
+
+@query("run_states", f"""WITH l AS (SELECT event_id AS id, user_id AS run_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RUN_EVENTS.items())} ELSE 'pending' END AS status, epoch_us(ts) AS created_at FROM events)
+SELECT run_id, arg_max(status, (created_at, id)) AS status, min(created_at) AS created_at, max(created_at) FILTER (WHERE status IN ('preflight', 'indexing')) AS started_at, max(created_at) FILTER (WHERE status IN ('analysis_complete', 'action_complete', 'completed_with_errors', 'failed')) AS completed_at FROM l GROUP BY run_id""")
+def run_states(spark, sf_dir):
+    """Events as the status log of runs; a user is a run."""
+    status = F.when(F.lit(False), "")
+    for event, name in RUN_EVENTS.items():
+        status = status.when(F.col("event_type") == event, name)
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("run_id"), status.otherwise("pending").alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created_at"))
+    return events.run_states(log)
+
+
+@query("folder_counts", f"WITH {FILES} SELECT role, regexp_extract(relative_path, '^(.*)/[^/]*$', 1) AS folder, lang AS label, count(*) AS file_count FROM (SELECT f.*, d.lang FROM files f JOIN documents d ON d.doc_id = f.image_id) GROUP BY ALL")
+def folder_counts(spark, sf_dir):
+    return stats.folder_counts(files(spark, sf_dir), F.col("relative_path"))
+
+
+@query("size_labels", """WITH b AS (SELECT o_orderkey AS image_id, CAST(round(o_totalprice * 100) AS BIGINT) * (1 + o_orderkey % 3 * 4095) // (1 + o_orderkey % 5 * 50000) AS bytes FROM orders),
+u AS (SELECT *, CASE WHEN bytes >= 1073741824 THEN 1073741824 WHEN bytes >= 1048576 THEN 1048576 WHEN bytes >= 1024 THEN 1024 ELSE 1 END::BIGINT AS unit FROM b), h AS (SELECT *, (bytes * 200 + unit) // (2 * unit) AS hundredths FROM u)
+SELECT image_id, bytes, CASE WHEN unit = 1 THEN bytes || ' B' ELSE (hundredths // 100) || '.' || lpad((hundredths % 100)::VARCHAR, 2, '0') || CASE unit WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END END AS label FROM h""")
+def size_labels(spark, sf_dir):
+    key = F.col("o_orderkey")
+    size = F.expr("cast(round(o_totalprice * 100) AS bigint) * (1 + o_orderkey % 3 * 4095) div (1 + o_orderkey % 5 * 50000)")
+    return table(spark, sf_dir, "orders").select(key.alias("image_id"), size.alias("bytes")).withColumn("label", measures.size_label(F.col("bytes")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,3 +100,68 @@ def image_rows(found: DataFrame, run_id: str, role: str, root: str) -> DataFrame
         "image_id", F.lit(run_id).alias("run_id"), F.lit(role).alias("role"), "path", paths.relative(F.regexp_replace("path", "^file:/+", "/"), F.lit(root.rstrip("/"))).alias("relative_path"),
         F.col("size").alias("file_size"), "mtime", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "format", "color_type", "digest", F.conv("phash", 16, -10).cast("long").alias("phash"), (F.col("width").cast("double") / F.col("height")).alias("aspect"), F.lit("completed").alias("scan_status"),
     )
+
+
+class FileChanged(ValueError):
+    """A file is not what it was when it was chosen."""
+
+
+_SINGLE = "path string, file_name string, file_size long, modified_at_ms long, width int, height int, phash string, thumbnail string, error string"
+
+
+def load_single(spark: SparkSession, path: str, edge: int = 200) -> DataFrame:
+    """One row of an image file: what ``features`` knows and a PNG thumbnail of at most ``edge`` pixels a side as a data URL.
+
+    The file's real path is used; a path that is no file raises ValueError, an image that can't be decoded has an error.
+    """
+    path = os.path.realpath(path)
+    if not os.path.isfile(path):
+        raise ValueError(f"{path} is no file")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for x in b.itertuples(index=False):
+                row = [x.path, os.path.basename(x.path), x.size, x.mtime]
+                if x.data is None:
+                    rows.append([*row, None, None, None, None, "the file can't be decoded"])
+                    continue
+                image = raster(x.data, int(x.h), int(x.w), int(x.n))
+                small = kernels.resize(image, *kernels.target_size((int(x.w), int(x.h)), (int(x.w), int(x.h)), edge))
+                url = "data:image/png;base64," + base64.b64encode(kernels.png(small)).decode()
+                rows.append([*row, int(x.w), int(x.h), kernels.phash(image), url, None])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SINGLE.split(", ")]).astype({"width": "Int32", "height": "Int32"})
+
+    return decoded(spark, path, excludes=()).mapInPandas(run, _SINGLE)
+
+
+def check_unchanged(path: str, size: int, modified_at_ms: int) -> str:
+    """The real path of a file with this size and time; raises FileChanged otherwise."""
+    path = os.path.realpath(path)
+    now = os.stat(path)
+    if (now.st_size, now.st_mtime_ns // 10**6) != (size, modified_at_ms):
+        raise FileChanged(path)
+    return path
+
+
+def measure_pair(spark: SparkSession, left: tuple[str, int, int], right: tuple[str, int, int]) -> dict:
+    """distance of the hashes, score at full size and duration_ms of two files (path, size, time in ms) that must not have
+    changed since."""
+    started = time.monotonic()
+    a, b = (decoded(spark, check_unchanged(*side), excludes=()).select(F.struct("data", "h", "w", "n").alias(name)) for side, name in ((left, "a"), (right, "b")))
+
+    @F.pandas_udf("distance long, score double")
+    def measure(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for sides in zip(x.itertuples(index=False), y.itertuples(index=False), strict=True):
+            if any(s.data is None for s in sides):
+                rows.append((None, None))
+                continue
+            one, two = (raster(s.data, int(s.h), int(s.w), int(s.n)) for s in sides)
+            rows.append(((int(kernels.phash(one), 16) ^ int(kernels.phash(two), 16)).bit_count(), kernels.pair_ssim(one, two)))
+        return pd.DataFrame(rows, columns=["distance", "score"]).astype({"distance": "Int64"})
+
+    row = a.crossJoin(b).select(measure("a", "b").alias("m")).first()  # one row each
+    if row["m"]["score"] is None:
+        raise ValueError("a file can't be decoded")
+    return row["m"].asDict() | {"duration_ms": int((time.monotonic() - started) * 1000)}

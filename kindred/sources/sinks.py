@@ -49,7 +49,7 @@ def check_conservation(results: DataFrame, total: int) -> dict:
     return {k: row[k] for k in ANALYSIS}
 
 
-def _file_system(spark, path: str):
+def file_system(spark, path: str):
     """(Hadoop file system, its path) of a path on any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -59,7 +59,7 @@ def _single_file(df: DataFrame, writer, path: str) -> str:
     """Spark's one part file, moved to ``path`` by the store's own file system."""
     folder = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
     writer(df, folder)
-    fs, at = _file_system(df.sparkSession, folder)
+    fs, at = file_system(df.sparkSession, folder)
     part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
     _take_name(df.sparkSession, part, path)
     fs.delete(at, True)
@@ -68,17 +68,17 @@ def _single_file(df: DataFrame, writer, path: str) -> str:
 
 def _take_name(spark, part, path: str) -> None:
     """Move a whole file to ``path``; a local store's checksum file does not stay."""
-    fs, target = _file_system(spark, path)
+    fs, target = file_system(spark, path)
     fs.delete(target, False)
     if not fs.rename(part, target):
         raise OSError(f"{path} could not be written")
-    _, checksum = _file_system(spark, f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc")
+    _, checksum = file_system(spark, f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc")
     if fs.exists(checksum):
         fs.delete(checksum, False)
 
 
 def _text_file(spark, text: str, path: str) -> str:
-    fs, at = _file_system(spark, f"{os.path.dirname(path)}/.{uuid.uuid4().hex}.tmp")
+    fs, at = file_system(spark, f"{os.path.dirname(path)}/.{uuid.uuid4().hex}.tmp")
     out = fs.create(at, True)
     out.write(bytearray(text, "utf-8"))
     out.close()
