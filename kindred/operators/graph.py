@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import measures
+from kindred.operators import stats
 from kindred.scratch import discard, materialise
 
 
@@ -43,18 +44,24 @@ def quality_order():
     return [measures.pixels(F.col("width"), F.col("height")).desc(), F.col("file_size").desc(), F.col("relative_path"), F.col("image_id")]
 
 
+def best_first(px: Column, size: Column, path: Column, image_id: Column) -> Column:
+    """The quality order as one value, the least is the best; it lets an aggregation find the best member of a group."""
+    last = F.lit(2**63 - 1)
+    return F.struct(F.coalesce(-px, last).alias("px"), F.coalesce(-size, last).alias("size"), path.alias("path"), image_id.alias("id"))
+
+
+def own_quality() -> Column:
+    return best_first(measures.pixels(F.col("width"), F.col("height")), F.col("file_size"), F.col("relative_path"), F.col("image_id"))
+
+
 def groups(images: DataFrame, components: DataFrame) -> DataFrame:
     """Images with component, n, first_path, reference_id and the dense 1-based group_index by (size desc, first path).
 
-    Group keys, not members, are numbered in one place.
+    What a group knows is aggregated and joined back, so no task holds a large group; the groups are numbered by ranges.
     """
     member = images.join(components, "image_id")
-    best = Window.partitionBy("component").orderBy(*quality_order())
-    whole = Window.partitionBy("component")
-    member = member.withColumn("n", F.count("*").over(whole)).withColumn("first_path", F.min("relative_path").over(whole)).withColumn("reference_id", F.first("image_id").over(best))
-    keys = member.groupBy("component").agg(F.first("n").alias("n"), F.first("first_path").alias("first_path"))
-    index = keys.select("component", F.row_number().over(Window.orderBy(F.desc("n"), "first_path", "component")).cast("long").alias("group_index"))
-    return member.join(index, "component")
+    keys = member.groupBy("component").agg(F.count("*").alias("n"), F.min("relative_path").alias("first_path"), F.min_by("image_id", own_quality()).alias("reference_id"))
+    return member.join(stats.numbered(keys, F.desc("n"), "first_path", "component", name="group_index"), "component")
 
 
 def member_roles(grouped: DataFrame, results: DataFrame, images: DataFrame) -> DataFrame:
@@ -87,9 +94,9 @@ def plan_pairs(members: DataFrame, anchor_pixels: float = 0.9, anchor_size: floa
     ``members``: component, image_id, phash, width, height, file_size, relative_path. A pair joins a possible
     lower-quality copy to one of its ``k`` best anchors within ``most`` bits (an unknown distance passes, last).
     """
-    whole = Window.partitionBy("component")
     px = measures.pixels(F.col("width"), F.col("height"))
-    m = members.select("component", "image_id", "phash", "file_size", "relative_path", px.alias("px")).withColumn("most_px", F.max("px").over(whole)).withColumn("most_size", F.max("file_size").over(whole))
+    m = members.select("component", "image_id", "phash", "file_size", "relative_path", px.alias("px"))
+    m = m.join(m.groupBy("component").agg(F.max("px").alias("most_px"), F.max("file_size").alias("most_size")), "component")
     anchor = (F.col("most_px") == 0) | (F.col("px") >= F.col("most_px") * anchor_pixels) | (F.col("most_size") <= 0) | (F.col("file_size") >= F.col("most_size") * anchor_size)
     a = m.filter(anchor).select("component", *(F.col(c).alias(f"a_{c}") for c in ("image_id", "phash", "file_size", "relative_path", "px")))
     far = F.bit_count(F.col("phash").bitwiseXOR(F.col("a_phash")))
@@ -102,10 +109,8 @@ def plan_pairs(members: DataFrame, anchor_pixels: float = 0.9, anchor_size: floa
 
 def automatic_originals(members: DataFrame, threshold: float = 0.985, pixels: float = 0.9, shape: float = 0.02) -> DataFrame:
     """Adds is_original: the representative or reference, or large, of the best member's shape, and similar enough."""
-    best = Window.partitionBy("component").orderBy(*quality_order())
-    whole = Window.partitionBy("component")
     px, own = measures.pixels(F.col("width"), F.col("height")), measures.aspect(F.col("width"), F.col("height"))
-    x = members.withColumn("most_px", F.max(px).over(whole)).withColumn("best_aspect", F.first(own).over(best))
+    x = members.join(members.groupBy("component").agg(F.max(px).alias("most_px"), F.min_by(own, own_quality()).alias("best_aspect")), "component")
     fits = (px >= F.col("most_px") * pixels) & (F.abs(own - F.col("best_aspect")) / F.col("best_aspect") <= shape) & (F.col("score").isNull() | (F.col("score") >= threshold))
     return x.withColumn("is_original", (F.col("image_id") == F.col("reference_id")) | (F.col("member_role") == "reference") | fits)
 
@@ -114,10 +119,9 @@ def choose_originals(members: DataFrame, manual_originals: DataFrame, manual_thu
     """Originals of each group with their source: manual, auto, or the best member where none is left."""
     x = members.join(manual_originals.select("image_id", F.lit(True).alias("mo")), "image_id", "left").join(manual_thumbnails.select("image_id", F.lit(True).alias("mt")), "image_id", "left")
     x = x.withColumn("chosen", F.col("mt").isNull() & (F.col("mo").isNotNull() | F.col("is_original")))
-    whole = Window.partitionBy("component")
-    x = x.withColumn("any_chosen", F.bool_or("chosen").over(whole)).withColumn("best_rank", F.row_number().over(Window.partitionBy("component").orderBy(*quality_order())))
-    source = F.when(F.col("chosen") & F.col("mo").isNotNull(), "manual").when(F.col("chosen"), "auto").when(~F.col("any_chosen") & (F.col("best_rank") == 1), "fallback")
-    return x.withColumn("source", source).drop("mo", "mt", "chosen", "any_chosen", "best_rank")
+    x = x.join(x.groupBy("component").agg(F.bool_or("chosen").alias("any_chosen"), F.min_by("image_id", own_quality()).alias("best_id")), "component")
+    source = F.when(F.col("chosen") & F.col("mo").isNotNull(), "manual").when(F.col("chosen"), "auto").when(~F.col("any_chosen") & (F.col("image_id") == F.col("best_id")), "fallback")
+    return x.withColumn("source", source).drop("mo", "mt", "chosen", "any_chosen", "best_id")
 
 
 def assign_thumbnails(members: DataFrame, scores: DataFrame) -> DataFrame:
@@ -125,15 +129,23 @@ def assign_thumbnails(members: DataFrame, scores: DataFrame) -> DataFrame:
     reference, else the reference of its path, else the best original. Similarity: cross score, else the stored one.
 
     ``members``: component, image_id, source, effective_reference_id, reference_path, score and the quality columns.
-    ``scores``: left_id, right_id, score of unordered pairs.
+    ``scores``: left_id, right_id, score of unordered pairs. Each way is a lookup of its own that finds at most one original
+    for a member, so members and originals of a large group never multiply.
     """
+    rank = best_first(F.col("o_px"), F.col("o_size"), F.col("o_path"), F.col("o_id"))
     o = members.filter("source is not null").select("component", F.col("image_id").alias("o_id"), measures.pixels(F.col("width"), F.col("height")).alias("o_px"), F.col("file_size").alias("o_size"), F.col("relative_path").alias("o_path"))
+    o = o.select("component", "o_id", "o_path", rank.alias("rank"))
     m = members.filter("source is null").select("component", "image_id", "relative_path", "score", "effective_reference_id", "reference_path")
-    s = scores.select("left_id", "right_id", F.col("score").alias("cross"))
-    x = m.join(o, "component").withColumn("left_id", F.least("image_id", "o_id")).withColumn("right_id", F.greatest("image_id", "o_id")).join(s, ["left_id", "right_id"], "left")
-    way = F.when(F.col("cross").isNotNull(), 0).when(F.col("o_id") == F.col("effective_reference_id"), 1).when(F.col("o_path") == F.col("reference_path"), 2).otherwise(3)
-    order = Window.partitionBy("image_id").orderBy("way", F.desc_nulls_last("cross"), F.desc("o_px"), F.desc("o_size"), "o_path")
-    x = x.withColumn("way", way).withColumn("pick", F.row_number().over(order)).filter("pick = 1")
+    s = scores.filter("score is not null").select(F.col("left_id").alias("image_id"), F.col("right_id").alias("o_id"), F.col("score").alias("cross"))
+    s = s.unionByName(s.select(F.col("o_id").alias("image_id"), F.col("image_id").alias("o_id"), "cross"))
+    crossed = s.join(m.select("component", "image_id"), "image_id").join(o, ["component", "o_id"])
+    crossed = crossed.groupBy("image_id").agg(F.min_by(F.struct("o_id", "cross"), F.struct(-F.col("cross"), "rank")).alias("scored"))
+    referred = o.select("component", F.col("o_id").alias("effective_reference_id"), F.col("o_id").alias("referred"))
+    named = o.groupBy("component", F.col("o_path").alias("reference_path")).agg(F.min_by("o_id", "rank").alias("named"))
+    best = o.groupBy("component").agg(F.min_by("o_id", "rank").alias("best"))
+    x = m.join(crossed, "image_id", "left").join(referred, ["component", "effective_reference_id"], "left").join(named, ["component", "reference_path"], "left").join(best, "component")
+    way = F.when(F.col("scored").isNotNull(), 0).when(F.col("referred").isNotNull(), 1).when(F.col("named").isNotNull(), 2).otherwise(3)
+    x = x.withColumn("way", way).withColumn("cross", F.col("scored.cross")).withColumn("o_id", F.coalesce("scored.o_id", "referred", "named", "best"))
     stored = F.when(F.col("o_id") == F.col("effective_reference_id"), F.col("score"))
     out = x.withColumn("similarity", F.coalesce("cross", stored))
     place = Window.partitionBy("o_id").orderBy(F.coalesce("similarity", F.lit(0.0)).desc(), "relative_path")
