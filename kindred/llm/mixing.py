@@ -21,9 +21,9 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 
 
-def sized(docs: DataFrame, item: Column) -> DataFrame:
-    """item, source, size (number of words; null text: 0)."""
-    return docs.select(item.alias("item"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, item: Column, place: Column | None = None) -> DataFrame:
+    """item, place, source, size (number of words; null text: 0). ``place``, the item itself unless given, decides where in its source a row stands."""
+    return docs.select(item.alias("item"), (item if place is None else place).alias("place"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def plan(table: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item, source, size, source_size, target, taken) for each row of ``sizes``, and the plan of the mix.
 
-    ``sizes`` (item, source, size) must be a table. Empty documents are never taken. Where a source is in one word
+    ``sizes`` (item, place, source, size) must be a table. Empty documents are never taken. Where a source is in one word
     or empty its target is at most twice its size, as for all. An empty table gives no rows. Repeated rows are
     documents of their own. Reruns agree: order, draws and permutations all come from hashes.
 
@@ -112,8 +112,8 @@ def mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = materialise(table.select("*", per_block.alias("n_blocks"), F.when(F.col("source_size") > 0, slots).otherwise(0).alias("n_slots")), "blocks")
     lanes = math.isqrt(sizes.count()) + 1
     rows = sizes.join(table.select("sid", F.col("source").alias("s")), sizes["source"].eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64(F.col("item").cast("string"), F.lit(SEED)), F.lit(lanes)))
-    lane = Window.partitionBy("sid", "lane").orderBy("item", "size")
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64(F.when(F.col("size") > 0, F.col("place").cast("string")).otherwise(F.col("item").cast("string")), F.lit(SEED)), F.lit(lanes)))
+    lane = Window.partitionBy("sid", "lane").orderBy("place", "size", "item")
     placed = rows.select("*", F.row_number().over(lane).alias("nth"), (F.sum("size").over(lane.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("inside"))
     placed = materialise(placed, "placed")
     sums = placed.groupBy("sid", "lane").agg(F.sum("size").alias("n"))
@@ -133,13 +133,19 @@ def mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """``docs`` in the mix's proportions: a row appears as often as the mix takes it, rounded by a hash, 0 to 2 times.
 
-    Empty documents have no words to take and are not in the mix. All columns come through, whatever their names.
+    Empty documents have no words to take and are not in the mix. All columns come through, whatever their names. Where
+    a row stands in its source, and how it is rounded, follows from two hashes of its content: the mix is the same however the rows are laid out.
     """
-    written = materialise(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "rows")
-    taken, _ = mix(materialise(sized(written.select("row.source", "row.text", "n"), F.col("n")), "sizes"))
-    dither = F.shiftrightunsigned(F.xxhash64("item", F.lit(SEED + 2)), 11) * F.lit(2.0**-53)
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+    own = F.struct(F.xxhash64("text", rest).alias("h0"), F.xxhash64(F.lit(SEED), rest, "text").alias("h1"))
+    # n, a row's place in the written table, only tells apart rows that are equal in all else
+    written = materialise(docs.select(F.struct("*").alias("row"), own.alias("place"), F.monotonically_increasing_id().alias("n")), "rows")
+    slim = written.select("row.source", "row.text", "place", "n")
+    item = F.struct("place", "n")
+    taken, _ = mix(materialise(sized(slim, item, F.col("place")), "sizes"))
+    dither = F.shiftrightunsigned(F.xxhash64("item.place.h0", "item.place.h1", F.lit(SEED + 2)), 11) * F.lit(2.0**-53)
     copies = F.least(F.lit(2), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + dither)).cast("int")
-    times = taken.select(F.col("item").alias("n"), copies.alias("copies")).filter("copies > 0")
+    times = taken.select("item.n", copies.alias("copies")).filter("copies > 0")
     return written.join(times, "n").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 

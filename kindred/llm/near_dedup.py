@@ -18,7 +18,7 @@ on the sets themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate
 
@@ -32,6 +32,8 @@ from kindred.llm.common import materialise, mix64, partitions, tidily, utf8
 from kindred.llm.repeats import MULTIPLIER, SLICE, word_units
 from kindred.llm.tokens import text_slices
 from kindred.operators.graph import roots
+from kindred.operators.stats import numbered
+from kindred.scratch import discard
 
 RADIUS, SHINGLE, SEED, PIVOTS = 2, 3, 42, 16
 MOST = 4096  # fingerprints or texts of one key that are compared together
@@ -308,21 +310,90 @@ def verified(fp: np.ndarray, table: np.ndarray, h: np.ndarray, bounds: np.ndarra
 
 
 def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A written table of one long a row, to be broadcast if it has ``most`` rows at most (8 MB) and joined otherwise."""
+    """A written table of a few longs a row, to be broadcast if it has ``most`` rows at most (8 MB) and joined otherwise."""
     return F.broadcast(table) if table.count() <= most else table
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, most: int = MOST, leaders: int = 3) -> DataFrame:
-    """Edges (a, b) between ids of ``classes`` (id, fp, bands) whose shingle sets are similar; ``texts`` has id and text.
+HELD, PASSING = 1024, 16_384  # texts of a large key that a task holds, and that pass by them
+
+
+def nearby(fp: np.ndarray, table: np.ndarray, size: np.ndarray, one: tuple, similarity: float, radius: int) -> np.ndarray:
+    """Which texts can be similar to the text ``one`` (fp, pivot distances, size)."""
+    keep = np.bitwise_count(fp ^ one[0]) <= radius
+    keep &= np.abs(table.astype(np.int16) - one[1]).max(1, initial=0) <= radius
+    return keep & (np.minimum(size, one[2]) >= similarity * np.maximum(size, one[2]))
+
+
+def cross_links(similarity: float, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges between texts with different labels, of rows sorted by cell (key, i, j) and side: side 0 is held, side 1 passes by. Labels that
+    an edge joins are one from then on."""
+
+    def columns(t):
+        t = pa.Table.from_batches(t).combine_chunks()
+        sets = t["shingles"].combine_chunks()
+        h, bounds = sets.flatten().to_numpy().view(np.uint64), sets.offsets.to_numpy().astype(np.int64)
+        return t["id"].to_numpy(), t["label"].to_numpy().copy(), t["fp"].to_numpy().view(np.uint64), _table([t[c].to_numpy() for c in TABLE]), h, bounds - bounds[0]
+
+    def met(held, passing) -> Iterator[pa.RecordBatch]:
+        id_, label, fp, table, h, bounds = held
+        size, left, right = np.diff(bounds), [], []
+        ids, labels, fps, tables, hs, at = columns([passing])
+        for p in range(len(ids)):
+            own = hs[at[p] : at[p + 1]]
+            name = joined.get(labels[p], labels[p])
+            open_ = np.flatnonzero((label != name) & nearby(fp, table, size, (fps[p], tables[p], len(own)), similarity, radius))
+            for x in open_.tolist():
+                if label[x] == name:
+                    continue
+                both = len(np.intersect1d(h[bounds[x] : bounds[x + 1]], own, assume_unique=True))
+                if both >= similarity * (size[x] + len(own) - both):
+                    left.append(ids[p])
+                    right.append(id_[x])
+                    old, name = max(label[x], name), min(label[x], name)
+                    label[label == old] = name
+                    for k in [k for k, v in joined.items() if v == old]:
+                        joined[k] = name
+                    joined[old] = name
+        if left:
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    Keys that hold the same texts count once. While a key has more than ``most`` texts, and ``leaders`` times at most,
-    they are compared with the one of the least id by a join; those that are similar to it are linked to it and leave the
-    key, so a group of near copies of any size is never gathered. What is left is compared in one task a key.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal joined
+        cell, parts, held = None, [], None
+        for batch in batches:
+            key, side = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")]), batch.column("side").to_numpy()
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if b == e:
+                    continue
+                if cell is None or (key[:, b] != cell).any():
+                    cell, parts, held, joined = key[:, b], [], None, {}
+                mid = b + int(np.searchsorted(side[b:e], 1))
+                if mid > b:
+                    parts.append(batch.slice(b, mid - b))
+                if e > mid and parts:
+                    held = columns(parts) if held is None else held
+                    yield from met(held, batch.slice(mid, e - mid))
+
+    joined: dict[int, int] = {}
+    return run
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, most: int = MOST) -> DataFrame:
+    """Edges (a, b) between ids of ``classes`` (id, at, fp, bands) that connect what similar shingle sets of one key connect;
+    ``texts`` has at and text. The edges' components are the same for any ``most``.
+
+    Keys that hold the same texts count once. The texts of a key with at most ``most`` are compared in one task. In a
+    larger one each text is compared with the key's least first. Where that leaves texts in different
+    components (by all links found so far, under any key), those outside of the largest are held, in lines of bounded size, while all
+    texts of the key pass by: every pair with different components is looked at. A heap of near copies of any size has one component and costs one
+    comparison a text.
     """
+    spark = classes.sparkSession
     pairs = classes.select("id", F.explode("bands").alias("key"))
     keys = pairs.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all"), F.min("id").alias("least")).filter("n > 1")
-    once = keys.groupBy("n", "all", "least").agg(F.min("key").alias("key")).select("key")
-    members = materialise(pairs.join(small(materialise(once, "keys")), "key", "left_semi"), "members")
+    once = materialise(keys.groupBy("n", "all", "least").agg(F.min("key").alias("key")).select("key", "n", "least"), "keys")
+    members = materialise(pairs.join(small(once.select("key")), "key", "left_semi"), "members")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -330,22 +401,11 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMI
                 h, bounds = shingle_sets(utf8(part.column("text")))
                 yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
 
-    wanted = texts.join(small(materialise(members.select("id").distinct(), "ids")), "id", "left_semi").select("id", "text")
+    ids = materialise(members.select("id").distinct().join(classes.select("id", "at"), "id"), "ids")
+    wanted = texts.join(small(ids, 500_000), "at").select("id", "text")
     sets = wanted.mapInArrow(tidily(measure), "id long, shingles array<long>").join(classes.select("id", "fp", *pivot_distances(F.col("fp"))), "id")
     sets = materialise(sets, "sets")
-    edges = None
-    for _ in range(leaders):
-        large = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > most).select("key", "leader"), "large")
-        if not large.count():
-            break
-        first = large.join(sets.select(F.col("id").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-        held = members.join(large.select("key"), "key", "left_semi").join(sets.select("id", "shingles"), "id").join(first, "key")
-        both = F.size(F.array_intersect("shingles", "theirs"))
-        near = both >= similarity * (F.size("shingles") + F.size("theirs") - both)
-        compared = materialise(held.select("key", "id", "leader", near.alias("near")), "compared")
-        found = compared.filter("near and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        members = materialise(members.join(compared.filter("near").select("key", "id"), ["key", "id"], "left_anti"), "members")
+    discard(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in by_whole_key(batches):
@@ -360,9 +420,39 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMI
                 if len(moved):
                     yield pa.record_batch([pa.array(id_[b:e][moved]), pa.array(id_[b:e][label[moved]])], names=["a", "b"])
 
-    dealt = members.join(sets, "id").select("key", "id", "fp", *TABLE, "shingles").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "id")
-    rest = dealt.mapInArrow(tidily(run), "a long, b long")
-    return rest if edges is None else edges.unionByName(rest)
+    large = materialise(once.filter(F.col("n") > most), "large")
+    any_large = not large.isEmpty()
+    low = members.join(small(large.select("key")), "key", "left_anti") if any_large else members
+    dealt = low.join(sets, "id").select("key", "id", "fp", *TABLE, "shingles").repartition(partitions(spark), "key").sortWithinPartitions("key", "id")
+    edges = materialise(dealt.mapInArrow(tidily(run), "a long, b long"), "links")
+    if not any_large:
+        return edges
+    # every text of a large key with the key's least one; near copies mostly ask for the same one, which counts once
+    high = members.join(small(large, 300_000), "key")
+    asked = high.filter("id <> least").select("id", "least").distinct()
+    first = sets.select(F.col("id").alias("least"), F.col("shingles").alias("theirs")).join(large.select("least").distinct(), "least")
+    both = F.size(F.array_intersect("shingles", "theirs"))
+    near = both >= similarity * (F.size("shingles") + F.size("theirs") - both)
+    led = asked.join(sets.select("id", "shingles"), "id").join(first, "least").filter(near)
+    edges = edges.unionByName(materialise(led.select(F.col("id").alias("a"), F.col("least").alias("b")), "links"))
+    return edges.unionByName(_links_in_large(high, sets, materialise(roots(edges), "labels"), similarity, radius))
+
+
+def _links_in_large(high: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Edges between the components (``labels``: v, root) that meet in a large key; ``high``: key, n, id."""
+    x = high.select("key", "id").join(labels, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    x = materialise(x, "labelled")
+    per = x.groupBy("key", "label").agg(F.count("*").alias("n"))
+    top = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("label")).alias("label"))).alias("top"))
+    top = top.select("key", (-F.col("top.label")).alias("top"), F.ceil((F.col("n") - F.col("top.n")) / HELD).alias("h_lines"), F.ceil(F.col("n") / PASSING).alias("p_lines"))
+    x = x.join(small(materialise(top.filter("h_lines > 0"), "open"), 200_000), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+    held = x.filter("label <> top").select("key", own("h_lines", 1).alias("i"), every("p_lines").alias("j"), F.lit(0).alias("side"), "id", "label")
+    passing = x.select("key", every("h_lines").alias("i"), own("p_lines", 2).alias("j"), F.lit(1).alias("side"), "id", "label")
+    dealt = held.unionByName(passing).join(sets, "id").select("key", "i", "j", "side", "id", "label", "fp", *TABLE, "shingles")
+    dealt = dealt.repartition(partitions(high.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+    return dealt.mapInArrow(tidily(cross_links(similarity, radius)), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
@@ -370,26 +460,31 @@ def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     Two texts are near copies if their sets of five-word shingles (lower-cased; fewer words are one shingle) have a
     Jaccard similarity of 0.8 or more. Null and word-less texts have no shingles and are copies of one another. All columns of
-    ``docs`` come through, whatever their names. Rows are numbered as they are written, so that equal rows can be told
-    apart; exact copies form one class before anything is compared.
+    ``docs`` come through, whatever their names; exact copies form one class before anything is compared.
+
+    What stays depends on the rows' content alone: classes are numbered in the order of their hashes, and of rows with one doc_id that with
+    the least hash of its text and its other columns stays. How the rows are laid out has no say.
     """
-    row = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("id"))
+    rest = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")), {"ignoreNullFields": "false"}))
+    row = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("id"), F.xxhash64("text").alias("h0"), rest.alias("h1"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in text_slices(whole, most=SLICE):
                 fp, same, bands = sketches(*shingle_sets(utf8(part.column("text"))))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                yield pa.record_batch([part.column("row"), part.column("id"), pa.array(fp.view(np.int64)), *(pa.array(np.ascontiguousarray(same[:, i]).view(np.int64)) for i in range(2)), lists], names=["row", "id", "fp", "same0", "same1", "bands"])
+                yield pa.record_batch([*(part.column(c) for c in ("row", "id", "h0", "h1")), pa.array(fp.view(np.int64)), *(pa.array(np.ascontiguousarray(same[:, i]).view(np.int64)) for i in range(2)), lists], names=["row", "id", "h0", "h1", "fp", "same0", "same1", "bands"])
 
     kind = row.schema["row"].dataType.simpleString()
-    written = materialise(row.mapInArrow(tidily(sketch), f"row {kind}, id long, fp long, same0 long, same1 long, bands array<long>"), "sketches")
-    order = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), F.col("id").alias("id"))
+    written = materialise(row.mapInArrow(tidily(sketch), f"row {kind}, id long, h0 long, h1 long, fp long, same0 long, same1 long, bands array<long>"), "sketches")
+    # id, a row's place in the written table, only tells apart rows that are equal in all else
+    order = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "h0", "h1", "id")
     slim = written.select(order.alias("order"), "id", "fp", "same0", "same1")
-    heads = slim.groupBy("same0", "same1").agg(F.min("order").alias("head")).select("head", F.col("head.id").alias("id"))
-    classes = materialise(heads.join(written.select("id", "fp", "bands"), "id"), "classes")
-    texts = written.select("id", F.coalesce("row.text", F.lit("")).alias("text"))
-    found = roots(similar_links(classes.select("id", "fp", "bands"), texts, most=most))
+    heads = slim.groupBy("same0", "same1").agg(F.min("order").alias("head"))
+    heads = numbered(heads, "same0", "same1", name="id").select("id", "head", F.col("head.id").alias("at"))
+    classes = materialise(heads.join(written.select(F.col("id").alias("at"), "fp", "bands"), "at"), "classes")
+    texts = written.select(F.col("id").alias("at"), F.coalesce("row.text", F.lit("")).alias("text"))
+    found = roots(similar_links(classes.select("id", "at", "fp", "bands"), texts, most=most))
     rooted = classes.select("id", "head").join(found, F.col("id") == F.col("v"), "left")
     stays = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("head").alias("head")).select(F.col("head.id").alias("id"))
     goes = materialise(written.select("id").join(stays, "id", "left_anti"), "goes")

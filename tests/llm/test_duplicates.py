@@ -160,7 +160,55 @@ def test_one_row_of_each_component_of_near_copies_stays(spark, docs, rows, empty
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
-def test_recall_of_near_copies(spark):
+def texts_of_shape(shape, rng):
+    """Texts of one component: a chain of windows over one stream, a star of edits of one text, two heaps with a bridge."""
+    stream = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    if shape == "chain":
+        return [" ".join(stream[4 * k : 4 * k + 100]) for k in range(120)]
+    if shape == "star":
+        texts = [stream[:200]]
+        for k in range(80):
+            texts.append(stream[:200])
+            for i in rng.sample(range(0, 200, 10), 2):
+                texts[-1] = [*texts[-1][:i], f"x{k}", *texts[-1][i + 1 :]]
+        return [" ".join(t) for t in texts]
+    heap = lambda base, tag: [" ".join([*base[:i], f"{tag}{i}", *base[i + 1 :]]) for i in range(0, 100, 4)]
+    return heap(stream[:100], "a") + heap(stream[12:112], "b") + [" ".join(stream[6:106])]
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "bridge"])
+def test_no_link_is_lost_at_any_size(spark, shape, monkeypatch):
+    """A key of any size gives the same components, whether it is compared in one task or in lines."""
+    rng = random.Random(shape)
+    texts = texts_of_shape(shape, rng)
+    others = [" ".join(f"y{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    assert len(set(near_copies_of(texts))) == 1
+    rows = list(enumerate(texts + others))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {most: sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs.repartition(3), most).collect()) for most in (1, 2, 5, 4096)}
+    assert all(x == kept[4096] for x in kept.values()) and kept[4096][1:] == list(range(len(texts), len(rows)))
+    monkeypatch.setattr(near_dedup, "HELD", 3)
+    monkeypatch.setattr(near_dedup, "PASSING", 7)
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs, 2).collect()) == kept[4096]
+
+
+def test_a_key_without_a_component_of_its_own(spark):
+    """One key, texts in many components: every pair with different labels is looked at, in lines of any size."""
+    rng = random.Random(6)
+    streams = [[f"{c}{rng.randrange(10**6)}" for _ in range(200)] for c in "abcdefgh"]
+    texts = [" ".join(s[4 * k : 4 * k + 60]) for s in streams for k in range(12)]
+    h, bounds = near_dedup.shingle_sets([t.encode() for t in texts])
+    fp = near_dedup.sketches(h, bounds)[0]
+    classes = spark.createDataFrame([(i, i, int(x), [7, 8]) for i, x in enumerate(fp.view(np.int64))], "id long, at long, fp long, bands array<long>")
+    table = spark.createDataFrame(list(enumerate(texts)), "at long, text string")
+    for most in (1, 10, 4096):
+        found = {r["v"]: r["root"] for r in near_dedup.roots(near_dedup.similar_links(classes, table, most=most, radius=64)).collect()}
+        assert [found.get(i, i) for i in range(len(texts))] == near_copies_of(texts)
+
+
+@pytest.mark.parametrize("most", [4, 4096])
+def test_recall_of_near_copies(spark, most):
     """Copies with a similarity from 0.8 up: at least 0.95 go, and what is below 0.8 stays."""
     rng = random.Random(4)
     texts, copies = [], 0
@@ -173,7 +221,7 @@ def test_recall_of_near_copies(spark):
         texts.append(" ".join(v).upper())
     sets = [brute_shingles(t) for t in texts]
     near = [5 * len(a & b) >= 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
-    out = {r["doc_id"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    out = {r["doc_id"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most).collect()}
     gone = [2 * k + 1 not in out for k in range(150)]
     assert sum(near) > 60 and not any(g and not n for g, n in zip(gone, near, strict=True)) and all(2 * k in out for k in range(150))
     assert sum(gone) >= 0.95 * sum(near)
