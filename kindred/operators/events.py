@@ -90,7 +90,8 @@ def delete_run(table: DataFrame, run: Column) -> DataFrame:
 
 def cache_context(active_images: DataFrame, events: DataFrame) -> DataFrame:
     """(active images, latest operation id): what a cached grouping is valid for."""
-    return active_images.agg(F.count("*").alias("active_images")).crossJoin(events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_operation")))
+    last = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_operation"))
+    return active_images.agg(F.count("*").alias("active_images")).select("active_images", last.scalar().alias("last_operation"))
 
 
 def verify_recycle(manifest: DataFrame, listing: DataFrame) -> DataFrame:

@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 
 from kindred.config import DEFAULT, Profile
 from kindred.functions import measures
+from kindred.operators import metric
 from kindred.operators.classify import RELATION_ORDER, rank_of, relation
 
 NO_DISTANCE = 2**31 - 1
-MOST_REFERENCES = 10_000
+
+
+def related_pairs(targets: DataFrame, references: DataFrame, most: int) -> DataFrame:
+    """(t_image_id, r_image_id) with equal digests or hashes at most ``most`` bits apart, each pair once.
+
+    Two equi-joins: by digest, and by hash over the pairs of distinct hashes that meet in metric partitions around the references.
+    """
+    t, r = (df.select(F.col("image_id").alias(f"{s}_image_id"), "digest", "phash") for df, s in ((targets, "t"), (references, "r")))
+    same = t.filter("digest is not null").join(r.drop("phash"), "digest").select("t_image_id", "r_image_id")
+    near = metric.between(metric.table_of(t), metric.table_of(r), most).select(F.col("b").alias("phash"), F.col("a").alias("r_phash"))
+    close = t.drop("digest").join(near, "phash").join(r.select("r_image_id", F.col("phash").alias("r_phash")), "r_phash").select("t_image_id", "r_image_id")
+    return same.unionByName(close).distinct()
 
 
 def relations(targets: DataFrame, references: DataFrame, score, profile: Profile = DEFAULT, most: int = 16) -> DataFrame:
     """Relations of every target with every reference it is related to.
 
-    References are the few images a user picked; they are broadcast only when their count is within ``MOST_REFERENCES``.
     ``score`` is a column over t_/r_ columns; it is evaluated only for pairs that differ in digest and are near.
     """
     r = references.select(*(F.col(c).alias(f"r_{c}") for c in ("image_id", "digest", "phash", "width", "height")))
-    r = F.broadcast(r) if references.limit(MOST_REFERENCES + 1).count() <= MOST_REFERENCES else r
     t = targets.select(*(F.col(c).alias(f"t_{c}") for c in ("image_id", "digest", "phash", "width", "height", "relative_path")))
     far = F.coalesce(F.bit_count(F.col("t_phash").bitwiseXOR(F.col("r_phash"))), F.lit(NO_DISTANCE)).cast("long")
-    same = F.col("t_digest") == F.col("r_digest")
-    x = t.join(r, same | (far <= most)).withColumn("distance", far).withColumn("same", same)
+    same = F.coalesce(F.col("t_digest") == F.col("r_digest"), F.lit(False))
+    x = related_pairs(targets, references, most).join(t, "t_image_id").join(r, "r_image_id").withColumn("distance", far).withColumn("same", same)
     x = x.withColumn("score", F.when(F.col("same"), F.lit(1.0)).otherwise(score))
     ratio = measures.pixels(F.col("t_width"), F.col("t_height")).cast("double") / F.greatest(measures.pixels(F.col("r_width"), F.col("r_height")).cast("double"), F.lit(1.0))
     x = x.withColumn("classification", relation(F.col("same"), F.col("distance"), F.col("score"), ratio, profile, most))

@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import measures
-from kindred.operators import stats
+from kindred.operators import match, metric, stats
 from kindred.scratch import discard, materialise
 
 
-def roots(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of ``edges`` (a, b, any orderable type); root is the least vertex that it reaches.
+FEW = 200_000  # edges that one task can settle at once
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root) of few edges, in one task."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        v, root = metric.least_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        v, root = v[v != root], root[v != root]
+        yield pa.record_batch([pa.array(v), pa.array(root)], names=["v", "root"])
+
+
+def roots(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """(v, root) for every vertex of ``edges`` (a, b, any orderable type) that reaches a lesser one; root is the least that it reaches.
 
     Alternating large-star and small-star steps until nothing moves; each writes its edges to the shared folder, so a
-    lost executor costs one step, and deletes those of the step before. The number of steps grows with the logarithm of the longest path.
+    lost executor costs one step, and deletes those of the step before. What a step has changed is seen while it is
+    written. The number of steps grows with the logarithm of the longest path. At most ``few`` edges of longs are settled in one task instead.
     """
-    e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    last = mark(e)
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = materialise(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")), "edges")
+        return out, (seen.get["n"], seen.get["mark"])
+
+    e, last = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if last[0] <= few and dict(e.dtypes) == {"a": "bigint", "b": "bigint"}:
+        return e.coalesce(1).mapInArrow(settled, "v long, root long")
     while last[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        before, e = e, materialise(small, "edges")
+        before, (e, now) = e, written(small)
         discard(before)
-        now = mark(e)
         if now == last:
             break
         last = now
@@ -39,6 +61,42 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("image_id").join(roots(edges), F.col("image_id") == F.col("v"), "left").select("image_id", F.coalesce("root", "image_id").alias("component"))
 
 
+def similarity_components(images: DataFrame, most: int) -> DataFrame:
+    """(image_id, component) of ``images`` (image_id, phash): those within ``most`` bits are linked. Components are found over
+    distinct hashes, so copies never multiply; an image without a hash is a component of its own."""
+    return _by_hash(images, roots(match.links_within(metric.table_of(images), most)))
+
+
+def _by_hash(images: DataFrame, reached: DataFrame) -> DataFrame:
+    """Components of images, from (v, root) over their hashes."""
+    first = images.filter("phash is not null").groupBy("phash").agg(F.min("image_id").alias("first"))
+    rooted = first.join(reached, F.col("phash") == F.col("v"), "left").select("phash", "first", F.coalesce("root", "phash").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    component = rooted.join(heads, "root").select("phash", "head")
+    return images.select("image_id", "phash").join(component, "phash", "left").select("image_id", F.coalesce("head", "image_id").alias("component"))
+
+
+def extend_components(known: DataFrame, added: DataFrame, most: int) -> DataFrame:
+    """(image_id, phash, component) after images ``added`` (image_id, phash) came to ``known`` (image_id, phash, component).
+
+    Equal to a run over all of them, but no edge between known images is looked for: only hashes that are new are
+    compared, with each other and with the known ones; each known component is one vertex.
+    """
+    old = materialise(known.filter("phash is not null").groupBy("phash").agg(F.min("component").alias("component")), "known")
+    fresh = materialise(added.filter("phash is not null").groupBy("phash").agg(F.min("image_id").alias("first")).join(old.withColumnRenamed("component", "held"), "phash", "left"), "fresh")
+    table = lambda df: materialise(df.select(F.col("phash").alias("hash")), "hashes")
+    new, before = table(fresh.filter("held is null")), table(old)
+    links = match.links_within(new, most).unionByName(match.links_between(new, before, most))
+    # a known hash stands for its component, a new one for the first image that has it
+    of = old.select("phash", F.col("component").alias("vertex")).unionByName(fresh.filter("held is null").select("phash", F.col("first").alias("vertex")))
+    ends = links.join(of.select(F.col("phash").alias("a"), F.col("vertex").alias("from")), "a").join(of.select(F.col("phash").alias("b"), F.col("vertex").alias("to")), "b")
+    # the same hash under a smaller id, too: the component takes the least id
+    same = fresh.filter("held is not null").select(F.col("held").alias("a"), F.col("first").alias("b"))
+    reached = materialise(roots(ends.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(same)), "reached")
+    whole = known.select("image_id", "phash", "component").unionByName(added.select("image_id", "phash").join(of, "phash", "left").select("image_id", "phash", F.coalesce("vertex", "image_id").alias("component")))
+    return whole.join(reached, F.col("component") == F.col("v"), "left").select("image_id", "phash", F.coalesce("root", "component").alias("component"))
+
+
 def quality_order():
     """Best first: pixels, bytes, then the smaller path."""
     return [measures.pixels(F.col("width"), F.col("height")).desc(), F.col("file_size").desc(), F.col("relative_path"), F.col("image_id")]
@@ -88,25 +146,97 @@ def member_roles(grouped: DataFrame, results: DataFrame, images: DataFrame) -> D
     return x.withColumn("low_quality", low).withColumn("member_role", role).withColumn("cluster_key", F.coalesce("primary_id", "image_id").cast("string")).withColumn("effective_reference_id", F.when(effective != F.col("image_id"), effective))
 
 
-def plan_pairs(members: DataFrame, anchor_pixels: float = 0.9, anchor_size: float = 0.75, lower: float = 0.98, most: int = 24, k: int = 8) -> DataFrame:
-    """(group, left_id, right_id): pairs worth a similarity score inside each group.
+SMALL, HELD, ROWS = 256, 4096, 256  # members of a component that is joined as it is; anchors that a task holds; members compared with them at once
+
+
+def plan_pairs(members: DataFrame, anchor_pixels: float = 0.9, anchor_size: float = 0.75, lower: float = 0.98, most: int = 24, k: int = 8, small: int = SMALL) -> DataFrame:
+    """(component, left_id, right_id): pairs worth a similarity score inside each group.
 
     ``members``: component, image_id, phash, width, height, file_size, relative_path. A pair joins a possible
     lower-quality copy to one of its ``k`` best anchors within ``most`` bits (an unknown distance passes, last).
+
+    Components of more than ``small`` members are dealt into lines of members and of anchors, so that a task holds a bounded number of
+    anchors while members pass by, and gives the ``k`` best of these for each; the best of all lines are merged.
     """
     px = measures.pixels(F.col("width"), F.col("height"))
     m = members.select("component", "image_id", "phash", "file_size", "relative_path", px.alias("px"))
-    m = m.join(m.groupBy("component").agg(F.max("px").alias("most_px"), F.max("file_size").alias("most_size")), "component")
+    m = m.join(m.groupBy("component").agg(F.count("*").alias("n"), F.max("px").alias("most_px"), F.max("file_size").alias("most_size")), "component")
     anchor = (F.col("most_px") == 0) | (F.col("px") >= F.col("most_px") * anchor_pixels) | (F.col("most_size") <= 0) | (F.col("file_size") >= F.col("most_size") * anchor_size)
-    a = m.filter(anchor).select("component", *(F.col(c).alias(f"a_{c}") for c in ("image_id", "phash", "file_size", "relative_path", "px")))
+    m = materialise(m.select("component", "image_id", "phash", "file_size", "relative_path", "px", "n", anchor.alias("anchor")), "members")
+    few = m.filter(F.col("n") <= small)
+    a = few.filter("anchor").select("component", *(F.col(c).alias(f"a_{c}") for c in ("image_id", "phash", "file_size", "relative_path", "px")))
     far = F.bit_count(F.col("phash").bitwiseXOR(F.col("a_phash")))
-    pairs = m.join(a, "component").filter("image_id <> a_image_id").filter((F.col("px") < F.col("a_px") * lower) | (F.col("file_size") < F.col("a_file_size") * lower))
-    pairs = pairs.withColumn("distance", F.coalesce(far, F.lit(2147483647))).filter(far.isNull() | (far <= most))
+    pairs = few.join(a, "component").filter("image_id <> a_image_id").filter((F.col("px") < F.col("a_px") * lower) | (F.col("file_size") < F.col("a_file_size") * lower))
+    pairs = pairs.withColumn("distance", F.coalesce(far, F.lit(UNKNOWN))).filter(far.isNull() | (far <= most)).select(*BEST)
+    if not m.filter(F.col("n") > small).isEmpty():
+        pairs = pairs.unionByName(_best_of_lines(m.filter(F.col("n") > small), lower, most, k))
     nearest = Window.partitionBy("image_id").orderBy("distance", F.desc("a_px"), F.desc("a_file_size"), "a_relative_path")
     kept = pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return kept.select("component", F.least("image_id", "a_image_id").alias("left_id"), F.greatest("image_id", "a_image_id").alias("right_id")).dropDuplicates(["left_id", "right_id"])
 
 
+UNKNOWN = 2147483647
+BEST = ["component", "image_id", "a_image_id", "distance", "a_px", "a_file_size", "a_relative_path"]
+
+
+def _best_of_lines(m: DataFrame, lower: float, most: int, k: int) -> DataFrame:
+    """For each member the ``k`` best anchors of each line of anchors, with what ranks them."""
+    m = m.withColumn("component", F.col("component").cast("long"))
+    lines = m.groupBy("component").agg(F.ceil(F.count_if("anchor") / HELD).alias("a_lines"), F.ceil(F.count("*") / (16 * HELD)).alias("m_lines"))
+    x = m.join(lines, "component")
+    own = lambda n, seed: F.pmod(F.xxhash64("image_id", F.lit(seed)), n)
+    columns = ["component", "image_id", "phash", "file_size", "relative_path", "px"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    anchors = x.filter("anchor").select(*columns, F.lit(0).alias("side"), every(F.col("m_lines")).alias("i"), own(F.col("a_lines"), 1).alias("j"))
+    passing = x.filter("a_lines > 0").select(*columns, F.lit(1).alias("side"), own(F.col("m_lines"), 2).alias("i"), every(F.col("a_lines")).alias("j"))
+    # by distance from an arbitrary hash: hashes within ``most`` bits differ by that much there at most
+    band = F.coalesce(F.bit_count(F.col("phash")), F.lit(-1))
+    dealt = anchors.unionByName(passing).withColumn("band", band).repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
+    return dealt.sortWithinPartitions("component", "i", "j", "side", "band").mapInArrow(_probe(lower, most, k), "component long, image_id long, a_image_id long, distance int, a_px long, a_file_size long, a_relative_path string")
+
+
+def _probe(lower: float, most: int, k: int):
+    def best(a: pa.Table, m: pa.Table) -> Iterator[pa.RecordBatch]:
+        value = lambda t, c, fill=0: t[c].combine_chunks().fill_null(fill).to_numpy(zero_copy_only=False)
+        a_band, a_px, a_size, a_id, a_hash = (value(a, c) for c in ("band", "px", "file_size", "image_id", "phash"))
+        place = np.empty(len(a), np.int64)
+        place[np.lexsort((a_id, np.array(a["relative_path"].to_pylist(), object).astype(str), -a_size, -a_px))] = np.arange(len(a))
+        for at in range(0, len(m), ROWS):
+            part = m.slice(at, ROWS)
+            band, px, size, id_, hash_ = (value(part, c) for c in ("band", "px", "file_size", "image_id", "phash"))
+            known, low, high = band.min() >= 0, band.min() - most, band.max() + most
+            use = np.flatnonzero((a_band < 0) | ((a_band >= low) & (a_band <= high))) if known else np.arange(len(a))
+            d = np.bitwise_count((hash_[:, None] ^ a_hash[None, use]).view(np.uint64)).astype(np.int64)
+            d[(band < 0)[:, None] | (a_band[use] < 0)[None, :]] = UNKNOWN
+            fits = ((d <= most) | (d == UNKNOWN)) & (id_[:, None] != a_id[None, use]) & ((px[:, None] < a_px[None, use] * lower) | (size[:, None] < a_size[None, use] * lower))
+            key = np.where(fits, d << 32 | place[None, use], np.iinfo(np.int64).max)
+            top = np.argpartition(key, k - 1, axis=1)[:, :k] if key.shape[1] > k else np.tile(np.arange(key.shape[1]), (len(key), 1))
+            row, column = np.nonzero(np.take_along_axis(key, top, 1) < np.iinfo(np.int64).max)
+            chosen = top[row, column]
+            of = pa.array(use[chosen])
+            yield pa.record_batch([part["component"].combine_chunks().take(pa.array(row)), pa.array(id_[row]), pa.array(a_id[use[chosen]]), pa.array(d[row, chosen].astype(np.int32)), *(a[c].combine_chunks().take(of) for c in ("px", "file_size", "relative_path"))], names=BEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, anchors = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("component", "i", "j")])
+            side = batch.column("side").to_numpy()
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if b == e:
+                    continue
+                if at is None or (key[:, b] != at).any():
+                    at, parts, anchors = key[:, b], [], None
+                mid = b + int(np.searchsorted(side[b:e], 1))
+                if mid > b:
+                    parts.append(batch.slice(b, mid - b))
+                if e > mid and parts:
+                    anchors = pa.Table.from_batches(parts) if anchors is None else anchors
+                    yield from best(anchors, pa.Table.from_batches([batch.slice(mid, e - mid)]))
+
+    return run
+
+
 def automatic_originals(members: DataFrame, threshold: float = 0.985, pixels: float = 0.9, shape: float = 0.02) -> DataFrame:
     """Adds is_original: the representative or reference, or large, of the best member's shape, and similar enough."""
     px, own = measures.pixels(F.col("width"), F.col("height")), measures.aspect(F.col("width"), F.col("height"))

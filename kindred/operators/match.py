@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kindred.config import DEFAULT, Profile
 from kindred.functions import bits, measures
+from kindred.operators import metric
 
 
 def exact_matches(comparison: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -81,27 +82,30 @@ def _masks(width: int, most: int) -> list[int]:
     return [sum(1 << i for i in chosen) for k in range(most + 1) for chosen in combinations(range(width), k)]
 
 
+def indexable(most: int, blocks: int = 4) -> bool:
+    """Whether the lookups of multi-index hashing are few beside all values of a part."""
+    width = 64 // blocks
+    return blocks * sum(math.comb(width, k) for k in range(most // blocks + 1)) <= 0.1 * 2**width
+
+
 def hamming_join(left: DataFrame, right: DataFrame, most: int, blocks: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows of ``left`` (l_id, l_hash, ...) and ``right`` (r_id, r_hash, ...) that agree ``on`` further columns and
     are at most ``most`` bits apart, with distance. Callers pass ids, hashes and what they test; attributes join later.
 
     Always an equi-join. Small radii use multi-index hashing: of ``blocks`` parts of the hash one differs in at most
     ``most // blocks`` bits, so the left side looks up that part's neighbours. Where the lookups would cover a good
-    part of all values no index helps, and ``on`` alone is the key; without ``on`` both sides are dealt into a grid of
-    cells in which each pair meets once, so that the comparisons spread evenly over all tasks.
+    part of all values no index helps: ``on`` alone is the key then; without ``on`` the distinct hashes of both sides meet
+    in metric partitions, and rows join their hashes.
     """
     width = 64 // blocks
     masks = _masks(width, most // blocks)
     far = F.bit_count(F.col("l_hash").bitwiseXOR(F.col("r_hash")))
-    if blocks * len(masks) > 0.1 * 2**width:
-        keys = list(on)
-        if not keys:
-            n = math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1
-            lines = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-            left = left.withColumn("_i", F.pmod(F.xxhash64("l_id"), F.lit(n)).cast("int")).withColumn("_j", lines)
-            right = right.withColumn("_j", F.pmod(F.xxhash64("r_id"), F.lit(n)).cast("int")).withColumn("_i", lines)
-            keys = ["_i", "_j"]
-        return left.join(right, keys).filter(far <= most).withColumn("distance", far.cast("long")).drop("_i", "_j")
+    if not indexable(most, blocks):
+        if on:
+            return left.join(right, list(on)).filter(far <= most).withColumn("distance", far.cast("long"))
+        near = metric.between(metric.table_of(left, "l_hash"), metric.table_of(right, "r_hash"), most)
+        near = near.select(F.col("a").alias("r_hash"), F.col("b").alias("l_hash"), "distance")
+        return left.join(near, "l_hash").join(right, "r_hash")
     part = lambda h: F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(h, width * i).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(blocks)))
     around = F.array(*map(F.lit, masks))
     l = left.withColumn("p", F.explode(part("l_hash"))).withColumn("m", F.explode(around)).select("*", F.col("p.block").alias("block"), F.col("p.value").bitwiseXOR(F.col("m").cast("long")).alias("value")).drop("p", "m")
@@ -116,9 +120,35 @@ def hashes(images: DataFrame, side: str, *more: str) -> DataFrame:
 
 
 def pairs_within(images: DataFrame, most: int, strict: bool = False) -> DataFrame:
-    """(a, b, distance) of all pairs a < b within the distance (below it, if strict)."""
-    found = hamming_join(hashes(images, "l"), hashes(images, "r"), most - int(strict)).filter("l_id < r_id")
-    return found.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance")
+    """(a, b, distance) of all pairs a < b within the distance (below it, if strict).
+
+    Beyond the reach of an index the distinct hashes meet in metric partitions, and images join them: as many rows as are asked for.
+    """
+    most -= int(strict)
+    l, r = hashes(images, "l"), hashes(images, "r")
+    if indexable(most):
+        found = hamming_join(l, r, most).filter("l_id < r_id")
+        return found.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance")
+    near = metric.within(metric.table_of(images), most).select(F.col("a").alias("l_hash"), F.col("b").alias("r_hash"), "distance")
+    apart = l.join(near, "l_hash").join(r, "r_hash")
+    equal = l.join(r.withColumnRenamed("r_hash", "l_hash"), "l_hash").filter("l_id < r_id").withColumn("distance", F.lit(0).cast("long"))
+    return apart.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), "distance").unionByName(equal.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance"))
+
+
+def links_within(distinct: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs of distinct hashes (a table with one column ``hash``) that connect what all pairs within the distance connect."""
+    if not indexable(most):
+        return metric.within(distinct, most, links=True).select("a", "b")
+    side = lambda s: distinct.select(F.col("hash").alias(f"{s}_id"), F.col("hash").alias(f"{s}_hash"))
+    return hamming_join(side("l"), side("r"), most).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+
+
+def links_between(fresh: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs within the distance of a hash of ``fresh`` and one of ``known``, both tables of distinct hashes."""
+    if not indexable(most):
+        return metric.between(known, fresh, most).filter("a <> b").select("a", "b")
+    side = lambda df, s: df.select(F.col("hash").alias(f"{s}_id"), F.col("hash").alias(f"{s}_hash"))
+    return hamming_join(side(fresh, "l"), side(known, "r"), most).filter("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
 def candidates(comparison: DataFrame, baseline: DataFrame, profile: Profile = DEFAULT) -> DataFrame:

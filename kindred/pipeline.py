@@ -98,7 +98,7 @@ def compare(spark: SparkSession, baseline: str, comparisons: list[str], profile:
 
 def groups(run: Run, distance: int = DEFAULT.group_distance) -> DataFrame:
     """Members of the similarity groups of a run's images, with their roles; a written table."""
-    components = graph.connected_components(run.images, match.pairs_within(run.images, distance))
+    components = graph.similarity_components(run.images, distance)
     return materialise(graph.member_roles(graph.groups(run.images, components), run.results, run.images), "members")
 
 

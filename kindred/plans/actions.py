@@ -69,7 +69,8 @@ def cache_context(spark, sf_dir):
     read = cached.select(F.explode(F.from_json("text", schema)).alias("g")).select("g.group", "g.count", "g.members")
     ids = read.select("group", "count", F.size("members").alias("n"), F.explode("members").alias("id"))
     checked = ids.agg(F.count_distinct("group").alias("n_groups"), F.count("*").alias("members"), F.count_distinct("id").alias("distinct_members"), F.bool_and(F.col("count") == F.col("n")).alias("fit"))
-    return context.crossJoin(checked).select("active_images", "last_operation", "n_groups", "members", "distinct_members", (F.col("fit") & (F.col("members") == F.col("distinct_members")) & (F.col("members") == F.col("active_images"))).alias("valid"))
+    checked = checked.select("*", *(context.select(c).scalar().alias(c) for c in context.columns))
+    return checked.select("active_images", "last_operation", "n_groups", "members", "distinct_members", (F.col("fit") & (F.col("members") == F.col("distinct_members")) & (F.col("members") == F.col("active_images"))).alias("valid"))
 
 
 @query("upsert_last_wins", """WITH e AS (SELECT 'key' || user_id % 7 AS key, CAST(value AS VARCHAR) AS value, event_id FROM events), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id DESC) = 1)
@@ -77,7 +78,8 @@ SELECT coalesce(max(try_cast(value AS DOUBLE)) FILTER (WHERE key = 'key0'), 10.0
 def upsert_last_wins(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("key"), (F.col("user_id") % 7).cast("string")).alias("key"), F.col("value").cast("string").alias("value"), "event_id")
     kept = events.last_wins(e, ["key"], ["event_id"])
-    return events.settings(kept, {"key0": ("double", 10.0), "key1": ("string", "none"), "key9": ("double", 0.995)}).crossJoin(kept.agg(F.count("*").alias("n_keys"), F.max("event_id").alias("last_event")))
+    n_keys, last = kept.agg(F.count("*")).scalar(), kept.agg(F.max("event_id")).scalar()
+    return events.settings(kept, {"key0": ("double", 10.0), "key1": ("string", "none"), "key9": ("double", 0.995)}).select("*", n_keys.alias("n_keys"), last.alias("last_event"))
 
 
 def review(spark, sf_dir) -> DataFrame:
@@ -94,7 +96,8 @@ def run_stats(spark, sf_dir):
     r = all_results(spark, sf_dir).join(review(spark, sf_dir), "image_id", "left").join(events.latest(operations(spark, sf_dir)).select("result_id", "operation_type"), "result_id", "left")
     totals = images(spark, sf_dir).agg(F.count_if(F.col("role") == "baseline").alias("baseline_total"), F.count_if(F.col("role") == "comparison").alias("comparison_total"))
     counts = r.agg(F.count_distinct("image_id").alias("analysed"), *(F.count_if(F.col("analysis_type") == c).alias(c) for c in ANALYSIS), *(F.count_if(F.col("review_status") == c).alias(f"review_{c}") for c in REVIEW), F.count_if(F.col("operation_type") == "recycled").alias("recycled"))
-    return stats.conserved(counts.crossJoin(totals), F.col("comparison_total"))
+    counts = counts.select("*", *(totals.select(c).scalar().alias(c) for c in totals.columns))
+    return stats.conserved(counts, F.col("comparison_total"))
 
 
 @query("run_history", """SELECT o_custkey AS run_id, epoch_us(max(o_orderdate)) AS created_at, count(*) AS counted, count(*) FILTER (WHERE o_orderstatus = 'F') * 3 AS stored, greatest(count(*), count(*) FILTER (WHERE o_orderstatus = 'F') * 3) AS total FROM orders GROUP BY 1 ORDER BY created_at DESC, run_id DESC LIMIT 20""")
