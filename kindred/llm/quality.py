@@ -1,10 +1,10 @@
 """Quality rules by weak supervision.
 
-Each rule votes for good (+), for bad (-) or abstains (0) on one document. Expectation maximisation over the counts of
-vote patterns (at most 3 to the number of rules, at any input size) estimates how often each rule votes against good
-documents and against bad ones, and with that its accuracy; the posterior probability of good decides, in place of
-demanding that all rules pass. A rule that votes against good documents as often as against bad ones loses its say, and
-one negative vote that nothing supports is outvoted.
+Each rule votes for good (+), for bad (-) or abstains (0) on one document. The rules are well-known rough tests that err
+in their own ways: half of all good documents break one of them or come near it. Expectation maximisation over the counts of
+vote patterns estimates how often each rule votes against good documents and against bad ones of either kind, from nothing but
+how the rules agree; the posterior probability of good decides, in place of demanding that all rules pass. A rule that
+votes against good documents as often as against bad ones loses its say, and a lone negative vote that nothing supports is outvoted.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from kindred.llm.tokens import text_slices
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 WINDOW = 5
-RULES = ("symbols", "symbol_words", "plain", "repeats", "lines", "capitals", "exclaims", "lengths", "digits", "variety", "stutter")
-#: Poor documents are of several kinds; these are the rules that each kind is expected to break, to begin with.
-KINDS = {"marks": ("symbols", "symbol_words", "plain", "digits"), "repetition": ("repeats", "lines", "variety", "stutter"), "shouting": ("capitals", "exclaims", "repeats"), "shape": ("lengths", "plain", "digits")}
+RULES = ("symbols", "any_symbol", "symbol_words", "plain", "repeats", "lines", "capitals", "exclaims", "lengths", "digits", "variety", "stutter", "ends", "short_lines", "short", "long")
+KINDS = 2  # hidden classes of bad documents
 # Letters, and the punctuation that may stand around a word.
 PLAIN = r"""^["'(]*[A-Za-z\x{80}-\x{10FFFF}'-]+[.,;:!?"')]*$"""
 SYMBOLIC = r"[#*$%&|<>]"
+# How a sentence ends, and the words that a line has.
+ENDS = (b".", b"!", b"?", b'"', "”".encode())
+FEW_WORDS = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -82,15 +84,16 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     n_words = np.diff(bounds)
     word_chars = np.fromiter((len(x.translate(None, SPACES + CONTINUATION)) for x in raw), np.int64, len(raw))
     count = lambda which: np.fromiter((len(x) - len(x.translate(None, which)) for x in raw), np.int64, len(raw))
-    dup, n_lines = np.zeros(len(raw), np.int64), np.ones(len(raw), np.int64)
+    dup, n_lines, n_ends, n_short = (np.zeros(len(raw), np.int64) for _ in range(4))
     for i, x in enumerate(raw):
-        if b"\n" in x:
-            lines = [y for y in x.split(b"\n") if y.strip(SPACES)]
-            n_lines[i], dup[i] = max(1, len(lines)), len(lines) - len(set(lines))
+        lines = [y for y in x.split(b"\n") if y.strip(SPACES)]
+        n_lines[i], dup[i] = len(lines), len(lines) - len(set(lines))
+        n_ends[i] = sum(y.rstrip(SPACES).endswith(ENDS) for y in lines)
+        n_short[i] = sum(len(y.split(None, FEW_WORDS)) < FEW_WORDS for y in lines)
     upper = count(bytes(range(65, 91)))
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": count(SYMBOLS), "n_dup_lines": dup, "n_repeat_words": repeated_words(ids, bounds),
-        "n_lines": n_lines, "n_upper": upper, "n_lower": count(bytes(range(97, 123))), "n_exclaims": count(b"!"), "n_digits": count(b"0123456789"),
+        "n_lines": n_lines, "n_ends": n_ends, "n_short_lines": n_short, "n_upper": upper, "n_lower": count(bytes(range(97, 123))), "n_exclaims": count(b"!"), "n_digits": count(b"0123456789"),
         "n_distinct": distinct_words(ids, bounds), "n_stutters": stutters(ids, bounds),
         "n_symbol_words": matching_words(ids, bounds, words, SYMBOLIC), "n_plain": matching_words(ids, bounds, words, PLAIN),
     }
@@ -118,51 +121,69 @@ def stutters(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def votes(x: dict[str, np.ndarray]) -> np.ndarray:
-    """One column a rule: 1 good, -1 bad, 0 abstains. Ratios have a band between the two in which a rule abstains."""
-    n = np.maximum(x["n_words"], 1).astype(float)
+    """One column a rule: 1 good, -1 bad, 0 abstains (where the text has too little for the rule)."""
+    n, lines = np.maximum(x["n_words"], 1).astype(float), np.maximum(x["n_lines"], 1).astype(float)
+    letters, mean = (x["n_upper"] + x["n_lower"]).astype(float), x["word_chars"] / n
 
-    def low(ratio, good, bad):
-        return np.where(ratio >= bad, -1, np.where(ratio <= good, 1, 0))
+    def vote(bad, asked=True):
+        return np.where(asked, np.where(bad, -1, 1), 0)
 
-    mean = x["word_chars"] / n
-    letters = (x["n_upper"] + x["n_lower"]).astype(float)
-    cased = np.maximum(letters, 1)
     return np.stack(
         [
-            low(x["n_symbols"] / n, 0.05, 0.2),
-            low(x["n_symbol_words"] / n, 0.05, 0.15),
-            low(-x["n_plain"] / n, -0.8, -0.6),
-            low(x["n_repeat_words"] / n, 0.05, 0.2),
-            low(x["n_dup_lines"] / x["n_lines"], 0.1, 0.4),
-            np.where(letters < 20, 0, low(x["n_upper"] / cased, 0.2, 0.4)),
-            low(x["n_exclaims"] / n, 0.05, 0.3),
-            np.where((mean >= 3) & (mean <= 10), 1, np.where((mean < 2) | (mean > 15), -1, 0)),
-            low(x["n_digits"] / np.maximum(x["word_chars"], 1), 0.15, 0.6),
-            np.where(x["n_words"] < 50, 0, low(-x["n_distinct"] / n, -0.25, -0.1)),
-            low(x["n_stutters"] / n, 0.05, 0.3),
+            vote(x["n_symbols"] / n > 0.1),
+            vote(x["n_symbols"] > 0),
+            vote(x["n_symbol_words"] / n > 0.1),
+            vote(x["n_plain"] / n < 0.9),
+            vote(x["n_repeat_words"] / n > 0.15),
+            vote(x["n_dup_lines"] / lines > 0.3, x["n_lines"] >= 2),
+            vote(x["n_upper"] / np.maximum(letters, 1) > 0.2, letters >= 20),
+            vote(x["n_exclaims"] / n > 0.02),
+            vote((mean < 4) | (mean > 7)),
+            vote(x["n_digits"] / np.maximum(x["word_chars"], 1) > 0.05),
+            vote(x["n_distinct"] / n < 0.5, x["n_words"] >= 50),
+            vote(x["n_stutters"] / n > 0.05),
+            vote(x["n_ends"] / lines < 0.5),
+            vote(x["n_short_lines"] / lines > 0.3),
+            vote(x["n_words"] < 100),
+            vote(x["n_words"] > 2000),
         ],
         axis=1,
     ).astype(np.int8)
 
 
-def score_votes(patterns: list[str], counts: list[int], rounds: int = 500, strength: float = 4.0) -> tuple[np.ndarray, dict]:
+def seeds(against: np.ndarray, weight: np.ndarray, kinds: int) -> list[int]:
+    """Patterns that stand for the kinds of bad to begin with: frequent, with two negative votes at least, and each unlike those before it."""
+    some = np.flatnonzero(against.sum(1) >= 2)
+    unlike, out = np.ones(len(some)), []
+    for _ in range(kinds):
+        score = weight[some] * unlike
+        if not score.max(initial=0) > 0:
+            break
+        i = some[score.argmax()]
+        out.append(int(i))
+        both = against[some] @ against[i]
+        unlike = np.minimum(unlike, 1 - both / (against[some].sum(1) + against[i].sum() - both))
+    return out
+
+
+def score_votes(patterns: list[str], counts: list[int], rounds: int = 500, strength: float = 4.0, kinds: int = KINDS) -> tuple[np.ndarray, dict]:
     """Posterior probability of good of each vote pattern, by expectation maximisation over all counts.
 
-    The hidden classes are good and the kinds of bad in ``KINDS``; in each, each rule has a probability that its vote
+    The hidden classes are good and ``kinds`` kinds of bad; in each, each rule has a probability that its vote
     is negative. All of these and the classes' shares are estimated, with no bounds; priors worth ``strength`` documents
-    a class say where to begin: good documents seldom get a negative vote, a kind of bad mostly gets those of its rules.
-    Abstentions say nothing. Also gives the shares, the probabilities and each rule's accuracy (how often its votes
-    agree with the posterior).
+    a class say where to begin: good documents seldom get a negative vote, a kind of bad mostly gets those of the pattern that it
+    begins with. Abstentions say nothing. Also gives the shares, the probabilities and each rule's accuracy (how often its votes
+    agree with the posterior). Without a pattern of two negative votes there is nothing to learn from, and all is good.
     """
     if not patterns:
         return np.zeros(0), {}
-    v = np.array([["-0+".index(c) for c in p] for p in patterns])
-    w = np.array(counts, float)
+    order = np.argsort(np.array(patterns), kind="stable")
+    v = np.array([["-0+".index(c) for c in patterns[i]] for i in order])
+    w = np.array(counts, float)[order]
     against, votes_cast = (v == 0).astype(float), (v != 1).astype(float)  # pattern, rule
-    prior = np.full((1 + len(KINDS), len(RULES)), 0.02)  # probability that a vote of the rule is negative
-    for k, broken in enumerate(KINDS.values()):
-        prior[1 + k] = [0.7 if r in broken else 0.1 for r in RULES]
-    shares_prior = np.array([0.8] + [0.2 / len(KINDS)] * len(KINDS))
+    first = seeds(against, w, kinds)
+    prior = np.vstack([np.full((1, len(RULES)), 0.05), np.where(against[first] > 0, 0.7, 0.1)])  # probability that a vote of the rule is negative
+    shares_prior = np.array([0.8] + [0.2 / len(first)] * len(first)) if first else np.ones(1)
     shares, negative, good = shares_prior, prior.copy(), np.zeros(len(v))
     for _ in range(rounds):
         logs = np.log(shares) + against @ np.log(negative).T + (votes_cast - against) @ np.log1p(-negative).T
@@ -176,7 +197,9 @@ def score_votes(patterns: list[str], counts: list[int], rounds: int = 500, stren
             break
     agree = w @ (against * (1 - good)[:, None] + (votes_cast - against) * good[:, None])
     accuracy = agree / np.maximum(w @ votes_cast, 1)
-    return good, {"shares": dict(zip(("good", *KINDS), shares.tolist(), strict=True)), "negative": negative.tolist(), "accuracy": dict(zip(RULES, accuracy.tolist(), strict=True))}
+    out = np.empty(len(v))
+    out[order] = good
+    return out, {"shares": shares.tolist(), "negative": negative.tolist(), "accuracy": dict(zip(RULES, accuracy.tolist(), strict=True))}
 
 
 def _measured(docs: DataFrame, keep: Column, name: str) -> DataFrame:
@@ -195,7 +218,8 @@ def _measured(docs: DataFrame, keep: Column, name: str) -> DataFrame:
 
 
 def _judged(measured: DataFrame) -> DataFrame:
-    """Adds quality (posterior), base_failed and kept. Vote patterns are at most 3 to the number of rules."""
+    """Adds quality (posterior), base_failed and kept. Of 16 rules 13 never abstain, so there are fewer than 2**13 * 3**3 vote patterns (221,184), at any
+    size of the table."""
     spark = measured.sparkSession
     counted = measured.groupBy("votes").count().collect()
     good, _ = score_votes([r["votes"] for r in counted], [r["count"] for r in counted])
