@@ -1,10 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A linear classifier scores each block from its words, links, tag, place and the
-names of the elements around it; the score becomes the capacity to one terminal. Smoothness edges of like size join
-neighbouring blocks and blocks that are close in the DOM, so a short line inside an article is kept and a lone line
-between menus is not, whatever each says by itself. The minimum cut gives the cheapest labelling of all blocks at once,
-into content and boilerplate. Blocks whose terminal capacity outweighs all their edges are settled first, which leaves
+A page is cut into blocks of text. A linear classifier scores each block from what it says itself: its words, links,
+tag and ending; the score becomes the capacity to one terminal. Elements whose tag, role or class tells what they are for are nodes of
+the graph, too, with capacities of their own: an article speaks for content, a menu against it, a class word such as "ad" or "search" against it the less the more
+of the page the element holds. Smoothness edges join neighbouring blocks, blocks that are close in the DOM, and each block
+with the element that holds it. The minimum cut gives the cheapest labelling of all blocks and elements at once: a short line
+inside an article is kept and a long sentence in an advert goes, whatever each says by itself, and a class word around the whole
+article is outvoted by the paragraphs inside. Nodes whose terminal capacity outweighs all their edges are settled first, which leaves
 the cut the same; max-flow (Dinic's algorithm) settles the rest.
 
 Tags are read by a scanner that looks at each character a bounded number of times, whatever the page.
@@ -51,9 +53,13 @@ WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Weights of the classifier; positive speaks for content. Capacities are in hundredths, as those of the edges.
-WEIGHTS = {"bias": -3.0, "words": 0.8, "links": -4.0, "linked_in_article": 2.0, "heading": 0.6, "paragraph": 0.4, "item": -0.1, "sentence": 0.5, "rights": -2.5, "article": 1.7, "outside": -2.5, "marked": -4.0, "marked_around_article": -1.0}
+WEIGHTS = {"bias": -3.0, "words": 0.8, "links": -4.0, "linked_in_article": 2.0, "heading": 0.6, "paragraph": 0.4, "item": -0.1, "sentence": 0.5, "rights": -2.5}
 ENOUGH = 24  # words; more say no more
 ADJACENT, ACROSS, SIBLING = 100, 20, 60
+#: Edges of a block to the element that holds it (a firm one decides), and of an element to the one around it.
+HOLDS, HOLDS_FIRMLY, AROUND = 250, 600, 100
+#: What elements say for each block that they hold; what is outside of the article counts by the article's share of the page.
+ELEMENT = {"article": 250, "word": -500, "firm": -1000, "outside": -400}
 
 
 @dataclass(slots=True)
@@ -62,8 +68,13 @@ class Block:
     tag: str
     linked: int
     parent: int
-    mark: float
-    article: bool
+    node: int  # the element that holds it
+
+
+@dataclass(slots=True)
+class Element:
+    kind: str  # "" (the page), "article", "word" (marked by a class or id), "firm"
+    around: int
 
 
 class Scanner:
@@ -180,13 +191,15 @@ def purpose(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[str
     return mark, good
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks in page order: white space is one space, character references are decoded, nothing is empty.
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks in page order, and the elements that say what they are for: white space is one space, character references are
+    decoded, nothing is empty. What a firm element holds has no element of its own.
 
     An element that is dropped and never closed drops nothing but its tag.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "", False, False)]  # tag, number, mark, article, dropped
+    elements = [Element("", -1)]
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # tag, number, element, in an article, dropped
     names: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, tag, number = 0, False, "", 0
@@ -198,9 +211,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                _, parent, mark, article, _ = stack[-1]
-                strength = {"": 0.0, "word": WEIGHTS["marked_around_article"] if article else WEIGHTS["marked"], "firm": WEIGHTS["marked"]}[mark]
-                out.append(Block(text, tag, min(linked, len(text)), parent, strength, article and mark != "firm"))
+                out.append(Block(text, tag, min(linked, len(text)), stack[-1][1], stack[-1][2]))
             parts.clear()
         linked = 0
 
@@ -239,32 +250,27 @@ def blocks(page: str) -> list[Block]:
             continue
         while stack[-1][0] == "p" or (name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name):
             pop()  # ended by what follows
-        _, parent, mark, article, dropped = stack[-1]
+        _, parent, node, article, dropped = stack[-1]
         own, good = purpose(name, attributes, article)
         number += 1
-        if own or good:
-            article = (article or good) and own != "firm"
-            mark = "firm" if "firm" in (mark, own) else mark if mark and not own else own
-            if own == "word":
-                article = good
-        stack.append((name, parent if name in PARTS else number, mark, article, dropped or name in DROPPED))
+        if (own or good) and elements[node].kind != "firm":
+            elements.append(Element(own or "article", node))
+            node, article = len(elements) - 1, good and not own
+        stack.append((name, parent if name in PARTS else number, node, article, dropped or name in DROPPED))
         names[name] += 1
     flush()
-    return out
+    return out, elements
 
 
-def scores(page: list[Block]) -> list[float]:
-    """The classifier. Where most unmarked words of the page are in its article, what is outside counts less."""
+def scores(page: list[Block], elements: list[Element]) -> list[float]:
+    """The classifier: what each block says by itself."""
     w = WEIGHTS
-    size = [b.text.count(" ") + 1 for b in page]
-    inside = sum(n for n, b in zip(size, page, strict=True) if b.article)
-    free = sum(n for n, b in zip(size, page, strict=True) if b.article or not b.mark)
-    share = inside / free if free else 0.0
     out = []
-    for n, b in zip(size, page, strict=True):
+    for b in page:
         density = b.linked / len(b.text)
-        z = w["bias"] + w["words"] * math.log2(1 + min(n, ENOUGH)) + w["links"] * density + b.mark
-        z += w["article"] + w["linked_in_article"] * density if b.article else w["outside"] * share
+        z = w["bias"] + w["words"] * math.log2(1 + min(b.text.count(" ") + 1, ENOUGH)) + w["links"] * density
+        if elements[b.node].kind == "article":
+            z += w["linked_in_article"] * density
         if b.tag == "p":
             z += w["paragraph"]
         elif b.tag in HEADINGS:
@@ -279,6 +285,46 @@ def scores(page: list[Block]) -> list[float]:
     return out
 
 
+def capacities(page: list[Block], elements: list[Element]) -> tuple[list[int], list[int]]:
+    """(what each element says, in hundredths; which element each block is held by, -1: none that says anything).
+
+    A class word is worth less the more of what it should have hidden is inside, and nothing from a half on: of the words of the article that it is in; or of all articles, where the page has
+    any; or of the page. Firm elements' words never count. Where an article has words, the page's own blocks are outside of it.
+    """
+    n = len(elements)
+    inside, articles, article = [0] * n, [0] * n, [-1] * n
+    for b in page:
+        if elements[b.node].kind != "firm":
+            inside[b.node] += b.text.count(" ") + 1
+    unmarked = inside[0]
+    for i in range(1, n):  # an element follows the one around it
+        article[i] = article[elements[i].around] if elements[elements[i].around].kind != "article" else elements[i].around
+    for i in range(n - 1, 0, -1):
+        inside[elements[i].around] += inside[i]
+        articles[elements[i].around] += inside[i] if elements[i].kind == "article" else articles[i]
+    says, speaker, held = [], [], [0] * n
+    for i, e in enumerate(elements):
+        if e.kind == "":
+            says.append(ELEMENT["outside"] * articles[0] / (articles[0] + unmarked) if articles[0] else 0)
+        elif e.kind == "word":
+            part, whole = (inside[i], inside[article[i]]) if article[i] >= 0 else (articles[i], articles[0]) if articles[0] else (inside[i], inside[0])
+            says.append(ELEMENT["word"] * max(0.0, 1 - (2 * part / whole) ** 2) if whole else 0)
+        else:
+            says.append(ELEMENT[e.kind])
+        speaker.append(i if says[i] else speaker[e.around] if i else -1)
+    by = [speaker[b.node] for b in page]
+    for i in by:
+        held[i] += i >= 0
+    return [round(x * k) for x, k in zip(says, held, strict=True)], by
+
+
+def holders(elements: list[Element], by: list[int]) -> list[tuple[int, int, int]]:
+    """Edges of blocks to the elements that hold them, and of elements to those around; elements come after the blocks."""
+    n = len(by)
+    out = [(i, n + k, HOLDS_FIRMLY if elements[k].kind == "firm" else HOLDS) for i, k in enumerate(by) if k >= 0]
+    return out + [(n + i, n + e.around, AROUND) for i, e in enumerate(elements) if e.around >= 0 and e.kind != "firm"]
+
+
 def edges(page: list[Block]) -> list[tuple[int, int, int]]:
     """Neighbours in page order, stronger under one parent; and the next block of the same parent further on."""
     out, last = [], {}
@@ -396,12 +442,18 @@ def dinic(gain: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
     return [not x for x in drains[:n]]
 
 
+def labelled(page: str) -> tuple[list[Block], list[int], list[bool]]:
+    """The blocks, what each says by itself, and which are content."""
+    found, elements = blocks(page)
+    own = [round(100 * z) for z in scores(found, elements)]
+    said, by = capacities(found, elements)
+    capacity = own + said
+    content = min_cut([max(c, 0) for c in capacity], [max(-c, 0) for c in capacity], edges(found) + holders(elements, by))
+    return found, own, content[: len(found)]
+
+
 def main_text(page: str) -> str:
-    found = blocks(page)
-    if not found:
-        return ""
-    capacity = [round(100 * z) for z in scores(found)]
-    content = min_cut([max(c, 0) for c in capacity], [max(-c, 0) for c in capacity], edges(found))
+    found, _, content = labelled(page)
     return " ".join(b.text for b, x in zip(found, content, strict=True) if x)
 
 
