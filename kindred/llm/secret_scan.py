@@ -1,11 +1,11 @@
 """Secrets in texts: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of 20 or more token characters. Assignment signs, UUIDs and placeholders are cut out of it. In
-what is left, every run of one character class (hexadecimal, small letters and digits, capitals and digits, base64) is
+A candidate is a run of 20 or more token characters. Assignment signs, UUIDs and placeholders that stand alone are cut out of
+it; inside of a run of letters and digits nothing is cut. In what is left, every run of one character class (hexadecimal, small letters and digits, capitals and digits, base64) is
 walked with a window whose character counts, and with them the sum of ``c * log2(c)``, change by one character in and one
 out; windows that reach the class's threshold are joined into spans, which end where the letters and digits end. An
-allow-list then drops the spans that are no secrets themselves: words without digits, numbers, paths and names of words
-and numbers. What stands beside a span never suppresses it. Spans of the fixed patterns are never dropped.
+allow-list then drops the spans that are no secrets themselves: words without digits, numbers, placeholders, paths and names of
+words and numbers. What stands beside a span never suppresses it. Spans of the fixed patterns are never dropped.
 """
 
 from __future__ import annotations
@@ -35,12 +35,15 @@ CLASSES = {
     "lower": (re.compile(r"[a-z0-9]+"), 20, 3.6),
     "upper": (re.compile(r"[A-Z0-9]+"), 20, 3.6),
     "base64": (re.compile(r"[A-Za-z0-9+/_-]+"), 20, 3.9),
+    "encoded": (re.compile(r"eyJ[A-Za-z0-9_-]+"), 20, 3.2),  # an encoded object, as tokens in three parts begin with
 }
-# What is cut out of a candidate, the words with the letters and digits around them.
-CUTS = re.compile(r"=+|(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])|0000+|1234567[0-9]*|your[_-]|(example|sample|placeholder|dummy|changeme|xxxx)", re.I)
+# Placeholders, and what is cut out of a candidate.
+PLACEHOLDER = r"(?:example|sample|placeholder|dummy|changeme|your|x{4,}+|0{4,}+|1234567[0-9]*+)"
+CUTS = re.compile(rf"=+|(?<![0-9a-fA-F])[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}(?![0-9a-fA-F])|(?<![A-Za-z0-9]){PLACEHOLDER}(?![A-Za-z0-9])", re.I)
 ALLOWED = (
     re.compile(r"[^0-9]*"),
     re.compile(r"[0-9+/_=-]*"),
+    re.compile(rf"(?:{PLACEHOLDER}|(?:key|secret|token|password)|[+/_=-])*", re.I),
     re.compile(r"(?=.*[/_-])[/_-]*([a-z]+|[A-Z][a-z]*|[0-9]{1,4})([/_-]+([a-z]+|[A-Z][a-z]*|[0-9]{1,4}))*[/_-]*"),
     re.compile(r"([A-Z]?[a-z]{2,}[0-9]{1,4}[/_-]*)+([A-Z]?[a-z]*)|([A-Z]{3,}[0-9]{1,4}[/_-]*)+[A-Z]*"),
 )
@@ -84,16 +87,8 @@ def pieces(candidate: str) -> list[tuple[int, int]]:
     """Stretches of a candidate between what is cut out of it."""
     out, at = [], 0
     for m in CUTS.finditer(candidate):
-        a, b = m.span()
-        if m.group(1):
-            if a < at:
-                continue  # in a word that is gone already
-            while a > at and candidate[a - 1].isalnum():
-                a -= 1
-            word = ALNUM.match(candidate, b)
-            b = word.end() if word else b
-        out.append((at, a))
-        at = max(at, b)
+        out.append((at, m.start()))
+        at = m.end()
     out.append((at, len(candidate)))
     return out
 

@@ -61,29 +61,87 @@ def test_what_stands_beside_a_key_does_not_hide_it():
             assert text[a:b].endswith(key[-20:]) and len(text[:a]) >= 4 and key in text[a:b] or key.startswith("wJ8r")
 
 
+def test_nothing_is_cut_inside_of_a_key():
+    for key in ("Zq8LmX21234567cK9wPs3HdT", "k3j9x70000m5v8b1n6c4z0l7", "exampleZq8LmX2vR7tYb4NcK9wPs", "Q7XK2M9VDUMMYTN8RZ1HW6C4", "pQ4xxxxZq8LmX2vR7tYb4NcK9"):
+        assert S.method_spans(f"use {key} here") == [("entropy", 4, 4 + len(key))], key
+    parts = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"
+    assert [parts[a:b] for _, a, b in S.method_spans(parts)] == parts.split(".")
+    for plain in ("your-secret-token-1234567890-here", "xxxxxxxxxxxxxxxx-0000000000-key", "example_sample_dummy_12345678", "EXAMPLEKEY-xxxxxxxx-00000000"):
+        assert S.method_spans(f"use {plain} here") == [], plain
+
+
+WINDOWS = (("0123456789abcdefABCDEF", "", 20, 3.0), ("abcdefghijklmnopqrstuvwxyz0123456789", "", 20, 3.6), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "", 20, 3.6), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "", 20, 3.9), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-", "eyJ", 20, 3.2))
+
+
+def brute_pieces(candidate):
+    """Assignment signs, UUIDs and placeholders between other signs are taken out, one split after the other."""
+    uuid = r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
+    gone = set()
+    for m in re.finditer(uuid, candidate):
+        gone |= set(range(m.start(), m.end()))
+    for m in re.finditer(r"[A-Za-z0-9]+", candidate):
+        w = m[0].lower()
+        if w in ("example", "sample", "placeholder", "dummy", "changeme", "your") or (len(w) > 3 and set(w) in ({"x"}, {"0"})) or (w.startswith("1234567") and w.isdigit()):
+            gone |= set(range(m.start(), m.end()))
+    gone |= {i for i, c in enumerate(candidate) if c == "="}
+    at = 0
+    for i in range(len(candidate) + 1):
+        if i == len(candidate) or i in gone:
+            yield at, i
+            at = i + 1
+
+
+def brute_allowed(span):
+    words = [w for w in re.split(r"[+/_=-]+", span) if w]
+    named = re.compile(r"(?:example|sample|placeholder|dummy|changeme|your|key|secret|token|password|x{4,}|0{4,}|1234567[0-9]*)*", re.I)
+    if not any(c.isdigit() for c in span) or all(w.isdigit() for w in words) or all(named.fullmatch(w) for w in words):
+        return True
+    if "+" in span or "=" in span:
+        return False
+    simple = [bool(re.fullmatch(r"[a-z]+|[A-Z][a-z]*|[0-9]{1,4}", w)) for w in words]
+    if all(simple) and any(c in "/_-" for c in span):
+        return True
+    return bool(re.fullmatch(r"(?:[A-Z]?[a-z]{2,}[0-9]{1,4}[/_-]*)+(?:[A-Z]?[a-z]*)|(?:[A-Z]{3,}[0-9]{1,4}[/_-]*)+[A-Z]*", span))
+
+
+def brute_runs(piece, letters, start):
+    """Longest runs of some letters; with a ``start``, from each place where that stands in what earlier runs leave."""
+    i = 0
+    while i < len(piece):
+        if piece[i] in letters and piece.startswith(start, i):
+            j = i
+            while j < len(piece) and piece[j] in letters:
+                j += 1
+            if j > i + len(start):
+                yield i, piece[i:j]
+            i = max(j, i + 1)
+        else:
+            i += 1
+
+
 def brute_method(text):
-    """Windows one by one, on the pieces that the cuts leave."""
+    """Windows one by one; cuts, classes and allow-list are read a second time, from their description."""
     on = [False] * len(text)
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
-        for x, y in S.pieces(m[0]):
+        for x, y in brute_pieces(m[0]):
             piece, at = m[0][x:y], m.start() + x
-            if S.allowed(piece):
+            if brute_allowed(piece):
                 continue
-            for runs, window, least in S.CLASSES.values():
-                for run in runs.finditer(piece):
-                    for a, b in brute_entropy(run[0], window, least):
-                        a, b = a + run.start(), b + run.start()
+            for letters, start, window, least in WINDOWS:
+                for begin, run in brute_runs(piece, letters, start):
+                    for a, b in brute_entropy(run, window, least):
+                        a, b = a + begin, b + begin
                         while a and piece[a - 1] in ALNUM:
                             a -= 1
                         while b < len(piece) and piece[b] in ALNUM:
                             b += 1
-                        if not S.allowed(piece[a:b]):
+                        if not brute_allowed(piece[a:b]):
                             on[at + a : at + b] = [True] * (b - a)
     return on
 
 
 ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-PARTS = [*KEYS, "/", "=", "-", "_", " ", "sample", "0000", "word", "Name", "12", "your-", "123e4567-e89b-12d3-a456-426614174000", "f00", "+"]
+PARTS = [*KEYS, "/", "=", "-", "_", " ", "sample", "0000", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "1234567", "your", "XXXX", "key", "Example", "word", "Name", "12", "your-", "123e4567-e89b-12d3-a456-426614174000", "f00", "+"]
 
 
 @settings(max_examples=200, deadline=None)
@@ -101,7 +159,7 @@ def test_spans_that_meet_when_widened():
 
 
 def test_long_hostile_runs():
-    for run in ("xxxx" * 50_000, "a1" * 100_000, "=" * 200_000, "A" * 200_000, "00001234567" * 20_000):
+    for run in ("xxxx" * 50_000, "a1" * 100_000, "=" * 200_000, "A" * 200_000, "00001234567" * 20_000, "1234567" * 30_000 + "a1", "xxxx" * 30_000 + "1a", "xxxx0000" * 20_000 + "q", "your_" * 30_000 + "9z", "eyJ1" * 50_000):
         S.method_spans(run)
 
 
