@@ -38,6 +38,7 @@ from kindred.scratch import discard
 RADIUS, SHINGLE, SEED, PIVOTS = 2, 3, 42, 16
 MOST = 4096  # fingerprints or texts of one key that are compared together
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS, BANDS, ROWS = 5, 0.8, 20, 20, 6
+WIDE_MOST = 512  # texts of one band that are compared in one task
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Reference fingerprints: scrambled counting numbers.
 PIVOT_VALUES = mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -379,7 +380,7 @@ def cross_links(similarity: float, radius: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, most: int = MOST) -> DataFrame:
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, most: int = WIDE_MOST) -> DataFrame:
     """Edges (a, b) between ids of ``classes`` (id, at, fp, bands) that connect what similar shingle sets of one key connect;
     ``texts`` has at and text. The edges' components are the same for any ``most``.
 
@@ -455,7 +456,7 @@ def _links_in_large(high: DataFrame, sets: DataFrame, labels: DataFrame, similar
     return dealt.mapInArrow(tidily(cross_links(similarity, radius)), "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, most: int = WIDE_MOST) -> DataFrame:
     """One row of each component of near copies stays: the one with the least doc_id (nulls last), a repeated one once.
 
     Two texts are near copies if their sets of five-word shingles (lower-cased; fewer words are one shingle) have a

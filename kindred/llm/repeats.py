@@ -13,8 +13,8 @@ have equal anchors at equal places. Neighbouring windows mostly share an anchor
 3. For these runs alone the documents are read again and their windows are compared one by one, in each task first and
    then by hash, again with at most one row a window and task.
 
-Anchor and span hashes have 64 bits each and are compared together; a window has two hashes with different bases, also
-128 bits. What comes out are covered ranges of window starts.
+Spans are compared among those with one anchor, by a hash of 64 bits; windows by two hashes with different bases, 128
+bits. What comes out are covered ranges of window starts.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 A shard is one file in Arrow's stream format. Each row is a sequence of ``sequence_length`` ids with a mask of equal
 length, each record batch but the last has ``batch_rows`` rows; the ids of consecutive documents follow one another
-without gaps and only the last row of a shard is padded (mask false). Rows have equal length, so the place of any
+without gaps and only the last row of a shard is padded (mask false). Shards have about ``SHARD_IDS`` ids at most, a document is never cut
+between two. Rows have equal length, so the place of any
 sequence or document follows from its number, and a memory map serves it without a copy.
 """
 
@@ -21,10 +22,12 @@ from kindred.llm.common import materialise, partitions, scratch_path, tidily
 from kindred.llm.tokens import default_vocabulary, text_slices, tokenizer
 
 SEQUENCE, BATCH_ROWS = 2048, 64
+SHARD_IDS = 1 << 26  # ids after which a task begins its next shard
+PARTS = 1 << 16  # shards of one task, at most
 
 
 def shard_name(shard: int) -> str:
-    return f"shard-{shard:06d}.arrows"
+    return f"shard-{shard:011d}.arrows"
 
 
 def file_system(uri: str):
@@ -78,6 +81,17 @@ class ShardWriter:
         self.fs.move(self.temporary, self.final)
 
 
+def sweep(folder: str) -> None:
+    """Delete what lost attempts have left of shards."""
+    from pyarrow import fs
+
+    files, base = file_system(folder)
+    if files.get_file_info(base).type == fs.FileType.Directory:
+        for f in files.get_file_info(fs.FileSelector(base)):
+            if f.base_name.startswith(".shard-"):
+                files.delete_file(f.path)
+
+
 class TokenShard:
     """Random access to a shard. On a local file system the ids are views of the memory map."""
 
@@ -112,37 +126,41 @@ class TokenShard:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else self.views[0][:0]
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 2, sequence: int = SEQUENCE) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 2, sequence: int = SEQUENCE, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the ids of all documents in ascending doc_id order.
 
     Returns the index, already written: doc_id, shard, position (of its first id in the shard), n_tokens, start (ids
     of all documents before it). Null texts are empty and have the end id alone. A null doc_id comes first; rows with
     one doc_id follow each other by text. An empty table gives no files and no rows. Other columns are ignored.
 
-    The texts are dealt by range over the shards, so the order holds across them without a sort in one place, and a
-    retried task writes the same shard under the same name. Ids take two bytes where the vocabulary allows it.
+    The texts are dealt by range over the tasks, so the order holds across them without a sort in one place. A task begins a
+    next shard after ``shard_ids`` ids, and a retried one writes the same shards under the same names. Ids take two bytes where the vocabulary allows it.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder, writer, place = TaskContext.get().partitionId(), tokenizer(vocabulary), None, 0
+        shard, encoder, writer, place = TaskContext.get().partitionId() * PARTS, tokenizer(vocabulary), None, 0
         kind = np.dtype(np.uint16 if max(encoder.size - 1, end_id) < 1 << 16 else np.uint32)
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most=min(shard_ids, 4 << 20)):
                 ids, bounds = encoder.encode(batch.column("text"))
                 n = np.diff(bounds) + 1
+                if writer and place >= shard_ids:
+                    writer.close()
+                    writer, shard, place = None, shard + 1, 0
                 writer = writer or ShardWriter(folder, shard, kind, sequence)
                 writer.append(np.insert(ids, bounds[1:], end_id))
-                yield pa.record_batch([batch.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(place + np.cumsum(n) - n), pa.array(n)], names=["doc_id", "shard", "position", "n_tokens"])
+                yield pa.record_batch([batch.column("doc_id"), pa.array(np.full(len(n), shard, np.int64)), pa.array(place + np.cumsum(n) - n), pa.array(n)], names=["doc_id", "shard", "position", "n_tokens"])
                 place += int(n.sum())
         if writer:
             writer.close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = texts.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    index = materialise(dealt.mapInArrow(tidily(write), "doc_id long, shard int, position long, n_tokens long"), "index")
+    index = materialise(dealt.mapInArrow(tidily(write), "doc_id long, shard long, position long, n_tokens long"), "index")
+    sweep(folder)
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))  # one row a shard
     return index.join(before, "shard").select("doc_id", "shard", "position", "n_tokens", (F.col("base") + F.col("position")).alias("start"))
@@ -161,7 +179,7 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
                 crc.append(zlib.crc32(opened[1].tokens(at, n).astype("<u4").tobytes()))
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "shard", "position")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "shard", "position", "ids_crc32"])
 
-    return index.select("doc_id", "start", "n_tokens", "shard", "position").mapInArrow(tidily(read), "doc_id long, start long, n_tokens long, shard int, position long, ids_crc32 long")
+    return index.select("doc_id", "start", "n_tokens", "shard", "position").mapInArrow(tidily(read), "doc_id long, start long, n_tokens long, shard long, position long, ids_crc32 long")
 
 
 def op1_token_output(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,25 @@ def test_op1_with_repeats_and_null_ids(spark, docs, rows, tmp_path):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
 
 
+def test_shards_have_a_bounded_length(spark, docs, rows, encoder, tmp_path):
+    """A task rolls over to a next shard; order, starts and ids are those of one long shard, and nothing of lost attempts stays."""
+    one, many = f"file://{tmp_path}/one", f"file://{tmp_path}/many"
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / ".shard-00000000000.arrows.lost").write_bytes(b"x")
+    long = spark.createDataFrame([(10**6, "some long text " * 400_000)], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(long)
+    a = token_output.read_tokens(token_output.write_tokens(table, one), one).collect()
+    b = token_output.read_tokens(token_output.write_tokens(table, many, shard_ids=3000), many).collect()
+    key = lambda r: (r["start"], r["n_tokens"], r["ids_crc32"])
+    assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) == len(rows) + 1
+    assert len({r["shard"] for r in b}) > 2 * len({r["shard"] for r in a})
+    names = sorted(p.name for p in (tmp_path / "many").iterdir())
+    assert len(names) == len({r["shard"] for r in b}) and not any(n.startswith(".") and n.endswith("lost") for n in names)
+    assert max(r["n_tokens"] for r in b) == 3 * 400_000 + 1
+    for r in b:
+        assert r["position"] < 3000 + max(x["n_tokens"] for x in b)
+
+
 def test_shards_are_read_without_a_copy(tmp_path):
     folder = f"file://{tmp_path}"
     ids = np.random.default_rng(1).integers(0, 49000, 10_000)
