@@ -9,12 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.config import DEFAULT, Profile
-from kindred.operators import classify, finder, graph, kernels, match
+from kindred.operators import classify, finder, graph, match, scoring
 from kindred.schema import EXCLUDES
 from kindred.scratch import materialise
 from kindred.sources import images as image_source
@@ -43,22 +42,9 @@ def load(spark: SparkSession, roots: list[tuple[str, str]], run_id: str, exclude
     return materialise(union(parts), "images"), union(rasters), union(errors)
 
 
-def score(pairs: DataFrame, rasters: DataFrame, edge: int | None) -> DataFrame:
-    """Adds score and error to pairs (c_id, b_id); a failed pair has a null score and its message."""
-    side = lambda s: rasters.select(F.col("image_id").alias(f"{s}_id"), F.struct("data", "h", "w", "n").alias(s))
-
-    @F.pandas_udf("struct<score:double,error:string>")
-    def similarity(c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(c.itertuples(index=False), b.itertuples(index=False), strict=True):
-            try:
-                rows.append((kernels.pair_ssim(*(image_source.raster(r.data, int(r.h), int(r.w), int(r.n)) for r in (x, y)), edge), None))
-            except ValueError as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["score", "error"])
-
-    joined = pairs.join(side("c"), "c_id").join(side("b"), "b_id").withColumn("s", similarity("c", "b"))
-    return materialise(joined.select(*pairs.columns, F.col("s.score").alias("score"), F.col("s.error").alias("error")), "scores")
+def score(pairs: DataFrame, rasters: DataFrame, images: DataFrame, edge: int | None, counter=None) -> DataFrame:
+    """Adds score and error to pairs (c_id, b_id); a failed pair has a null score and its message. See ``scoring.score``."""
+    return scoring.score(pairs, rasters, images.select("image_id", "width", "height"), edge, counter)
 
 
 def compare(spark: SparkSession, baseline: str, comparisons: list[str], profile: Profile = DEFAULT, allow_internal: bool = False, run_id: str = "run", excludes=EXCLUDES) -> Run:
@@ -88,7 +74,7 @@ def compare(spark: SparkSession, baseline: str, comparisons: list[str], profile:
     found = match.candidates(rest, b, profile)
     top = materialise(match.top_candidates(found.filter("c_id <> b_id"), profile.top_k), "top")
     wanted = top if profile.score_scope == "all" else top.filter("rank = 1")
-    scores = score(wanted.select("c_id", "b_id"), rasters, profile.longest_edge).select("c_id", "b_id", "score")
+    scores = score(wanted.select("c_id", "b_id"), rasters, images, profile.longest_edge).select("c_id", "b_id", "score")
     sizes = b.select(F.col("image_id").alias("b_id"), F.col("width").alias("b_width"), F.col("height").alias("b_height"), F.col("file_size").alias("b_file_size"))
     scored = top.join(scores, ["c_id", "b_id"], "left").join(sizes, "b_id").withColumn("exact", F.lit(False))
     classes = classify.classify(rest, scored, profile).select("image_id", "analysis_type", "primary_id", "phash_distance", "score")
@@ -105,7 +91,7 @@ def groups(run: Run, distance: int = DEFAULT.group_distance) -> DataFrame:
 def group_scores(run: Run, members: DataFrame, edge: int = 900) -> DataFrame:
     """(component, left_id, right_id, score, error) of the pairs inside groups that are worth a score; each is scored once."""
     pairs = graph.plan_pairs(members).select("component", F.col("left_id").alias("c_id"), F.col("right_id").alias("b_id"))
-    scored = score(pairs, run.rasters, edge)
+    scored = score(pairs, run.rasters, run.images, edge)
     return scored.select("component", F.col("c_id").alias("left_id"), F.col("b_id").alias("right_id"), "score", "error")
 
 
@@ -130,9 +116,10 @@ def search(spark: SparkSession, references: list[str], targets: list[str], profi
     images, rasters, _ = load(spark, [("reference", r) for r in references] + [("target", t) for t in targets], "search", excludes=())
     r, t = images.filter("role = 'reference'"), images.filter("role = 'target'")
     # near pairs that differ in content are scored at full size; errors count as 0
-    pairs = finder.relations(t, r, F.lit(0.0), profile).filter(~F.col("same")).select(F.col("t_image_id").alias("c_id"), F.col("r_image_id").alias("b_id"))
-    scores = score(pairs, rasters, None).select(F.col("c_id").alias("t_image_id"), F.col("b_id").alias("r_image_id"), F.col("score").alias("found"))
-    related = finder.relations(t, r, F.lit(0.0), profile).join(scores, ["t_image_id", "r_image_id"], "left")
+    related = materialise(finder.relations(t, r, F.lit(0.0), profile), "relations")
+    pairs = related.filter(~F.col("same")).select(F.col("t_image_id").alias("c_id"), F.col("r_image_id").alias("b_id"))
+    scores = score(pairs, rasters, images, None).select(F.col("c_id").alias("t_image_id"), F.col("b_id").alias("r_image_id"), F.col("score").alias("found"))
+    related = related.join(scores, ["t_image_id", "r_image_id"], "left")
     px = lambda s: F.col(f"{s}_width").cast("double") * F.col(f"{s}_height")
     value = F.when(F.col("same"), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0)))
     related = related.withColumn("score", value).withColumn("classification", classify.relation(F.col("same"), F.col("distance"), F.col("score"), px("t") / F.greatest(px("r"), F.lit(1.0)), profile))
