@@ -8,7 +8,7 @@ holds one cell's images while the cell's pairs pass by.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +60,7 @@ def prepared(rasters: DataFrame, jobs: DataFrame, counter=None) -> DataFrame:
     return found.mapInArrow(run, "image_id long, w int, h int, gray binary, error string")
 
 
-def _compare():
+def _compare(counters=None):
     """Scores of the pairs of one cell after another; rows are sorted by cell, the cell's images come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +83,8 @@ def _compare():
                         score = kernels.ssim(a[0], b[0])
                     except ValueError as e:
                         message = str(e)
+                if counters is not None:
+                    counters["computed" if message is None else "skipped"].add(1)
                 rows.append(k)
                 scores.append(score)
                 messages.append(message)
@@ -91,13 +93,19 @@ def _compare():
     return run
 
 
-def score(pairs: DataFrame, rasters: DataFrame, sizes: DataFrame, edge: int | None, counter=None, line: int = LINE) -> DataFrame:
+def score(pairs: DataFrame, rasters: DataFrame | Callable[[DataFrame], DataFrame], sizes: DataFrame, edge: int | None, counters=None, line: int = LINE) -> DataFrame:
     """Adds score and error to ``pairs`` (c_id, b_id, ...); a failed pair has a null score and its message. A written table.
 
+    ``rasters`` are image_id, data, h, w, n, or a function that gives them for ids: it is asked for what the pairs need, and not at all where there are no pairs.
+    ``counters`` (``progress.Counters``) get what is resized, computed and skipped.
+
     Pairs of images that are not in ``sizes`` (image_id, width, height) are left out; images without a raster fail. Repeated pairs each have their row.
     """
     sized = materialise(sized_pairs(pairs, sizes, edge), "pairs")
-    ready = materialise(prepared(rasters, decode_jobs(sized), counter), "prepared")
+    if sized.isEmpty():
+        return materialise(sized.select("row.*", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("error")), "scores")
+    jobs = materialise(decode_jobs(sized), "jobs")
+    ready = materialise(prepared(rasters(jobs) if callable(rasters) else rasters, jobs, None if counters is None else counters["resized"]), "prepared")
     found = materialise(graph.roots(sized.select(F.col("c_id").alias("a"), F.col("b_id").alias("b"))), "components")
     of = lambda name: found.select(F.col("v").alias(name), "root")
     x = sized.join(of("c_id"), "c_id", "left").withColumn("component", F.coalesce("root", "c_id")).drop("root")
@@ -111,8 +119,8 @@ def score(pairs: DataFrame, rasters: DataFrame, sizes: DataFrame, edge: int | No
     passing = x.select("component", "i", "j", F.col("c_id").alias("image_id"), "b_id", "w", "h", F.lit(None).cast("binary").alias("gray"), F.lit(None).cast("string").alias("error"), "row")
     dealt = images.unionByName(passing).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
     dealt = dealt.sortWithinPartitions("component", "i", "j", F.col("b_id").isNotNull())
-    scored = dealt.mapInArrow(_compare(), f"row {kind.simpleString()}, score double, error string")
+    scored = dealt.mapInArrow(_compare(counters), f"row {kind.simpleString()}, score double, error string")
     out = materialise(scored.select("row.*", "score", "error"), "scores")
-    for table in (ready, found, sized):
+    for table in (ready, found, sized, jobs):
         discard(table)
     return out

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
+from kindred.progress import Counters
+
 
 class Cancelled(RuntimeError):
     """The request was cancelled before it was done."""
@@ -20,6 +22,7 @@ class Request:
     kind: str
     cancelled: threading.Event = field(default_factory=threading.Event)
     status: str = "running"  # running, completed, cancelled, failed
+    counters: Counters | None = None
 
 
 class Requests:
@@ -31,8 +34,9 @@ class Requests:
         self._foreground: dict[str, str] = {}
 
     def run(self, kind: str, work: Callable, request_id: str | None = None, foreground: bool = True):
-        """``work(check)`` in this thread; ``check()`` raises between its jobs once the request is cancelled."""
-        request = Request(request_id or uuid.uuid4().hex, kind)
+        """``work(check)`` in this thread; ``check()`` raises between its jobs once the request is cancelled, and what the work hands to
+        ``check.counters`` shows in the progress."""
+        request = Request(request_id or uuid.uuid4().hex, kind, counters=Counters(self.spark))
         with self._lock:
             if request.request_id in self._known:
                 raise ValueError(f"{request.request_id} exists")
@@ -49,6 +53,7 @@ class Requests:
             if request.cancelled.is_set():
                 raise Cancelled(request.request_id)
 
+        check.counters = request.counters
         try:
             sc.setJobGroup(request.request_id, kind, interruptOnCancel=True)
             check()
@@ -87,7 +92,7 @@ class Requests:
             del self._known[request_id]
 
     def progress(self, request_id: str) -> dict:
-        """kind, status, and the jobs and tasks that Spark still knows of: tasks, done, failed and the percentage done."""
+        """kind, status, the counters, and the jobs and tasks that Spark still knows of: tasks, done, failed and the percentage done."""
         request, tracker = self._known[request_id], self.spark.sparkContext.statusTracker()
         jobs = [j for j in (tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup(request_id)) if j]
         stages = {i: j.status for j in jobs for i in j.stageIds}
@@ -95,4 +100,4 @@ class Requests:
         # a stage that a finished job did not need has no tasks of its own
         parts = [s for s, status in known if status == "RUNNING" or s.numCompletedTasks or s.numFailedTasks]
         tasks, done = sum(s.numTasks for s in parts), sum(s.numCompletedTasks for s in parts)
-        return {"kind": request.kind, "status": request.status, "jobs": len(jobs), "tasks": tasks, "done": done, "failed": sum(s.numFailedTasks for s in parts), "percent": round(done / tasks * 100) if tasks else 0}
+        return {"kind": request.kind, "status": request.status, "jobs": len(jobs), "tasks": tasks, "done": done, "failed": sum(s.numFailedTasks for s in parts), "percent": round(done / tasks * 100) if tasks else 0, "counters": request.counters.values()}

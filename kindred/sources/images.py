@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,83 @@ def decoded(spark: SparkSession, root: str, excludes=EXCLUDES) -> DataFrame:
     return files.join(pixels.withColumn("key", plain(F.col("origin"))), plain(F.col("path")) == F.col("key"), "left").drop("key", "origin")
 
 
+FEW_FILES = 1000  # files that are read by their names rather than with all of their root
+
+
+def _pixels(spark: SparkSession, roots: list[str], names: list[str] | None = None) -> DataFrame:
+    """key (plain path), h, w, n, data of what the image source can decode below ``roots``, or of the files ``names``."""
+    reader = spark.read.format("image").option("dropInvalid", "false")
+    images = reader.load(names) if names is not None else reader.option("recursiveFileLookup", "true").load(roots)
+    i = F.col("image")
+    return images.select(plain(i["origin"]).alias("key"), i["height"].alias("h"), i["width"].alias("w"), i["nChannels"].alias("n"), i["data"].alias("data")).filter("h > 0")
+
+
+def plain(path) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def scan_features(spark: SparkSession, root: str, excludes=EXCLUDES, algorithm: str = "sha256", only: DataFrame | None = None, counters=None) -> DataFrame:
+    """The rows of ``features`` for the image files below a root, or for those of ``only`` (path, size, mtime).
+
+    Digests are taken where files are read and hashes where they are decoded; what is joined are rows of features, never contents or
+    pixels.
+    """
+    from kindred.sources.listing import scan
+
+    names = None
+    if only is not None:
+        few = [r["path"] for r in only.select("path").limit(FEW_FILES + 1).collect()]
+        if not few:
+            return spark.createDataFrame([], FEATURES)
+        names = few if len(few) <= FEW_FILES else None
+    if names is None:
+        files = scan(spark, root, excludes, content=True)
+        files = files if only is None else files.join(only.select("path"), "path", "left_semi")
+    else:
+        files = spark.read.format("binaryFile").load(names).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content")
+    taken = files.select("path", "size", "mtime", F.sha2("content", 256).alias("digest") if algorithm == "sha256" else _digests(algorithm)("content").alias("digest"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if counters is not None:
+                counters["decoded"].add(len(b))
+            hashes = [kernels.phash(raster(x.data, int(x.h), int(x.w), int(x.n))) for x in b.itertuples(index=False)]
+            yield pd.DataFrame({"key": b["key"], "width": b["w"].astype("Int32"), "height": b["h"].astype("Int32"), "color_type": [_COLORS.get(int(n), str(int(n))) for n in b["n"]], "phash": hashes})
+
+    pixels = _pixels(spark, [root], names)
+    if names is None and only is not None:
+        pixels = pixels.join(only.select(plain(F.col("path")).alias("key")), "key", "left_semi")
+    hashed = pixels.mapInPandas(run, "key string, width int, height int, color_type string, phash string")
+    x = taken.join(hashed, plain(F.col("path")) == F.col("key"), "left")
+    failed = F.col("phash").isNull()
+    return x.select("path", "size", "mtime", "width", "height", F.lower(paths.extension(F.col("path"))).alias("format"), "color_type", F.when(~failed, F.col("digest")).alias("digest"), "phash", F.when(failed, "the file can't be decoded").alias("error"))
+
+
+def _digests(algorithm: str):
+    @F.pandas_udf(T.StringType())
+    def one(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: digest(bytes(c), algorithm))
+
+    return one
+
+
+def rasters_of(spark: SparkSession, images: DataFrame, roots: list[str], counters=None):
+    """A function of image ids (image_id) that decodes these images and no others: image_id, data, h, w, n."""
+
+    def of(ids: DataFrame) -> DataFrame:
+        wanted = images.join(ids.select("image_id").distinct(), "image_id", "left_semi").select("image_id", "path")
+        few = wanted.limit(FEW_FILES + 1).collect()
+        pixels = _pixels(spark, roots, [r["path"] for r in few] if len(few) <= FEW_FILES else None) if few else None
+        if pixels is None:
+            return spark.createDataFrame([], "image_id long, data binary, h int, w int, n int")
+        if counters is not None:
+            counters.add(decoded=len(few) if len(few) <= FEW_FILES else wanted.count())
+        keyed = (spark.createDataFrame([tuple(r) for r in few], "image_id long, path string") if len(few) <= FEW_FILES else wanted).select("image_id", plain(F.col("path")).alias("key"))
+        return F.broadcast(keyed).join(pixels, "key").drop("key") if len(few) <= FEW_FILES else keyed.join(pixels, "key").drop("key")
+
+    return of
+
+
 def raster(data, h: int, w: int, n: int) -> np.ndarray:
     """An RGB(A) or gray array of the image source's bytes."""
     a = np.frombuffer(data, np.uint8).reshape(h, w, n)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import pipeline
+from kindred.cache import Cache
 from kindred.config import DEFAULT, Profile, guard_ids
 from kindred.operators import events, fileops, graph, stats
 from kindred.schema import RUN_STATUS
@@ -54,6 +55,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, trash: str | None = None, profile: Profile = DEFAULT):
         self.spark, self.root, self.trash, self.profile = spark, root.rstrip("/"), trash, profile
+        self.cache = Cache(spark, f"{self.root}/cache")
         self._lock, self._last = threading.Lock(), 0
 
     # tables
@@ -139,10 +141,12 @@ class Store:
                 raise OSError(f"{table} of {run_id} could not be deleted")
 
     def compare(self, baseline: str, comparisons: list[str], run_id: str | None = None, **options) -> tuple[str, pipeline.Run]:
-        """``pipeline.compare`` with its status, images, results and errors kept. A failure is a status too."""
+        """``pipeline.compare`` with its status, images, results and errors kept. A failure is a status too. What earlier runs
+        have decoded and scored is not done again (``cache=None`` does it anew)."""
         run_id = self.start(baseline, comparisons, run_id)
         try:
             self.set_status(run_id, "indexing")
+            options.setdefault("cache", self.cache)
             run = pipeline.compare(self.spark, baseline, comparisons, self.profile, run_id=run_id, **options)
             self.append("images", run.images, run_id)
             self.append("results", stats.numbered(run.results, "image_id", name="result_id"), run_id)
@@ -278,14 +282,14 @@ class Store:
         known = self.read("scored_groups", run_id).filter(F.col("profile_id") == self.profile.profile_id).select("signature")
         return graph.group_statuses(graph.signatures(members), known, running)
 
-    def fill_groups(self, run_id: str, run: pipeline.Run, members: DataFrame, after: list[int] = (), most: int | None = None) -> DataFrame:
+    def fill_groups(self, run_id: str, run: pipeline.Run, members: DataFrame, after: list[int] = (), most: int | None = None, counters=None) -> DataFrame:
         """Scores the groups that have none yet, in their order after the current ones (``most`` at a time), and keeps those
         without a failed pair. Returns (component, left_id, right_id, score, error) of what was scored now."""
         todo = self.group_statuses(run_id, members).filter("status = 'pending'")
         todo = graph.backfill_order(todo, list(after))
         todo = todo if most is None else todo.filter(F.col("position") <= most)
         mine = members.join(todo.select("group_index", "signature"), "group_index")
-        scores = pipeline.group_scores(run, mine)
+        scores = pipeline.group_scores(run, mine, counters=counters)
         of = mine.groupBy("component").agg(F.first("signature").alias("signature"))
         failed = scores.filter("score is null or error is not null").select("component").distinct()
         whole = of.join(failed, "component", "left_anti")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import kernels, scoring
+from kindred.progress import Counters
 from tests.test_files import picture
 
 
@@ -23,7 +24,7 @@ def test_scores_and_resizes(spark, edge, line):
     images, rasters, sizes = world(spark, 14)
     pairs = [(a, b) for a, b in itertools.combinations(range(10), 2)] + [(12, 13), (12, 12), (3, 1)]
     df = spark.createDataFrame([(*p, f"n{k}") for k, p in enumerate(pairs)], "c_id long, b_id long, row string").repartition(5)
-    count = spark.sparkContext.accumulator(0)
+    count = Counters(spark)
     got = {r["row"]: r for r in scoring.score(df, rasters, sizes, edge, count, line).collect()}
     assert len(got) == len(pairs)
     resized = set()
@@ -31,7 +32,7 @@ def test_scores_and_resizes(spark, edge, line):
         assert got[f"n{k}"]["score"] == kernels.pair_ssim(images[a], images[b], edge) and got[f"n{k}"]["error"] is None
         target = kernels.target_size(images[a].shape[1::-1], images[b].shape[1::-1], edge)
         resized |= {(a, target), (b, target)}
-    assert count.value == len(resized)
+    assert count["resized"].value == len(resized) and count["computed"].value == len(pairs)
 
 
 def test_an_image_travels_once_in_a_small_component(spark):
