@@ -278,8 +278,8 @@ def assign_thumbnails(members: DataFrame, scores: DataFrame) -> DataFrame:
     x = x.withColumn("way", way).withColumn("cross", F.col("scored.cross")).withColumn("o_id", F.coalesce("scored.o_id", "referred", "named", "best"))
     stored = F.when(F.col("o_id") == F.col("effective_reference_id"), F.col("score"))
     out = x.withColumn("similarity", F.coalesce("cross", stored))
-    place = Window.partitionBy("o_id").orderBy(F.coalesce("similarity", F.lit(0.0)).desc(), "relative_path")
-    return out.select("component", "image_id", F.col("o_id").alias("original_id"), "way", "similarity", F.row_number().over(place).cast("long").alias("place"))
+    out = stats.numbered_within(out, ["o_id"], F.coalesce("similarity", F.lit(0.0)).desc(), "relative_path", name="place")
+    return out.select("component", "image_id", F.col("o_id").alias("original_id"), "way", "similarity", "place")
 
 
 def merge_groups(members: DataFrame, merges: DataFrame) -> DataFrame:
@@ -291,9 +291,9 @@ def merge_groups(members: DataFrame, merges: DataFrame) -> DataFrame:
     key = F.when(F.col("merged"), F.concat(F.lit("m"), F.col("merge_id").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("group_index").cast("string")))
     x = x.withColumn("display", key)
     firsts = x.groupBy("display").agg(F.min("group_index").alias("first_source"))
-    numbered = firsts.select("display", F.row_number().over(Window.orderBy("first_source", "display")).cast("long").alias("new_index"))
-    best = Window.partitionBy("display").orderBy(*quality_order())
-    return x.join(numbered, "display").withColumn("representative_id", F.first("image_id").over(best))
+    places = stats.numbered(firsts, "first_source", "display", name="new_index").select("display", "new_index")
+    best = x.groupBy("display").agg(F.min_by("image_id", own_quality()).alias("representative_id"))
+    return x.join(places, "display").join(best, "display")
 
 
 def backfill_order(groups_: DataFrame, after: list[int]) -> DataFrame:
@@ -303,7 +303,7 @@ def backfill_order(groups_: DataFrame, after: list[int]) -> DataFrame:
     x = groups_.filter("n >= 2")
     if len(set(after)) == 1:
         x = x.filter(F.col("group_index") != last)
-    return x.withColumn("position", F.row_number().over(Window.orderBy(F.when(F.col("group_index") > last, 0).otherwise(1), "group_index")).cast("long"))
+    return stats.numbered(x, F.when(F.col("group_index") > last, 0).otherwise(1), "group_index")
 
 
 def signatures(members: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import paths
 from kindred.schema import ANALYSIS
-from kindred.scratch import materialise
+from kindred.scratch import discard, materialise
 
 
 def class_counts(results: DataFrame) -> DataFrame:
@@ -32,15 +32,23 @@ def page_of(index: Column, size: int = 100) -> Column:
     return F.floor(index / size) + 1
 
 
-def running(df: DataFrame, value: Column, *order: Column | str, name: str) -> DataFrame:
+FEW = 100_000  # rows that one task may put in order
+
+
+def running(df: DataFrame, value: Column, *order: Column | str, name: str, few: int = FEW) -> DataFrame:
     """Adds the sum of ``value`` over all rows up to each row in the order.
 
-    Rows are dealt out by ranges of the order, each range is summed by its own task, and the ranges' totals (one row a
-    partition) give the offsets; no task sees the whole table.
+    Rows are written and counted once. Of more than ``few`` rows, each range of the order is summed by its own task, and the ranges'
+    totals (one row a partition) give the offsets; no task sees the whole table.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = materialise(df.withColumn("_value", value).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    n, seen = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), Observation()
+    rows = materialise(df.withColumn("_value", value).observe(seen, F.count("*").alias("n")), "rows")
+    if seen.get["n"] <= few:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.sum("_value").over(upto).cast("long")).drop("_value")
+    ranges = materialise(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    discard(rows)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.groupBy("_part").agg(F.sum("_value").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,9 +56,17 @@ def running(df: DataFrame, value: Column, *order: Column | str, name: str) -> Da
     return summed.join(F.broadcast(offsets), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_value", "_before")
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, name: str = "position", few: int = FEW) -> DataFrame:
     """Adds the 1-based position in an order."""
-    return running(df, F.lit(1).cast("long"), *order, name=name)
+    return running(df, F.lit(1).cast("long"), *order, name=name, few=few)
+
+
+def numbered_within(df: DataFrame, keys: list[str], *order: Column | str, name: str = "place", few: int = FEW) -> DataFrame:
+    """Adds the 1-based position in an order among the rows with equal ``keys`` (none null): the position among all rows, less
+    that before the first of its keys. A key with most of the rows is spread like any other."""
+    x = numbered(df, *keys, *order, name="_position", few=few)
+    first = x.groupBy(*keys).agg(F.min("_position").alias("_first"))
+    return x.join(first, keys).withColumn(name, F.col("_position") - F.col("_first") + 1).drop("_position", "_first")
 
 
 def reorder(position: Column, source: int, target: int) -> Column:

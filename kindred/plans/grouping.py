@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import measures
 from kindred.operators import finder, graph, stats
-from kindred.plans.bindings import GROUPS, IMAGES, SCORE, images, pair_score
+from kindred.plans.bindings import GROUPS, IMAGES, SCORE, images, operations, pair_score
 from kindred.plans.matching import RESULTS_ALL, results
 from kindred.plans.registry import query
 from kindred.scratch import materialise
@@ -72,8 +72,8 @@ def comparison_groups(spark, sf_dir):
 
 @query("group_members", f"{RECURSIVE} {RESULTS_ALL}, {COMPONENTS}, {GROUPED}, {ROLES} SELECT group_index, image_id, member_role, low_quality, cluster_key, effective_reference_id, score, row_number() OVER (PARTITION BY group_index ORDER BY cluster_key, member_role, relative_path) AS place FROM roles")
 def group_members(spark, sf_dir):
-    place = Window.partitionBy("group_index").orderBy("cluster_key", "member_role", "relative_path")
-    return roles(spark, sf_dir).select("group_index", "image_id", "member_role", "low_quality", "cluster_key", "effective_reference_id", "score", F.row_number().over(place).cast("long").alias("place"))
+    x = roles(spark, sf_dir).select("group_index", "image_id", "member_role", "low_quality", "cluster_key", "effective_reference_id", "score", "relative_path")
+    return stats.numbered_within(x, ["group_index"], "cluster_key", "member_role", "relative_path").drop("relative_path")
 
 
 PLAN = """
@@ -156,14 +156,18 @@ def merged_groups(spark, sf_dir):
 
 
 @query("backfill_order", f"""{RECURSIVE} {IMAGES}, {COMPONENTS}, {GROUPED}, s AS (SELECT group_index, max(n) AS n, md5(string_agg(image_id || ':' || digest, '|' ORDER BY image_id)) AS signature FROM members GROUP BY group_index),
+k AS (SELECT group_index, max(e.event_type = 'purchase') AS kept FROM members m LEFT JOIN (SELECT user_id, max(event_type) FILTER (WHERE event_type = 'purchase') AS event_type FROM events GROUP BY user_id) e ON e.user_id = m.image_id + 1 GROUP BY group_index),
 o AS (SELECT group_index, row_number() OVER (ORDER BY CASE WHEN group_index > 3 THEN 0 ELSE 1 END, group_index) AS position FROM s WHERE n >= 2 AND group_index <> 3)
-SELECT s.group_index, s.n, s.signature, o.position, CASE WHEN s.n < 2 THEN 'completed' WHEN s.group_index % 4 = 0 THEN 'completed' WHEN s.group_index = 3 THEN 'running' ELSE 'pending' END AS status FROM s LEFT JOIN o USING (group_index)""")
+SELECT s.group_index, s.n, s.signature, o.position, CASE WHEN s.n < 2 OR kept THEN 'completed' WHEN s.group_index = 3 THEN 'running' ELSE 'pending' END AS status FROM s JOIN k USING (group_index) LEFT JOIN o USING (group_index)""")
 def backfill_order(spark, sf_dir):
+    """Groups with a member whose result was restored at some time count as scored: their signatures are in the store."""
     from kindred.functions import nested
 
     _, g = grouped(spark, sf_dir)
     s = g.groupBy("group_index").agg(F.max("n").alias("n"), F.collect_list(F.struct("image_id", "digest")).alias("members")).select("group_index", "n", nested.member_signature(F.col("members")).alias("signature"))
-    cached = s.filter("group_index % 4 = 0").select("signature", F.lit(True).alias("cached"))
+    restored = operations(spark, sf_dir).filter("operation_type = 'restored'").select((F.col("result_id") - 1).alias("image_id")).distinct()
+    kept = g.join(restored, "image_id", "left_semi").select("group_index").distinct()
+    cached = s.join(kept, "group_index", "left_semi").select("signature", F.lit(True).alias("cached"))
     x = s.join(cached, "signature", "left").join(graph.backfill_order(s, [3]).select("group_index", "position"), "group_index", "left")
     status = F.when(F.col("n") < 2, "completed").when(F.col("cached"), "completed").when(F.col("group_index") == 3, "running").otherwise("pending")
     return x.select("group_index", "n", "signature", "position", status.alias("status"))
@@ -183,9 +187,8 @@ def group_statuses(spark, sf_dir):
 SELECT group_index, n, tooltip, (group_index - 1) // 100 + 1 AS page, CASE WHEN group_index - 1 = 2 THEN 6 WHEN group_index - 1 > 2 AND group_index - 1 <= 6 THEN group_index - 2 ELSE group_index - 1 END AS moved FROM s""")
 def page_groups(spark, sf_dir):
     _, g = grouped(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("group_index").orderBy(*graph.quality_order()))
     first = F.sort_array(F.collect_list(F.when(F.col("q") <= 6, F.struct("q", "relative_path"))))
-    s = g.withColumn("q", place).groupBy("group_index").agg(F.max("n").alias("n"), F.array_join(first["relative_path"], ", ").alias("tooltip"))
+    s = stats.numbered_within(g, ["group_index"], *graph.quality_order(), name="q").groupBy("group_index").agg(F.max("n").alias("n"), F.array_join(first["relative_path"], ", ").alias("tooltip"))
     at = F.col("group_index") - 1
     return s.select("group_index", "n", "tooltip", stats.page_of(at).alias("page"), stats.reorder(at, 2, 6).cast("long").alias("moved"))
 

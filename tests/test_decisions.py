@@ -151,9 +151,19 @@ def test_no_join_compares_all_pairs(spark, d):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_running_sums_over_ranges(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_places_within_keys(spark, few):
+    df = spark.range(300).select("id", F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 5).alias("k"), (F.col("id") * 37 % 101).alias("v")).repartition(5)
+    rows = sorted((r["k"], -r["v"], r["id"]) for r in df.collect())
+    want = {i: sum(x[0] == k and (x[1], x[2]) <= (v, i) for x in rows) for k, v, i in rows}
+    got = {r["id"]: r["place"] for r in stats.numbered_within(df, ["k"], F.desc("v"), "id", few=few).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_running_sums_over_ranges(spark, few):
     df = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 500).alias("k"), (F.col("id") % 3).alias("v")).repartition(7)
-    got = [(r["k"], r["s"], r["n"]) for r in stats.numbered(stats.running(df, F.col("v"), F.desc("k"), name="s"), F.desc("k"), name="n").collect()]
+    got = [(r["k"], r["s"], r["n"]) for r in stats.numbered(stats.running(df, F.col("v"), F.desc("k"), name="s", few=few), F.desc("k"), name="n", few=few).collect()]
     total, expected = 0, []
     for n, (k, v) in enumerate(sorted(((i * 37 % 500, i % 3) for i in range(500)), reverse=True)):
         total += v
