@@ -1,4 +1,4 @@
-"""What outlives a session: runs, their images and results, the operation log, and the scores of groups.
+"""What outlives a session: runs, their images, results and reviews, the operation log, settings, and the scores of groups.
 
 All tables are append only, below one root that driver and executors reach. Each append is written aside and takes its name
 when it is whole, in a folder of its own below its run's: writers don't disturb each other, and a failed one leaves nothing
@@ -13,6 +13,7 @@ import re
 import threading
 import time
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from kindred import pipeline
 from kindred.cache import Cache
 from kindred.config import DEFAULT, Profile, guard_ids
-from kindred.operators import events, fileops, graph, stats
-from kindred.schema import RUN_STATUS
+from kindred.operators import classify, events, fileops, graph, match, stats
+from kindred.schema import ANALYSIS, REVIEW, RUN_STATUS, SETTINGS
+from kindred.sources import sinks
 from kindred.sources.sinks import file_system
 
 # The tables and their columns; all have run_id, by which they are laid out.
@@ -31,11 +33,17 @@ TABLES = {
     "results": "result_id long, image_id long, analysis_type string, primary_id long, phash_distance long, score double, algorithm_profile_id string",
     "errors": "path string, error string",
     "operations": "id long, result_id long, operation_type string, source_path string, target_path string, error_message string, created_at long",
+    "reviews": "id long, result_id long, review_status string, created_at long",
+    "settings": "id long, key string, value string",
     "group_scores": "profile_id string, signature string, left_id long, right_id long, score double",
     "scored_groups": "profile_id string, signature string, n_pairs long, computed_at long",
 }
 
 
+#: Where tables lie that belong to no run.
+EVERYWHERE = "all-runs"
+
+
 class NotFound(KeyError):
     """A run or a result that the store does not have."""
 
@@ -99,6 +107,8 @@ class Store:
 
     def start(self, baseline: str, comparisons: list[str], run_id: str | None = None) -> str:
         run_id = run_id or new_run_id()
+        if run_id == EVERYWHERE:
+            raise ValueError(f"{run_id} is no run id")
         if not self.read("runs", run_id).isEmpty():
             raise ValueError(f"{run_id} exists")
         now = self._tick()
@@ -167,6 +177,89 @@ class Store:
     def active_images(self, run_id: str) -> DataFrame:
         return events.active(self.read("images", run_id), self.read("results", run_id), self.read("operations", run_id))
 
+    # results, reviews and reports
+
+    def review(self, run_id: str, result_ids: list[int], status: str) -> None:
+        """A review status for results; the last one counts."""
+        if status not in REVIEW:
+            raise ValueError(f"{status} is no review status")
+        self._picked(run_id, result_ids)
+        rows = [{"id": self._tick(), "result_id": i, "review_status": status} for i in dict.fromkeys(result_ids)]
+        self._append_rows("reviews", [r | {"created_at": r["id"] // 10**6} for r in rows], run_id)
+
+    def report(self, run_id: str) -> DataFrame:
+        """One row a result: both files, the class, the measures of the pair, the review and the action status. From
+        stored tables only: the run may be another session's."""
+        images = self.read("images", run_id)
+        own = images.select("image_id", F.col("relative_path").alias("comparison_path"), *(F.col(c).alias(f"c_{c}") for c in ("width", "height", "file_size")))
+        other = images.select(F.col("image_id").alias("primary_id"), F.col("relative_path").alias("primary_path"), *(F.col(c).alias(f"b_{c}") for c in ("width", "height", "file_size")))
+        reviewed = self.read("reviews", run_id).groupBy("result_id").agg(F.max_by("review_status", "id").alias("review_status"))
+        acted = events.latest(self.read("operations", run_id)).select("result_id", events.action_status(F.col("operation_type")).alias("action_status"))
+        x = self.read("results", run_id).join(own, "image_id").join(other, "primary_id", "left").join(reviewed, "result_id", "left").join(acted, "result_id", "left")
+        x = match.pair_metrics(x, self.profile.aspect_tolerance)
+        return x.select(
+            "result_id", "image_id", "comparison_path", "analysis_type", "primary_id", "primary_path", "phash_distance", "score", "size_ratio", "resolution_ratio", "aspect_diff", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("smaller_resolution", "smaller_filesize")),
+            "review_status", F.coalesce("action_status", F.lit("none")).alias("action_status"), "algorithm_profile_id",
+        )
+
+    def results(self, run_id: str, analysis_type: str | None = None) -> DataFrame:
+        """The report's rows in the order of their classes and images, with their position; of one class on request."""
+        self.status(run_id)
+        x = self.report(run_id)
+        x = x if analysis_type is None else x.filter(F.col("analysis_type") == analysis_type)
+        return stats.numbered(x, classify.rank_of(F.col("analysis_type"), classify.SORT_ORDER, 1), "image_id")
+
+    def result(self, run_id: str, result_id: int) -> dict:
+        """The detail of one result, with its operations in order; raises NotFound."""
+        row = self.report(run_id).filter(F.col("result_id") == result_id).first()
+        if row is None:
+            raise NotFound(result_id)
+        log = self.read("operations", run_id).filter(F.col("result_id") == result_id).orderBy("id").limit(800).collect()
+        return row.asDict() | {"operations": [r.asDict() for r in log]}
+
+    def stats(self, run_id: str) -> dict:
+        """Totals of the run, a count for each class and each review status, how many are recycled, and whether the
+        classes add up to the comparison images."""
+        self.status(run_id)
+        totals = self.read("images", run_id).agg(F.count_if(F.col("role") == "baseline").alias("baseline_total"), F.count_if(F.col("role") == "comparison").alias("comparison_total")).first().asDict()
+        r = self.report(run_id)
+        counts = r.agg(
+            F.count_distinct("image_id").alias("analysed"), *(F.count_if(F.col("analysis_type") == c).alias(c) for c in ANALYSIS),
+            *(F.count_if(F.col("review_status") == c).alias(f"review_{c}") for c in REVIEW), F.count_if(F.col("action_status") == "recycled").alias("recycled"),
+        )
+        found = stats.conserved(counts, F.lit(totals["comparison_total"])).first().asDict()
+        return totals | found | {"error_count": self.read("errors", run_id).count()}
+
+    def write_reports(self, run_id: str, folder: str) -> list[str]:
+        """The JSON, CSV and HTML reports of a stored run; raises ConservationError where images have no class."""
+        status = self.status(run_id)
+        total = self.read("images", run_id).filter("role = 'comparison'").count()
+        header = {"run_id": run_id, "profile_id": status["profile_id"], "status": status["status"], "created_at": status["created_at"]}
+        report = self.report(run_id)
+        return sinks.write_all(report.drop("result_id", "algorithm_profile_id"), report.select("image_id", "analysis_type"), total, header, folder)
+
+    # settings
+
+    def save_settings(self, **values: object) -> None:
+        """Keeps settings (``schema.SETTINGS``); the last value of each counts."""
+        unknown = set(values) - set(SETTINGS)
+        if unknown:
+            raise ValueError(f"{', '.join(sorted(unknown))}: no such setting")
+        self._append_rows("settings", [{"id": self._tick(), "key": k, "value": str(v)} for k, v in values.items()], EVERYWHERE)
+
+    def settings(self) -> dict:
+        """All settings; what is not saved or can't be read has its default."""
+        last = self.read("settings", EVERYWHERE).groupBy("key").agg(F.max_by("value", "id").alias("value"))
+        return events.settings(last, SETTINGS).first().asDict()
+
+    def saved_profile(self) -> Profile:
+        """The store's profile with the saved settings in place of its own thresholds."""
+        s = self.settings()
+        return replace(
+            self.profile, compressed=s["default_compressed_ssim_threshold"], variant=s["default_variant_review_lower_bound"], max_distance=s["default_phash_max_distance"],
+            aspect_tolerance=s["default_aspect_ratio_tolerance"], top_k=s["max_candidate_per_image"],
+        )
+
     # operations
 
     def _picked(self, run_id: str, result_ids: list[int]) -> list[dict]:

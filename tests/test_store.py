@@ -1,7 +1,9 @@
 """The store over real folders: runs, operations, scored groups; requests, single files."""
 
 import base64
+import csv
 import datetime
+import json
 import os
 import re
 import threading
@@ -62,6 +64,53 @@ def test_run_log(world):
         store.start(a, [a], "../other")
 
 
+def test_reports_of_a_stored_run(spark, world, tmp_path):
+    """All three files from stored tables, by another session's store; conserved; reviews and actions show."""
+    store, run_id, run, a, b = world
+    other = Store(spark, store.root, profile=store.profile)
+    ids = results_by_name(store, run_id)
+    other.review(run_id, [ids["copy.png"], ids["again.png"]], "pending")
+    other.review(run_id, [ids["copy.png"]], "approved_for_recycle")
+    with pytest.raises(ValueError):
+        other.review(run_id, [ids["copy.png"]], "maybe")
+    with pytest.raises(NotFound):
+        other.review(run_id, [10**9], "pending")
+    rows = {os.path.basename(r["comparison_path"]): r for r in other.results(run_id).collect()}
+    assert sorted(r["position"] for r in rows.values()) == [1, 2, 3] and rows["small.png"]["position"] == 3
+    assert rows["copy.png"]["analysis_type"] == "exact_duplicate" and rows["copy.png"]["primary_path"] == "two.png" and rows["copy.png"]["review_status"] == "approved_for_recycle"
+    small = rows["small.png"]
+    assert small["resolution_ratio"] == 0.25 and small["smaller_resolution"] and small["review_status"] is None and small["action_status"] == "none"
+    assert other.results(run_id, "exact_duplicate").count() == 2
+    s = other.stats(run_id)
+    assert (s["baseline_total"], s["comparison_total"], s["analysed"], s["classified"], s["exact_duplicate"], s["error_count"]) == (2, 3, 3, 3, 2, 1)
+    assert s["conserved"] and (s["review_pending"], s["review_approved_for_recycle"]) == (1, 1)
+    detail = other.result(run_id, ids["small.png"])
+    assert detail["primary_path"] == "big.png" and detail["score"] > 0.9 and detail["operations"] == []
+    with pytest.raises(NotFound):
+        other.result(run_id, 10**9)
+    out = str(tmp_path)
+    names = other.write_reports(run_id, out)
+    doc = json.load(open(names[0]))
+    assert doc["header"]["run_id"] == run_id and sum(doc["stats"].values()) == 3 and len(doc["results"]) == 3
+    lines = list(csv.DictReader(open(names[1])))
+    assert len(lines) == 3 and {x["reviewStatus"] for x in lines} == {"approved_for_recycle", "pending", "N/A"}
+    assert "small.png" in open(names[2]).read()
+    with pytest.raises(NotFound):
+        other.write_reports("none", out)
+
+
+def test_saved_settings(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path / 'store'}")
+    assert store.settings()["default_phash_max_distance"] == 10 and store.saved_profile() == store.profile
+    store.save_settings(default_phash_max_distance=12, max_candidate_per_image=7)
+    store.save_settings(default_phash_max_distance=6, default_variant_review_lower_bound="nothing")
+    again = Store(spark, store.root)
+    assert again.settings()["default_phash_max_distance"] == 6 and again.settings()["default_variant_review_lower_bound"] == 0.75
+    assert (again.saved_profile().max_distance, again.saved_profile().top_k) == (6, 7)
+    with pytest.raises(ValueError):
+        store.save_settings(no_such=1)
+
+
 def test_failed_runs_and_history_and_delete(world):
     store, run_id, _, a, b = world
     with pytest.raises(ValueError):
