@@ -18,12 +18,23 @@ FEW = 200_000  # edges that one task can settle at once
 
 
 def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, root) of few edges, in one task."""
-    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
-    if held:
-        v, root = metric.least_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        v, root = v[v != root], root[v != root]
-        yield pa.record_batch([pa.array(v), pa.array(root)], names=["v", "root"])
+    """(v, root) of few edges, in one task. Vertices that are no longs are numbered in their order."""
+    held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if held is None:
+        return
+    kind = held["a"].type
+    if pa.types.is_int64(kind):
+        v, root = metric.least_reached(held["a"].to_numpy(), held["b"].to_numpy())
+        yield pa.record_batch([pa.array(v[v != root]), pa.array(root[v != root])], names=["v", "root"])
+        return
+    key = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+    ends = [held[c].to_pylist() for c in ("a", "b")]
+    values = {key(x): x for side in ends for x in side}
+    order = sorted(values)
+    number = {k: i for i, k in enumerate(order)}
+    v, root = metric.least_reached(*(np.array([number[key(x)] for x in side], np.int64) for side in ends))
+    moved = v != root
+    yield pa.record_batch([pa.array([values[order[i]] for i in x[moved].tolist()], kind) for x in (v, root)], names=["v", "root"])
 
 
 def roots(edges: DataFrame, few: int = FEW) -> DataFrame:
@@ -31,7 +42,7 @@ def roots(edges: DataFrame, few: int = FEW) -> DataFrame:
 
     Alternating large-star and small-star steps until nothing moves; each writes its edges to the shared folder, so a
     lost executor costs one step, and deletes those of the step before. What a step has changed is seen while it is
-    written. The number of steps grows with the logarithm of the longest path. At most ``few`` edges of longs are settled in one task instead.
+    written. The number of steps grows with the logarithm of the longest path. At most ``few`` edges are settled in one task instead.
     """
 
     def written(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -40,8 +51,9 @@ def roots(edges: DataFrame, few: int = FEW) -> DataFrame:
         return out, (seen.get["n"], seen.get["mark"])
 
     e, last = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if last[0] <= few and dict(e.dtypes) == {"a": "bigint", "b": "bigint"}:
-        return e.coalesce(1).mapInArrow(settled, "v long, root long")
+    if last[0] <= few:
+        kind = e.schema["a"].dataType.simpleString()
+        return e.coalesce(1).mapInArrow(settled, f"v {kind}, root {kind}")
     while last[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators import kernels
+from kindred.operators import kernels, tiles
 from kindred.plans.bindings import table
 from kindred.plans.registry import query
 from kindred.sources.images import gray_ssim, png_ssim
@@ -90,6 +90,16 @@ def diff_mask_small(spark, sf_dir):
     return neighbours(spark, sf_dir).select("a", "left", "right").mapInPandas(run, "a long, n_changed long, n_regions long, changed_ratio double, boxes string, red long")
 
 
+@query("diff_regions_tiled", f"""WITH RECURSIVE {PIXELS}, m AS (SELECT a.vec_id AS a, a.y * 8 + a.x AS i, a.y, a.x FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.x = a.x AND b.y = a.y WHERE abs(a.p - b.p) > 32),
+r AS (SELECT a, i, i AS s FROM m UNION SELECT r.a, r.i, n.i FROM r JOIN m c ON c.a = r.a AND c.i = r.s JOIN m n ON n.a = r.a AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1),
+l AS (SELECT a, i, min(s) AS root FROM r GROUP BY 1, 2) SELECT a AS image_id, root::BIGINT AS at, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM l JOIN m USING (a, i) GROUP BY 1, 2 HAVING count(*) >= 2""")
+def diff_regions_tiled(spark, sf_dir):
+    """The regions of each pair's difference, from tiles of three by three pixels."""
+    apart = F.zip_with("left", "right", lambda x, y: F.when(F.abs(x - y) > kernels.threshold(50), F.lit("01")).otherwise(F.lit("00")))
+    masks = neighbours(spark, sf_dir).select(F.col("a").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(apart, "")).alias("bits"))
+    return tiles.regions(tiles.tiled(masks, 3), 2)
+
+
 @query("kernels_files")
 def kernels_files(spark, sf_dir):
     """Vectors as PNG files in memory, their hash, and their similarity to the next one's file; no SQL decodes a PNG."""

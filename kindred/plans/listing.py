@@ -131,15 +131,17 @@ def batch_outcomes(spark, sf_dir):
     return r.join(listed, "batch").withColumn("done_percent", measures.percent(F.col("succeeded"), F.col("succeeded") + F.col("skipped") + F.col("failed")))
 
 
-@query("slider_maps", """WITH t AS (SELECT range AS t FROM range(191))
-SELECT t, CASE WHEN t <= 40 THEN (9500 + 10 * t) / 10000.0::DOUBLE ELSE (9900 + t - 40) / 10000.0::DOUBLE END AS precise, t AS precise_back, CASE WHEN t <= 90 THEN (9000 + 10 * t) / 10000.0::DOUBLE ELSE (9900 + t - 90) / 10000.0::DOUBLE END AS setting, t AS setting_back,
+@query("slider_maps", """WITH t AS (SELECT p_partkey, p_partkey % 191 AS t FROM part)
+SELECT p_partkey, t, CASE WHEN t <= 40 THEN (9500 + 10 * t) / 10000.0::DOUBLE ELSE (9900 + t - 40) / 10000.0::DOUBLE END AS precise, t AS precise_back, CASE WHEN t <= 90 THEN (9000 + 10 * t) / 10000.0::DOUBLE ELSE (9900 + t - 90) / 10000.0::DOUBLE END AS setting, t AS setting_back,
 round(least(greatest(coalesce(try_cast(CASE WHEN t % 3 = 0 THEN '0.9' || t WHEN t % 3 = 1 THEN 'bad' END AS DOUBLE), try_cast(CASE WHEN t % 2 = 0 THEN t::VARCHAR END AS DOUBLE) / 100, 0.985::DOUBLE), 0.95::DOUBLE), 1.0::DOUBLE), 4) AS threshold,
 56 - (48 * least(t, 100) + 50) // 100 AS sensitivity, greatest(9, t * 50000 // 100000)::BIGINT AS least_area, least(greatest(round(t / 4.0::DOUBLE - 3), 0), 24)::BIGINT AS grouping, least(greatest(t - 1, 2), 16)::BIGINT AS workers FROM t""")
 def slider_maps(spark, sf_dir):
+    """Each part's key as a position of the sliders."""
     t = F.col("t")
     current = F.when(t % 3 == 0, F.concat(F.lit("0.9"), t.cast("string"))).when(t % 3 == 1, "bad")
     legacy = F.when(t % 2 == 0, t.cast("string"))
-    return spark.range(191).withColumnRenamed("id", "t").select(
-        "t", measures.slider_precise(t).alias("precise"), measures.slider_precise_inverse(measures.slider_precise(t)).alias("precise_back"), measures.slider_settings(t).alias("setting"), measures.slider_settings_inverse(measures.slider_settings(t)).alias("setting_back"),
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), (F.col("p_partkey") % 191).cast("long").alias("t"))
+    return parts.select(
+        "p_partkey", "t", measures.slider_precise(t).alias("precise"), measures.slider_precise_inverse(measures.slider_precise(t)).alias("precise_back"), measures.slider_settings(t).alias("setting"), measures.slider_settings_inverse(measures.slider_settings(t)).alias("setting_back"),
         measures.recognition_threshold(current, legacy).alias("threshold"), measures.sensitivity_threshold(t).alias("sensitivity"), measures.least_area(t * 50000).alias("least_area"), measures.grouping_distance(t / 4 - 3).alias("grouping"), measures.workers(t).alias("workers"),
     )

@@ -122,8 +122,10 @@ def test_components_in_one_task_or_by_steps(spark, few):
     got = {r["v"]: r["root"] for r in graph.roots(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     want = parts({x for e in edges for x in e}, edges)
     assert got == {x: r for x, r in want.items() if x != r}
-    text = graph.roots(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()
+    text = graph.roots(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"), few=few).collect()
     assert {tuple(r) for r in text} == {("b", "a"), ("c", "a")}
+    pairs = graph.roots(spark.createDataFrame([((2, 1), (1, 9)), ((1, 10), (2, 1)), ((3, 3), (3, 3))], "a struct<x:long,y:long>, b struct<x:long,y:long>"), few=few).collect()
+    assert {(tuple(r["v"]), tuple(r["root"])) for r in pairs} == {((2, 1), (1, 9)), ((1, 10), (1, 9))}
 
 
 @pytest.mark.parametrize("radius", [6, 18])
