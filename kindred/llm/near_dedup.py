@@ -482,7 +482,7 @@ def drop_near_duplicates(docs: DataFrame, most: int = WIDE_MOST) -> DataFrame:
     order = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "h0", "h1", "id")
     slim = written.select(order.alias("order"), "id", "fp", "same0", "same1")
     heads = slim.groupBy("same0", "same1").agg(F.min("order").alias("head"))
-    heads = numbered(heads, "same0", "same1", name="id").select("id", "head", F.col("head.id").alias("at"))
+    heads = numbered(heads, "same0", "same1", name="id", few=0).select("id", "head", F.col("head.id").alias("at"))
     classes = materialise(heads.join(written.select(F.col("id").alias("at"), "fp", "bands"), "at"), "classes")
     texts = written.select(F.col("id").alias("at"), F.coalesce("row.text", F.lit("")).alias("text"))
     found = roots(similar_links(classes.select("id", "at", "fp", "bands"), texts, most=most))
