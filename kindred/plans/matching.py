@@ -48,7 +48,7 @@ def hamming_pairs(spark, sf_dir):
 
 @query("hamming_strict", f"""WITH {IMAGES} SELECT a.image_id AS a, b.image_id AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM images a JOIN images b ON a.image_id < b.image_id AND hamming(a.bits, b.bits) < 16""")
 def hamming_strict(spark, sf_dir):
-    """The strict form, by multi-index hashing."""
+    """The strict form."""
     return match.pairs_within(images(spark, sf_dir), 16, strict=True)
 
 
