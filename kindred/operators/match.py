@@ -134,7 +134,7 @@ def pairs_within(images: DataFrame, most: int, strict: bool = False) -> DataFram
         found = hamming_join(l, r, most).filter("l_id < r_id")
         return found.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance")
     near = metric.within(metric.table_of(images), most).select(F.col("a").alias("l_hash"), F.col("b").alias("r_hash"), "distance")
-    apart = l.join(near, "l_hash").join(r, "r_hash")
+    apart = l.join(near.hint("merge"), "l_hash").join(r.hint("merge"), "r_hash")
     equal = l.join(r.withColumnRenamed("r_hash", "l_hash"), "l_hash").filter("l_id < r_id").withColumn("distance", F.lit(0).cast("long"))
     return apart.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), "distance").unionByName(equal.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance"))
 
