@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.config import DEFAULT, Profile
@@ -13,16 +13,18 @@ from kindred.operators.classify import RELATION_ORDER, rank_of, relation
 NO_DISTANCE = 2**31 - 1
 
 
-def related_pairs(targets: DataFrame, references: DataFrame, most: int) -> DataFrame:
-    """(t_image_id, r_image_id) with equal digests or hashes at most ``most`` bits apart, each pair once.
+def related_pairs(t: DataFrame, r: DataFrame, most: int) -> DataFrame:
+    """Pairs of a row of ``t`` (t_digest, t_phash, ...) and one of ``r`` (r_digest, r_phash, ...) with equal digests or hashes at most
+    ``most`` bits apart, each pair once, with ``same``: whether the digests are equal.
 
     Two equi-joins: by digest, and by hash over the pairs of distinct hashes that meet in metric partitions around the references.
+    Spark can't tell how many pairs there are, so what has a row a pair is merged, never broadcast.
     """
-    t, r = (df.select(F.col("image_id").alias(f"{s}_image_id"), "digest", "phash") for df, s in ((targets, "t"), (references, "r")))
-    same = t.filter("digest is not null").join(r.drop("phash"), "digest").select("t_image_id", "r_image_id")
-    near = metric.between(metric.table_of(t), metric.table_of(r), most).select(F.col("b").alias("phash"), F.col("a").alias("r_phash"))
-    close = t.drop("digest").join(near, "phash").join(r.select("r_image_id", F.col("phash").alias("r_phash")), "r_phash").select("t_image_id", "r_image_id")
-    return same.unionByName(close).distinct()
+    same = F.coalesce(F.col("t_digest") == F.col("r_digest"), F.lit(False))
+    equal = t.filter("t_digest is not null").join(r, F.col("t_digest") == F.col("r_digest")).withColumn("same", F.lit(True))
+    near = metric.between(metric.table_of(t, "t_phash"), metric.table_of(r, "r_phash"), most).select(F.col("b").alias("t_phash"), F.col("a").alias("r_phash"))
+    close = t.join(near.hint("merge"), "t_phash").join(r.hint("merge"), "r_phash").withColumn("same", same).filter("not same")
+    return equal.unionByName(close)
 
 
 def relations(targets: DataFrame, references: DataFrame, score, profile: Profile = DEFAULT, most: int = 16) -> DataFrame:
@@ -33,8 +35,7 @@ def relations(targets: DataFrame, references: DataFrame, score, profile: Profile
     r = references.select(*(F.col(c).alias(f"r_{c}") for c in ("image_id", "digest", "phash", "width", "height")))
     t = targets.select(*(F.col(c).alias(f"t_{c}") for c in ("image_id", "digest", "phash", "width", "height", "relative_path")))
     far = F.coalesce(F.bit_count(F.col("t_phash").bitwiseXOR(F.col("r_phash"))), F.lit(NO_DISTANCE)).cast("long")
-    same = F.coalesce(F.col("t_digest") == F.col("r_digest"), F.lit(False))
-    x = related_pairs(targets, references, most).join(t, "t_image_id").join(r, "r_image_id").withColumn("distance", far).withColumn("same", same)
+    x = related_pairs(t, r, most).withColumn("distance", far)
     x = x.withColumn("score", F.when(F.col("same"), F.lit(1.0)).otherwise(score))
     ratio = measures.pixels(F.col("t_width"), F.col("t_height")).cast("double") / F.greatest(measures.pixels(F.col("r_width"), F.col("r_height")).cast("double"), F.lit(1.0))
     x = x.withColumn("classification", relation(F.col("same"), F.col("distance"), F.col("score"), ratio, profile, most))
@@ -50,6 +51,11 @@ def matches(found: DataFrame) -> DataFrame:
     )
 
 
+def class_for(reference_id: int) -> Column:
+    """A match's class relative to one reference; null where they aren't related."""
+    return F.get(F.filter("relations", lambda r: r.reference_id == reference_id), F.lit(0))["classification"]
+
+
 def filter_matches(found: DataFrame, reference_id: int | None = None, classification: str | None = None) -> DataFrame:
     """Targets related to the reference, with the class relative to it."""
     own = F.filter("relations", lambda r: r.reference_id == reference_id) if reference_id is not None else F.col("relations")

@@ -214,9 +214,8 @@ def reference_relations(spark, sf_dir):
 b AS (SELECT * FROM o WHERE place = 1), a AS (SELECT t_id, classification AS shown FROM o WHERE r_id = 100)
 SELECT b.t_id AS target_id, b.classification, b.r_id AS best_reference_id, b.n AS n_relations, row_number() OVER (ORDER BY b.class_rank, b.relative_path) AS position, a.shown AS for_reference_100 FROM b LEFT JOIN a USING (t_id)""")
 def finder_matches(spark, sf_dir):
-    m = finder.matches(related(spark, sf_dir))
-    one = finder.filter_matches(m, reference_id=100).select("t_image_id", F.col("shown").alias("for_reference_100"))
-    return stats.numbered(m, "class_rank", "t_relative_path").join(one, "t_image_id", "left").select(F.col("t_image_id").alias("target_id"), "classification", "best_reference_id", "n_relations", "position", "for_reference_100")
+    m = finder.matches(related(spark, sf_dir)).withColumn("for_reference_100", finder.class_for(100)).drop("relations")
+    return stats.numbered(m, "class_rank", "t_relative_path").select(F.col("t_image_id").alias("target_id"), "classification", "best_reference_id", "n_relations", "position", "for_reference_100")
 
 
 @query("selection_sets", f"""WITH {IMAGES}, sel AS (SELECT image_id FROM images WHERE image_id % 3 = 0), shown AS (SELECT image_id FROM images WHERE image_id % 2 = 0), d AS (SELECT label, relative_path, image_id, row_number() OVER (PARTITION BY label ORDER BY image_id) AS n FROM images)
