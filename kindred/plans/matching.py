@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import bits, measures, nested
-from kindred.operators import classify, match, stats
+from kindred.operators import classify, match, nearest, stats
 from kindred.plans.bindings import FILES, IMAGES, PROFILE, SCORE, files, images, pair_score
 from kindred.plans.registry import query
 
@@ -73,7 +73,7 @@ top AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
 def top(spark, sf_dir) -> DataFrame:
     c, b = split(images(spark, sf_dir))
-    return match.top_candidates(match.candidates(c, b, PROFILE), PROFILE.top_k)
+    return nearest.nearest(c, b, PROFILE)
 
 
 @query("topk_candidates", f"""WITH {CANDIDATES} SELECT c_id, b_id, distance::BIGINT AS distance, rank, n_found, n_found > 5 AS truncated FROM top""")
@@ -106,7 +106,7 @@ def scored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     i = images(spark, sf_dir)
     c, b = split(i)
     rest = match.unmatched(c, match.exact_matches(c, b))
-    found = sized_pairs(i, match.top_candidates(match.candidates(rest, b, PROFILE), PROFILE.top_k))
+    found = sized_pairs(i, nearest.nearest(rest, b, PROFILE))
     return rest, found.withColumn("score", pair_score(F.col("c_id"), F.col("b_id"))).withColumn("exact", F.lit(False))
 
 
