@@ -70,8 +70,9 @@ def regions(tiles: DataFrame, least_area: int = 1) -> DataFrame:
     # half of the eight neighbours is enough: each touching pair is seen from one side
     steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)))))
     near = pixels.select("image_id", F.col("name").alias("a"), "y", "x", steps.alias("s")).select("image_id", "a", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    touching = near.join(pixels.withColumnRenamed("name", "b"), ["image_id", "y", "x"]).filter("a <> b").select("a", "b")
+    # pixels are many more than the rows of parts that they come from, which is what Spark goes by: merged, not broadcast
+    touching = near.join(pixels.withColumnRenamed("name", "b").hint("merge"), ["image_id", "y", "x"]).filter("a <> b").select("a", "b")
     found = graph.roots(touching)
-    whole = parts.drop("border").withColumn("v", F.struct("image_id", "at")).join(found, "v", "left").withColumn("name", F.coalesce("root", "v"))
+    whole = parts.drop("border").withColumn("v", F.struct("image_id", "at")).join(found.hint("merge"), "v", "left").withColumn("name", F.coalesce("root", "v"))
     out = whole.groupBy("name").agg(F.sum("area").alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return out.filter(F.col("area") >= least_area).select("name.image_id", "name.at", "area", "x0", "y0", "x1", "y1")
