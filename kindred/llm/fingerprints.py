@@ -67,11 +67,12 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3) -> DataFr
     """Distinct pairs (query, fp) of differing fingerprints at most ``radius`` bits apart, by permuted block tables.
 
     Both inputs are reduced to distinct fingerprints (column fp) first, so copies are never paired with each other.
-    Complete for any radius: the tables cover every choice of untouched blocks.
+    Complete for any radius: the tables cover every choice of untouched blocks. Spark takes the exploded tables for as small as
+    what they are made of; they are merged, never broadcast.
     """
     left = queries.select(F.col("fp").alias("query")).distinct().withColumn("key", F.explode(block_keys(F.col("query"), radius)))
     right = fps.select("fp").distinct().withColumn("key", F.explode(block_keys(F.col("fp"), radius)))
-    near = left.join(right, "key").filter((F.col("query") != F.col("fp")) & (F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))) <= radius))
+    near = left.join(right.hint("merge"), "key").filter((F.col("query") != F.col("fp")) & (F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))) <= radius))
     return near.select("query", "fp").distinct()
 
 
@@ -114,7 +115,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     near = within_radius(per_row.filter(F.col("key") % QUERIES == 0), per_row).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("n_near"))
     asked = F.when(F.col("key") % QUERIES == 0, F.coalesce("n_near", F.lit(0)))
     ahead = per_row.groupBy("key").agg(F.min("fp").alias("next_fp")).withColumnRenamed("key", "next")
-    return per_row.join(near, "fp", "left").withColumn("n_near", asked).join(following.select("key", "next"), "key").join(ahead, "next")
+    # successors are a row a document, in files that compress to a small part of it
+    return per_row.join(near.hint("merge"), "fp", "left").withColumn("n_near", asked).join(following.select("key", "next").hint("merge"), "key").join(ahead.hint("merge"), "next")
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ DATA = os.environ.get("KINDRED_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 #: Queries whose joins are of rows that the planner can't count.
-NAMES = ["hamming_strict", "hamming_pairs", "reference_relations", "finder_matches", "diff_regions_tiled"]
+NAMES = ["hamming_strict", "hamming_pairs", "reference_relations", "finder_matches", "diff_regions_tiled", "op6_document_fingerprints"]
 
 
 def broadcast_of_made_rows(df):
