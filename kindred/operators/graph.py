@@ -76,7 +76,29 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def similarity_components(images: DataFrame, most: int) -> DataFrame:
     """(image_id, component) of ``images`` (image_id, phash): those within ``most`` bits are linked. Components are found over
     distinct hashes, so copies never multiply; an image without a hash is a component of its own."""
-    return _by_hash(images, roots(match.links_within(metric.table_of(images), most)))
+    return _by_hash(images, linked(metric.table_of(images), most))
+
+
+MANY = 20_000  # hashes from which on the largest component is looked for first
+
+
+def linked(distinct: DataFrame, most: int, many: int = MANY, counter=None) -> DataFrame:
+    """(v, root) of ``distinct`` hashes, as ``roots`` gives it of all pairs within ``most`` bits.
+
+    Many hashes that are all far from each other still hang together in one large component. It is found first, from pairs that a few sorted
+    orders show; its members are linked already and are not compared with each other again, only all others with each other and with it.
+    """
+    if match.indexable(most) or distinct.count() < many:
+        return roots(match.links_within(distinct, most))
+    first = materialise(roots(metric.beside(distinct, most)), "first")
+    top = first.groupBy("root").count().orderBy(F.desc("count"), "root").select("root").first()
+    if top is None:
+        return roots(match.links_within(distinct, most))
+    large = first.filter(F.col("root") == top[0]).select(F.col("v").alias("hash")).unionByName(distinct.filter(F.col("hash") == top[0]))
+    large = materialise(large, "large")
+    rest = materialise(distinct.join(large.hint("merge"), "hash", "left_anti"), "rest")
+    more = metric.within(rest, most, links=True, counter=counter).unionByName(metric.between(large, rest, most, counter=counter, links=True))
+    return roots(more.select("a", "b").unionByName(first.select(F.col("v").alias("a"), F.col("root").alias("b"))))
 
 
 def _by_hash(images: DataFrame, reached: DataFrame) -> DataFrame:
@@ -252,6 +274,7 @@ def _probe(lower: float, most: int, k: int):
 def automatic_originals(members: DataFrame, threshold: float = 0.985, pixels: float = 0.9, shape: float = 0.02) -> DataFrame:
     """Adds is_original: the representative or reference, or large, of the best member's shape, and similar enough."""
     px, own = measures.pixels(F.col("width"), F.col("height")), measures.aspect(F.col("width"), F.col("height"))
+    members = materialise(members, "members")  # read twice
     x = members.join(members.groupBy("component").agg(F.max(px).alias("most_px"), F.min_by(own, own_quality()).alias("best_aspect")), "component")
     fits = (px >= F.col("most_px") * pixels) & (F.abs(own - F.col("best_aspect")) / F.col("best_aspect") <= shape) & (F.col("score").isNull() | (F.col("score") >= threshold))
     return x.withColumn("is_original", (F.col("image_id") == F.col("reference_id")) | (F.col("member_role") == "reference") | fits)

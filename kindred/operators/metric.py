@@ -146,6 +146,7 @@ def compare(held: np.ndarray, near: np.ndarray, others: np.ndarray, their: np.nd
 
 def meet(c: Cells, links: bool, counter=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a task does with rows sorted by key, side and distance: residents of a key are held, all others pass by."""
+    through = links and c.one_set  # linked through the pivot; of two sets only those that pass by would be
 
     def out(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         if links:
@@ -166,9 +167,9 @@ def meet(c: Cells, links: bool, counter=None) -> Callable[[Iterator[pa.RecordBat
             h, d = held()
             q, i, j = key >> 41, key >> 20 & 0xFFFFF, key & 0xFFFFF
             if key >> 40 & 1 == 0 and i == j:
-                if links:
+                if through:
                     yield from to_pivot(h, d, q)
-                for found in compare(h, d, h, d, c.radius, links, True, count):
+                for found in compare(h, d, h, d, c.radius, through, True, count):
                     yield out(*found)
 
         def held():
@@ -192,9 +193,9 @@ def meet(c: Cells, links: bool, counter=None) -> Callable[[Iterator[pa.RecordBat
                 if mid > a:
                     parts.append((h[a:mid], d[a:mid]))
                 if b > mid:
-                    if links and key >> 40 & 1 and key >> 20 & 0xFFFFF == 0:
+                    if through and key >> 40 & 1 and key >> 20 & 0xFFFFF == 0:
                         yield from to_pivot(h[mid:b], d[mid:b], key >> 41)
-                    for found in compare(*held(), h[mid:b], d[mid:b], c.radius, links, False, count):
+                    for found in compare(*held(), h[mid:b], d[mid:b], c.radius, through, False, count):
                         yield out(*found)
         if key is not None:
             yield from close()
@@ -270,10 +271,39 @@ def within(distinct: DataFrame, radius: int, links: bool = False, counter=None,
     return _run(cells(distinct, distinct, radius, True, pivots), distinct, distinct, links, counter)
 
 
-def between(left: DataFrame, right: DataFrame, radius: int, counter=None, pivots: int = PIVOTS) -> DataFrame:
+def between(left: DataFrame, right: DataFrame, radius: int, counter=None, pivots: int = PIVOTS, links: bool = False) -> DataFrame:
     """(a, b, distance): the pairs of a hash of ``right`` (a) and one of ``left`` (b), both tables of distinct longs ``hash``. The
-    pivots are hashes of ``right``, best the smaller one."""
-    return _run(cells(right, left, radius, False, pivots), right, left, False, counter)
+    pivots are hashes of ``right``, best the smaller one. With ``links`` only pairs that connect what all pairs connect (in any order, distance 0)."""
+    return _run(cells(right, left, radius, False, pivots), right, left, links, counter)
+
+
+TURNS, BESIDE = 8, 64  # orders in which hashes are looked at, and how many that follow are compared with each
+
+
+def beside(distinct: DataFrame, radius: int, turns: int = TURNS, near: int = BESIDE) -> DataFrame:
+    """(a, b): some pairs within the radius, found in time that grows with the rows alone: the hashes are sorted by their bits, begun at each of
+    ``turns`` places, and each is compared with the ``near`` that follow it in its task."""
+    h, n = F.col("hash"), 64 // turns
+    turned = F.array(*(F.struct(F.lit(t).alias("turn"), (F.shiftleft(h, n * t).bitwiseOR(F.shiftrightunsigned(h, 64 - n * t)) if t else h).alias("key")) for t in range(turns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_turn, last = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        for batch in batches:
+            turn = np.concatenate([last_turn, batch.column("turn").to_numpy()])
+            key = np.concatenate([last, batch.column("key").to_numpy().view(np.uint64)])
+            found = []
+            for step in range(1, min(near, len(key) - 1) + 1):
+                found.append(np.flatnonzero((np.bitwise_count(key[step:] ^ key[:-step]) <= radius) & (turn[step:] == turn[:-step])))
+            first = np.concatenate([np.zeros(0, np.int64), *found])
+            back = (n * turn).astype(np.uint64)
+            h = np.where(turn > 0, key >> back | key << (np.uint64(64) - back) % np.uint64(64), key)
+            x, y = least_reached(h[first], h[first + np.repeat(np.arange(1, len(found) + 1), [len(f) for f in found])])
+            yield pa.record_batch([pa.array(x[x != y].view(np.int64)), pa.array(y[x != y].view(np.int64))], names=["a", "b"])
+            last_turn, last = turn[-near:], key[-near:]
+
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select(F.explode(turned).alias("t")).select("t.turn", "t.key").repartitionByRange(tasks, "turn", "key").sortWithinPartitions("turn", "key")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def table_of(df: DataFrame, column: str = "phash") -> DataFrame:

@@ -20,7 +20,8 @@ from kindred.operators import match
 from kindred.scratch import materialise
 
 HELD, PASSING = 32768, 16384  # baseline and comparison images of a line, about
-BLOCK = 1 << 21  # pairs that are compared at once
+BLOCK = 1 << 19  # pairs that are compared at once
+HEAD = 4096  # places of a row that bound its least distances
 
 FOUND = "c_id long, b_id long, distance long, b_path string, n long"
 
@@ -47,23 +48,25 @@ def nearest(comparison: DataFrame, baseline: DataFrame, profile: Profile = DEFAU
     return ranked.filter(F.col("rank") <= k).withColumn("truncated", F.col("n_found") > k).select("c_id", "b_id", "distance", "b_path", "rank", "n_found", "truncated")
 
 
-def first_places(d: np.ndarray, most: int, k: int) -> list[np.ndarray]:
-    """For each row of distances the places of the ``k`` least that are at most ``most``, the earlier place first where they are equal."""
-    bound = np.minimum(d.min(1), most + 1).astype(np.int64)  # the least distance within which there are k, or ``most``
-    open_ = np.flatnonzero(bound < most)
-    while len(open_):
-        open_ = open_[np.count_nonzero(d[open_] <= bound[open_, None], axis=1) < k]
-        bound[open_] += 1
-        open_ = open_[bound[open_] < most]
-    out = []
-    for row, t in zip(d, bound.tolist(), strict=True):
-        if t > most:
-            out.append(np.zeros(0, np.int64))
-            continue
-        below = np.flatnonzero(row < t)
-        below = below[np.argsort(row[below], kind="stable")][:k]
-        out.append(np.concatenate([below, np.flatnonzero(row == t)[: k - len(below)]]))
-    return out
+def true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a mask with few true values: eight of them are looked at in one step."""
+    flat = mask.ravel()
+    cut = len(flat) & ~7
+    eights = np.flatnonzero(flat[:cut].view(np.uint64))
+    i, j = np.nonzero(flat[:cut].reshape(-1, 8)[eights])
+    return np.divmod(np.concatenate([eights[i] * 8 + j, cut + np.flatnonzero(flat[cut:])]), mask.shape[1])
+
+
+def first_places(d: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the ``k`` least distances of each row (bytes) that are at most ``most``, by distance, the earlier place first where they are equal."""
+    bound = np.full(len(d), most)
+    if d.shape[1] > 2 * HEAD > 2 * k:  # what is beyond the k least of the first places is none of the k least
+        bound = np.minimum(bound, np.partition(d[:, :HEAD], k - 1, axis=1)[:, k - 1])
+    row, place = true_places(d <= bound.astype(np.uint8)[:, None])
+    order = np.argsort(row << 8 | d[row, place], kind="stable")
+    row, place = row[order], place[order]
+    among = np.arange(len(row)) - np.searchsorted(row, np.arange(len(d)))[row]
+    return row[among < k], place[among < k]
 
 
 def _meet(most: int, tolerance: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -81,12 +84,9 @@ def _meet(most: int, tolerance: float, k: int) -> Callable[[Iterator[pa.RecordBa
             if own.min() != own.max():
                 d[(a[None, use] < low) | (a[None, use] > high)] = 65
             n = np.count_nonzero(d <= most, axis=1)
-            places = first_places(d, most, k)
-            some = np.array([len(x) for x in places])
-            row = np.repeat(np.arange(len(places)), some)
+            row, place = first_places(d, most, k)
             if not len(row):
                 continue
-            place = np.concatenate(places)
             first = np.concatenate([[True], row[1:] != row[:-1]])
             taken = pa.array(use[place])
             yield pa.record_batch([pa.array(ids[at : at + step][row]), held["id"].take(taken).combine_chunks(), pa.array(d[row, place].astype(np.int64)), held["path"].take(taken).combine_chunks(), pa.array(np.where(first, n[row], 0))], names=[x.split()[0] for x in FOUND.split(", ")])
