@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import measures
-from kindred.operators import match, metric, stats
+from kindred.operators import match, metric, nearest, stats
 from kindred.scratch import discard, materialise
 
 
@@ -180,7 +180,7 @@ def member_roles(grouped: DataFrame, results: DataFrame, images: DataFrame) -> D
     return x.withColumn("low_quality", low).withColumn("member_role", role).withColumn("cluster_key", F.coalesce("primary_id", "image_id").cast("string")).withColumn("effective_reference_id", F.when(effective != F.col("image_id"), effective))
 
 
-SMALL, HELD, ROWS = 256, 4096, 256  # members of a component that is joined as it is; anchors that a task holds; members compared with them at once
+SMALL, HELD, ROWS = 256, 32768, 1024  # members of a component that is joined as it is; anchors that a task holds, about; members that look at the same anchors
 
 
 def plan_pairs(members: DataFrame, anchor_pixels: float = 0.9, anchor_size: float = 0.75, lower: float = 0.98, most: int = 24, k: int = 8, small: int = SMALL) -> DataFrame:
@@ -214,41 +214,60 @@ BEST = ["component", "image_id", "a_image_id", "distance", "a_px", "a_file_size"
 
 
 def _best_of_lines(m: DataFrame, lower: float, most: int, k: int) -> DataFrame:
-    """For each member the ``k`` best anchors of each line of anchors, with what ranks them."""
+    """For each member the ``k`` best anchors of each line of anchors, with what ranks them. Members that are no lower-quality copy of the largest
+    anchors have none and are left out."""
     m = m.withColumn("component", F.col("component").cast("long"))
-    lines = m.groupBy("component").agg(F.ceil(F.count_if("anchor") / HELD).alias("a_lines"), F.ceil(F.count("*") / (16 * HELD)).alias("m_lines"))
-    x = m.join(lines, "component")
+    largest = m.filter("anchor").groupBy("component").agg(F.ceil(F.count("*") / HELD).alias("a_lines"), F.max("px").alias("a_px"), F.max("file_size").alias("a_size"))
+    none = (F.col("px") >= F.col("a_px") * lower) & (F.col("file_size") >= F.col("a_size") * lower)
+    passing = m.join(largest, "component").filter(F.coalesce(~none, F.lit(True))).drop("a_px", "a_size")
+    lines = passing.groupBy("component", "a_lines").agg(F.ceil(F.count("*") / HELD).alias("m_lines"))
     own = lambda n, seed: F.pmod(F.xxhash64("image_id", F.lit(seed)), n)
-    columns = ["component", "image_id", "phash", "file_size", "relative_path", "px"]
+    columns = ["component", "image_id", "phash", "file_size", "px"]
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    anchors = x.filter("anchor").select(*columns, F.lit(0).alias("side"), every(F.col("m_lines")).alias("i"), own(F.col("a_lines"), 1).alias("j"))
-    passing = x.filter("a_lines > 0").select(*columns, F.lit(1).alias("side"), own(F.col("m_lines"), 2).alias("i"), every(F.col("a_lines")).alias("j"))
-    # by distance from an arbitrary hash: hashes within ``most`` bits differ by that much there at most
-    band = F.coalesce(F.bit_count(F.col("phash")), F.lit(-1))
-    dealt = anchors.unionByName(passing).withColumn("band", band).repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
-    return dealt.sortWithinPartitions("component", "i", "j", "side", "band").mapInArrow(_probe(lower, most, k), "component long, image_id long, a_image_id long, distance int, a_px long, a_file_size long, a_relative_path string")
+    anchors = m.filter("anchor").join(lines, "component").select(*columns, "relative_path", F.lit(0).alias("side"), every(F.col("m_lines")).alias("i"), own(F.col("a_lines"), 1).alias("j"))
+    passing = passing.join(lines.drop("a_lines"), "component").select(*columns, F.lit(None).cast("string").alias("relative_path"), F.lit(1).alias("side"), own(F.col("m_lines"), 2).alias("i"), every(F.col("a_lines")).alias("j"))
+    dealt = anchors.unionByName(passing).repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
+    # the best anchors come first, so their places tell which is better; members come by quality, so that those of a block look at nearly the same anchors
+    dealt = dealt.sortWithinPartitions("component", "i", "j", "side", F.desc("px"), F.desc("file_size"), "relative_path", "image_id")
+    return dealt.mapInArrow(_probe(lower, most, k), "component long, image_id long, a_image_id long, distance int, a_px long, a_file_size long, a_relative_path string")
 
 
 def _probe(lower: float, most: int, k: int):
-    def best(a: pa.Table, m: pa.Table) -> Iterator[pa.RecordBatch]:
-        value = lambda t, c, fill=0: t[c].combine_chunks().fill_null(fill).to_numpy(zero_copy_only=False)
-        a_band, a_px, a_size, a_id, a_hash = (value(a, c) for c in ("band", "px", "file_size", "image_id", "phash"))
-        place = np.empty(len(a), np.int64)
-        place[np.lexsort((a_id, np.array(a["relative_path"].to_pylist(), object).astype(str), -a_size, -a_px))] = np.arange(len(a))
-        for at in range(0, len(m), ROWS):
-            part = m.slice(at, ROWS)
-            band, px, size, id_, hash_ = (value(part, c) for c in ("band", "px", "file_size", "image_id", "phash"))
-            known, low, high = band.min() >= 0, band.min() - most, band.max() + most
-            use = np.flatnonzero((a_band < 0) | ((a_band >= low) & (a_band <= high))) if known else np.arange(len(a))
-            d = np.bitwise_count((hash_[:, None] ^ a_hash[None, use]).view(np.uint64)).astype(np.int64)
-            d[(band < 0)[:, None] | (a_band[use] < 0)[None, :]] = UNKNOWN
-            fits = ((d <= most) | (d == UNKNOWN)) & (id_[:, None] != a_id[None, use]) & ((px[:, None] < a_px[None, use] * lower) | (size[:, None] < a_size[None, use] * lower))
-            key = np.where(fits, d << 32 | place[None, use], np.iinfo(np.int64).max)
-            top = np.argpartition(key, k - 1, axis=1)[:, :k] if key.shape[1] > k else np.tile(np.arange(key.shape[1]), (len(key), 1))
-            row, column = np.nonzero(np.take_along_axis(key, top, 1) < np.iinfo(np.int64).max)
-            chosen = top[row, column]
-            of = pa.array(use[chosen])
-            yield pa.record_batch([part["component"].combine_chunks().take(pa.array(row)), pa.array(id_[row]), pa.array(a_id[use[chosen]]), pa.array(d[row, chosen].astype(np.int32)), *(a[c].combine_chunks().take(of) for c in ("px", "file_size", "relative_path"))], names=BEST)
+    value = lambda t, c, fill=0: (t[c].combine_chunks() if isinstance(t, pa.Table) else t.column(c)).fill_null(fill).to_numpy(zero_copy_only=False)
+    unknown, never = most + 1, 255  # in place of a distance: of a missing hash, of no pair
+
+    def looked_at(a: pa.Table) -> dict:
+        a = a.combine_chunks()
+        held = {c: value(a, c) for c in ("px", "file_size", "image_id", "phash")} | {"rows": a, "none": a["phash"].is_null().to_numpy()}
+        return held | {"by_id": np.argsort(held["image_id"])}
+
+    def best(a: dict, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        px, size, id_, hash_ = (value(part, c) for c in ("px", "file_size", "image_id", "phash"))
+        none = part.column("phash").is_null().to_numpy(zero_copy_only=False)
+        fits = lambda px, size, use: (px < a["px"][use] * lower) | (size < a["file_size"][use] * lower)
+        use = np.flatnonzero(fits(px.min(), size.min(), slice(None)))  # all others fit no member of the part
+        if not len(use):
+            return
+        some = np.flatnonzero(~fits(px.max(), size.max(), use))  # these don't fit all of them
+        hashes, missing = a["phash"][use].view(np.uint64), np.flatnonzero(a["none"][use])
+        step = max(1, nearest.BLOCK // len(use))
+        for at in range(0, len(id_), step):
+            to = slice(at, at + step)
+            d = np.bitwise_count(hash_[to].view(np.uint64)[:, None] ^ hashes[None, :])
+            d[d == unknown] = never
+            d[:, missing], d[none[to]] = unknown, unknown
+            if len(some):
+                d[:, some] = np.where(fits(px[to][:, None], size[to][:, None], use[some][None, :]), d[:, some], never)
+            found = np.minimum(np.searchsorted(a["image_id"], id_[to], sorter=a["by_id"]), len(a["by_id"]) - 1)
+            own = a["by_id"][found]
+            spot = np.minimum(np.searchsorted(use, own), len(use) - 1)
+            same = (a["image_id"][own] == id_[to]) & (use[spot] == own)
+            d[np.flatnonzero(same), spot[same]] = never
+            row, place = nearest.first_places(d, unknown, k)
+            if len(row):
+                of, far = pa.array(use[place]), d[row, place].astype(np.int32)
+                far[far == unknown] = UNKNOWN
+                yield pa.record_batch([part.column("component").take(pa.array(row + at)), pa.array(id_[to][row]), pa.array(a["image_id"][use[place]]), pa.array(far), *(a["rows"][c].take(of).combine_chunks() for c in ("px", "file_size", "relative_path"))], names=BEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, anchors = None, [], None
@@ -265,8 +284,9 @@ def _probe(lower: float, most: int, k: int):
                 if mid > b:
                     parts.append(batch.slice(b, mid - b))
                 if e > mid and parts:
-                    anchors = pa.Table.from_batches(parts) if anchors is None else anchors
-                    yield from best(anchors, pa.Table.from_batches([batch.slice(mid, e - mid)]))
+                    anchors = looked_at(pa.Table.from_batches(parts)) if anchors is None else anchors
+                    for start in range(mid, e, ROWS):
+                        yield from best(anchors, batch.slice(start, min(ROWS, e - start)))
 
     return run
 
@@ -298,6 +318,7 @@ def assign_thumbnails(members: DataFrame, scores: DataFrame) -> DataFrame:
     for a member, so members and originals of a large group never multiply.
     """
     rank = best_first(F.col("o_px"), F.col("o_size"), F.col("o_path"), F.col("o_id"))
+    members, scores = materialise(members, "members"), materialise(scores, "scores")  # read for each way
     o = members.filter("source is not null").select("component", F.col("image_id").alias("o_id"), measures.pixels(F.col("width"), F.col("height")).alias("o_px"), F.col("file_size").alias("o_size"), F.col("relative_path").alias("o_path"))
     o = o.select("component", "o_id", "o_path", rank.alias("rank"))
     m = members.filter("source is null").select("component", "image_id", "relative_path", "score", "effective_reference_id", "reference_path")

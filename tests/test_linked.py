@@ -52,6 +52,17 @@ def test_first_places(width, k):
         assert place[row == i].tolist() == want
 
 
+def test_members_without_anchors_are_left_out(spark, monkeypatch):
+    """Blocks and lines, members that no anchor fits, missing hashes: what the join of a small component gives."""
+    from tests.test_metric import group
+
+    members = group(spark, 900, 3).withColumn("file_size", F.when(F.col("width") == 1200, 5000).otherwise(F.col("file_size")).cast("long"))
+    want = {tuple(r) for r in graph.plan_pairs(members, small=1000).collect()}
+    monkeypatch.setattr(graph, "HELD", 60)
+    monkeypatch.setattr(graph, "ROWS", 7)
+    assert {tuple(r) for r in graph.plan_pairs(members, small=10).collect()} == want and len(want) > 500
+
+
 def counted(df, count):
     return df.mapInArrow(lambda batches: (count.add(b.num_rows) or b for b in batches), df.schema)
 
@@ -61,3 +72,12 @@ def test_roles_are_computed_once(spark):
     m = spark.createDataFrame([(i % 3, i, 100 + i, 100, 10, f"p{i}", "candidate", i % 3, None) for i in range(30)], base)
     count = spark.sparkContext.accumulator(0)
     assert len(graph.automatic_originals(counted(m, count)).collect()) == 30 and count.value == 30
+
+
+def test_planned_scores_are_computed_once(spark):
+    base = "component long, image_id long, width long, height long, file_size long, relative_path string, source string, effective_reference_id long, reference_path string, score double"
+    m = spark.createDataFrame([(1, i, 100, 100, 10 + i, f"p{i}", "auto" if i < 2 else None, None, None, None) for i in range(12)], base)
+    scores = spark.createDataFrame([(0, i, 0.9) for i in range(2, 7)], "left_id long, right_id long, score double")
+    members, pairs = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {(r["image_id"], r["original_id"], r["way"]) for r in graph.assign_thumbnails(counted(m, members), counted(scores, pairs)).collect()}
+    assert got == {(i, 0, 0) for i in range(2, 7)} | {(i, 1, 3) for i in range(7, 12)} and (members.value, pairs.value) == (12, 5)
